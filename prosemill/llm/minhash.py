@@ -3,12 +3,13 @@
 A text is its set of 3-word shingles; equal sets are one node. Each node is posted under its
 coordinate-value pairs. Pairs posted once are dropped, the others ordered by the length of
 their list, rarest first: two nodes that agree in at least MATCHES coordinates meet in the
-prefix of both, so the long lists at the end are skipped. Candidates whose collisions
-reach MATCHES are confirmed on their full sets.
+prefix of both, so the long lists at the end are skipped. Nodes of one list whose
+collisions reach MATCHES are candidates; candidates that hang together form a cluster, and
+all of a cluster's pairs are confirmed on their full sets.
 
-Inside a list no all-pairs product is formed: each list compares its members with one
-leader, confirmed links are contracted to components, and only lists that still hold several
-components go on, with another leader, until none has an untested pair left.
+Lists and clusters are compared in blocks of at most BLOCK nodes by block, so a large one is
+spread over tasks, and a task gives no pairs but, for each node, the first node of its block
+pair that it hangs together with.
 """
 
 from __future__ import annotations
@@ -31,8 +32,9 @@ COORDINATES = 64
 MATCHES = 40
 #: Ids that are broadcast to pick texts (8 bytes each); more are joined by shuffle.
 BROADCAST_IDS = 500_000
-#: Untested pairs up to which the rest is compared at once instead of leader by leader.
-REST_PAIRS = 2_000_000
+#: Nodes of a list or cluster that are compared with as many others at once.
+BLOCK = 1024
+EDGES = "a bigint, b bigint"
 
 
 def _text_sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[pa.RecordBatch, list]]:
@@ -51,8 +53,8 @@ def _features(n: int):
         for batch, sets in _text_sets(batches, n):
             sigs = [min_hashes(x, family).view(np.int32) if len(x) else None for x in sets]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([_node(x) for x in sets], pa.binary()), pa.array(sigs, pa.list_(pa.int32()))],
-                names=["doc_id", "n_shingles", "node", "sig"],
+                [batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([_node(x) for x in sets], pa.binary()), pa.array(sigs, pa.list_(pa.int32())), pa.array([x is not None and x.astype(np.uint8).tobytes() or None for x in sigs], pa.binary())],
+                names=["doc_id", "n_shingles", "node", "sig", "short"],
             )
 
     return run
@@ -67,6 +69,106 @@ def _sets(n: int):
     return run
 
 
+def in_blocks(members: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
+    """members(g, nid, ...) -> its rows with a column part, dealt out by part and sorted by it.
+
+    A group g of up to BLOCK members is one part. A larger one is cut into blocks by a hash of
+    nid, and each pair of blocks is a part. Groups of one member are dropped.
+    """
+    counts = (members if sizes is None else sizes).groupBy("g").agg(F.count("*").alias("_n")).where("_n > 1")
+    blocks = F.ceil(F.col("_n") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("nid"), blocks).cast("int")
+    rows = members.join(counts, "g").withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    rows = rows.withColumn("part", F.struct("g", F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j")))
+    return rows.drop("g", "_n", "_own", "_other").repartition("part").sortWithinPartitions("part")
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each part; a part's rows follow each other."""
+    held: list[pa.Table] = []
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        part = table.column("part").combine_chunks().flatten()
+        k = [x.to_numpy(zero_copy_only=False) for x in part]
+        new = np.flatnonzero(np.any([x[1:] != x[:-1] for x in k], axis=0)) + 1
+        cuts = [0, *new.tolist(), table.num_rows]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            piece = table.slice(a, b - a)
+            if held and held[0].column("part")[0] != piece.column("part")[0]:
+                yield pa.concat_tables(held)
+                held = []
+            held.append(piece)
+    if held:
+        yield pa.concat_tables(held)
+
+
+def _roots(linked: np.ndarray) -> np.ndarray:
+    """For each row of a symmetric matrix the first row that links reach."""
+    n = len(linked)
+    at = np.arange(n)
+    while True:
+        new = np.minimum(at, np.where(linked, at, n).min(axis=1))
+        new = new[new]
+        if (new == at).all():
+            return at
+        at = new
+
+
+def _agree(short: list[bytes]) -> np.ndarray:
+    """Which signatures agree in MATCHES coordinates, by one byte of each."""
+    x = np.frombuffer(b"".join(short), np.uint8).reshape(len(short), -1).T
+    total = np.zeros((len(short), len(short)), np.uint8)
+    for row in x:
+        total += row[:, None] == row
+    return total >= MATCHES
+
+
+def _alike(percent: int):
+    def run(items) -> np.ndarray:
+        """Which sets are alike; common items are counted by products of presence matrices over parts of the items."""
+        sets = [x.values.to_numpy() for x in items]
+        sizes = np.array([len(x) for x in sets])
+        flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+        _, place, count = np.unique(flat, return_inverse=True, return_counts=True)
+        shared = np.cumsum(count > 1) - 1
+        keep = count[place] > 1
+        place, owner = shared[place[keep]], owner[keep]
+        order = np.argsort(place, kind="stable")
+        place, owner = place[order], owner[order]
+        same = np.zeros((len(sets), len(sets)), np.float32)
+        for at in range(0, int(shared[-1]) + 1 if len(shared) else 0, 1024):
+            a, b = np.searchsorted(place, (at, at + 1024))
+            x = np.zeros((len(sets), min(1024, int(shared[-1]) + 1 - at)), np.float32)
+            x[owner[a:b], place[a:b] - at] = 1
+            same += x @ x.T
+        same = same.astype(np.int64)
+        return 100 * same >= percent * (sizes[:, None] + sizes - same)
+
+    return run
+
+
+def _hang_together(column: str, linked):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a, b = [], []
+
+        def out():
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a or [np.zeros(0, np.int64)])), pa.array(np.concatenate(b or [np.zeros(0, np.int64)]))], names=["a", "b"])
+
+        for part in _parts(batches):
+            nid = part.column("nid").to_numpy()
+            values = part.column(column)
+            root = _roots(linked(list(values) if column == "items" else values.to_pylist()))
+            rest = root != np.arange(len(root))
+            a.append(nid[rest])
+            b.append(nid[root[rest]])
+            if len(a) > 10_000:
+                yield out()
+                a, b = [], []
+        yield out()
+
+    return run
+
+
 class NearDuplicates:
     """The stages of one run; see near_duplicates()."""
 
@@ -74,7 +176,7 @@ class NearDuplicates:
         self.docs, self.n, self.percent = docs.selectExpr("cast(doc_id as bigint) doc_id", "text"), n, percent
 
     def documents(self) -> DataFrame:
-        return staged(self.docs.mapInArrow(_features(self.n), "doc_id bigint, n_shingles bigint, node binary, sig array<int>"), "features")
+        return staged(self.docs.mapInArrow(_features(self.n), "doc_id bigint, n_shingles bigint, node binary, sig array<int>, short binary"), "features")
 
     def sets(self, wanted: DataFrame) -> DataFrame:
         """wanted(nid, rep, node) -> nid, items: the sets of these nodes, from the texts of their representatives."""
@@ -84,19 +186,6 @@ class NearDuplicates:
         texts = self.docs.alias("d").join(ids.alias("i"), F.col("d.doc_id").eqNullSafe(F.col("i.doc_id")), "left_semi")
         return texts.mapInArrow(_sets(self.n), "node binary, items array<bigint>").join(wanted.select("nid", "node"), "node").select("nid", "items")
 
-    def confirmed(self, pairs: DataFrame, active: DataFrame) -> DataFrame:
-        """pairs(lead, member) -> those that agree in MATCHES coordinates and are alike on full sets."""
-        keys = active.select("nid", "keys")
-        near = pairs.join(keys.toDF("lead", "ka"), "lead").join(keys.toDF("member", "kb"), "member")
-        near = staged(near.where(F.size(F.array_intersect("ka", "kb")) >= MATCHES).select("lead", "member"), "near")
-        who = active.select("nid", "rep", "node")
-        leads = self.sets(who.join(near.select(F.col("lead").alias("nid")).distinct(), "nid", "left_semi"))
-        members = self.sets(who.join(near.select(F.col("member").alias("nid")).distinct(), "nid", "left_semi"))
-        # repeated rows of a document bring a set twice
-        both = near.join(members.toDF("member", "sb"), "member").join(leads.toDF("lead", "sa"), "lead")
-        same = F.size(F.array_intersect("sa", "sb"))
-        return staged(both.where(100 * same >= self.percent * (F.size("sa") + F.size("sb") - same)).select("lead", "member").distinct(), "links")
-
     def active(self, nodes: DataFrame) -> DataFrame:
         """Nodes that share at least MATCHES coordinate-value pairs with others, with these pairs, rarest first."""
         key = F.shiftleft(F.col("pos").cast("long"), 32).bitwiseOR(F.col("value").cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
@@ -104,51 +193,28 @@ class NearDuplicates:
         shared = posted.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
         mine = posted.join(shared, "key").groupBy("nid").agg(F.array_sort(F.collect_list(F.struct("n", "key"))).alias("k"))
         mine = mine.where(F.size("k") >= MATCHES).select("nid", F.transform("k", lambda x: x["key"]).alias("keys"))
-        return staged(mine.join(nodes.select("nid", "rep", "node"), "nid"), "active")
-
-    def links(self, active: DataFrame) -> DataFrame:
-        spark = active.sparkSession
-        lists = active.select("nid", F.explode(F.slice("keys", F.lit(1), F.size("keys") - MATCHES + 1)).alias("key"))
-        lists = staged(lists.join(lists.groupBy("key").count().where("count > 1").select("key"), "key", "left_semi"), "lists")
-        found = tested = spark.createDataFrame([], "lead bigint, member bigint")
-        turn = 0
-        while True:
-            roots = components(found, "lead", "member") if turn else spark.createDataFrame([], "node bigint, root bigint")
-            open_lists = lists.join(roots.withColumnRenamed("node", "nid"), "nid", "left").withColumn("c", F.coalesce("root", "nid")).select("key", "nid", "c")
-            mixed = open_lists.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-            open_lists = staged(open_lists.join(mixed, "key", "left_semi"), "open")
-            cells = open_lists.groupBy("key", "c").agg(F.count("*").alias("n"))
-            left = cells.groupBy("key").agg(((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("p")).agg(F.sum("p")).first()[0]
-            if not left:
-                return found
-            rest = turn > 0 and left <= REST_PAIRS
-            if rest:
-                cells = cells.select("key", "c")
-                crossed = cells.join(cells.withColumnRenamed("c", "c2"), "key").where("c < c2")
-                pairs = crossed.join(open_lists.withColumnRenamed("nid", "a"), ["key", "c"]).join(open_lists.toDF("key", "b", "c2"), ["key", "c2"])
-            else:
-                lead = F.min(F.struct(F.xxhash64("nid", "key", F.lit(turn)).alias("h"), F.col("nid").alias("a"), F.col("c").alias("c2")))
-                leaders = staged(open_lists.groupBy("key").agg(lead.alias("l")).select("key", "l.a", "l.c2"), "leaders")
-                pairs = open_lists.withColumnRenamed("nid", "b").join(leaders, "key").where("c <> c2")
-            pairs = pairs.groupBy(F.least("a", "b").alias("lead"), F.greatest("a", "b").alias("member")).agg(F.count("*").alias("hits"))
-            pairs = pairs.join(tested, ["lead", "member"], "left_anti")
-            if not turn:  # the most promising leader of each node first: most lists are one component afterwards
-                pairs = pairs.groupBy("member").agg(F.max_by("lead", F.struct("hits", "lead")).alias("lead"))
-            pairs = staged(pairs.select("lead", "member"), "pairs")
-            found = staged(found.union(self.confirmed(pairs, active)), "found")
-            if rest:
-                return found
-            if turn:  # all pairs with this leader are tested now
-                lists = staged(lists.join(leaders.select("key", F.col("a").alias("nid")), ["key", "nid"], "left_anti"), "lists")
-            tested = staged(tested.union(pairs), "tested")
-            turn += 1
+        return staged(mine.join(nodes.select("nid", "rep", "node", "short"), "nid"), "active")
+
+    def clusters(self, active: DataFrame) -> DataFrame:
+        """(nid, cluster) of the nodes that have a candidate."""
+        lists = active.select("nid", "short", F.explode(F.slice("keys", F.lit(1), F.size("keys") - MATCHES + 1)).alias("g"))
+        return components(in_blocks(lists).mapInArrow(_hang_together("short", _agree), EDGES).distinct()).withColumnsRenamed({"node": "nid", "root": "g"})
+
+    def confirmed(self, clusters: DataFrame, active: DataFrame) -> DataFrame:
+        """(nid, root) of the nodes that links join to others."""
+        clusters = staged(clusters, "clusters")
+        sets = self.sets(active.select("nid", "rep", "node").join(clusters.select("nid"), "nid", "left_semi"))
+        # a document's repeated rows bring its set more than once
+        found = in_blocks(clusters.join(sets.dropDuplicates(["nid"]), "nid"), clusters).mapInArrow(_hang_together("items", _alike(self.percent)), EDGES)
+        return components(found)
 
     def run(self) -> DataFrame:
         small_batches(self.docs.sparkSession)
         found = self.documents()
-        nodes = found.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"))
+        nodes = found.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("short").alias("short"))
         nodes = staged(nodes.withColumn("nid", F.monotonically_increasing_id()), "nodes")
-        roots = components(self.links(self.active(nodes)), "lead", "member")
+        active = self.active(nodes)
+        roots = self.confirmed(self.clusters(active), active)
         grouped = nodes.select("nid", "node", "rep").join(roots.withColumnRenamed("node", "nid"), "nid", "left").withColumn("root", F.coalesce("root", "nid"))
         least = grouped.groupBy("root").agg(F.min("rep").alias("component_id"))
         ids = staged(grouped.join(least, "root").select("node", "component_id"), "classes")
