@@ -83,7 +83,7 @@ def in_blocks(members: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
     return rows.drop("g", "_n", "_own", "_other").repartition("part").sortWithinPartitions("part")
 
 
-def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
     """The rows of each part; a part's rows follow each other."""
     held: list[pa.Table] = []
     for batch in batches:
@@ -123,25 +123,31 @@ def _agree(short: list[bytes]) -> np.ndarray:
     return total >= MATCHES
 
 
+def common_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """How many items each two sets have in common, by products of presence matrices over parts of the items."""
+    sizes = np.array([len(x) for x in sets])
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    _, place, count = np.unique(flat, return_inverse=True, return_counts=True)
+    shared = np.cumsum(count > 1) - 1
+    keep = count[place] > 1
+    place, owner = shared[place[keep]], owner[keep]
+    order = np.argsort(place, kind="stable")
+    place, owner = place[order], owner[order]
+    same = np.zeros((len(sets), len(sets)), np.float32)
+    for at in range(0, int(shared[-1]) + 1 if len(shared) else 0, 1024):
+        a, b = np.searchsorted(place, (at, at + 1024))
+        x = np.zeros((len(sets), min(1024, int(shared[-1]) + 1 - at)), np.float32)
+        x[owner[a:b], place[a:b] - at] = 1
+        same += x @ x.T
+    return same.astype(np.int64)
+
+
 def _alike(percent: int):
     def run(items) -> np.ndarray:
-        """Which sets are alike; common items are counted by products of presence matrices over parts of the items."""
+        """Which sets are alike."""
         sets = [x.values.to_numpy() for x in items]
         sizes = np.array([len(x) for x in sets])
-        flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
-        _, place, count = np.unique(flat, return_inverse=True, return_counts=True)
-        shared = np.cumsum(count > 1) - 1
-        keep = count[place] > 1
-        place, owner = shared[place[keep]], owner[keep]
-        order = np.argsort(place, kind="stable")
-        place, owner = place[order], owner[order]
-        same = np.zeros((len(sets), len(sets)), np.float32)
-        for at in range(0, int(shared[-1]) + 1 if len(shared) else 0, 1024):
-            a, b = np.searchsorted(place, (at, at + 1024))
-            x = np.zeros((len(sets), min(1024, int(shared[-1]) + 1 - at)), np.float32)
-            x[owner[a:b], place[a:b] - at] = 1
-            same += x @ x.T
-        same = same.astype(np.int64)
+        same = common_counts(sets)
         return 100 * same >= percent * (sizes[:, None] + sizes - same)
 
     return run
@@ -154,7 +160,7 @@ def _hang_together(column: str, linked):
         def out():
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a or [np.zeros(0, np.int64)])), pa.array(np.concatenate(b or [np.zeros(0, np.int64)]))], names=["a", "b"])
 
-        for part in _parts(batches):
+        for part in parts(batches):
             nid = part.column("nid").to_numpy()
             values = part.column(column)
             root = _roots(linked(list(values) if column == "items" else values.to_pylist()))
