@@ -16,6 +16,8 @@ from prosemill.llm.common import staged
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Languages that stay; None keeps every learned one. What has no letter has none.
 LANGUAGES = None
+#: Near duplicates share 80 % of their five-word shingles.
+SHINGLE_WORDS, PERCENT = 5, 80
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +32,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near duplicates; of repeated rows with its id, the least text."""
-    kept = minhash.near_duplicates(docs).where("kept").select("doc_id").distinct()
+    kept = minhash.near_duplicates(docs, shingle_words=SHINGLE_WORDS, percent=PERCENT).where("kept").select("doc_id").distinct()
     stay = docs.select(*COLUMNS).join(kept.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
     # rows of one id are no hot group: this deals each id's rows, mostly one, together
     key = F.when(F.col("doc_id").isNull(), F.concat(F.lit("t"), F.md5(F.coalesce("text", F.lit(""))))).otherwise(F.col("doc_id").cast("string"))

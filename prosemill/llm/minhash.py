@@ -2,9 +2,9 @@
 
 A text is its set of 3-word shingles; equal sets are one node. Each node is posted under its
 coordinate-value pairs. Pairs posted once are dropped, the others ordered by the length of
-their list, rarest first: two nodes that agree in at least MATCHES coordinates meet in the
+their list, rarest first: two nodes that agree in enough coordinates meet in the
 prefix of both, so the long lists at the end are skipped. Nodes of one list whose
-collisions reach MATCHES are candidates; candidates that hang together form a cluster, and
+collisions reach least_matches() are candidates; candidates that hang together form a cluster, and
 all of a cluster's pairs are confirmed on their full sets.
 
 Lists and clusters are compared in blocks of at most BLOCK nodes by block, so a large one is
@@ -28,8 +28,14 @@ from .shingles import WordHash, hash_family, min_hashes, shingles, words
 SHINGLE_WORDS = 3
 PERCENT = 85
 COORDINATES = 64
-#: Agreements asked for. A pair of similarity 0.85 agrees in 54.4 on average, in fewer than 40 with a chance of about 3e-6.
-MATCHES = 40
+
+
+def least_matches(percent: int) -> int:
+    """Agreements asked for: a pair at the threshold has fewer with a chance of about 3e-6 (40 of 64 at 0.85)."""
+    s = percent / 100
+    return max(1, int(COORDINATES * s - 4.75 * (COORDINATES * s * (1 - s)) ** 0.5))
+
+
 #: Ids that are broadcast to pick texts (8 bytes each); more are joined by shuffle.
 BROADCAST_IDS = 500_000
 #: Nodes of a list or cluster that are compared with as many others at once.
@@ -114,13 +120,16 @@ def _roots(linked: np.ndarray) -> np.ndarray:
         at = new
 
 
-def _agree(short: list[bytes]) -> np.ndarray:
-    """Which signatures agree in MATCHES coordinates, by one byte of each."""
-    x = np.frombuffer(b"".join(short), np.uint8).reshape(len(short), -1).T
-    total = np.zeros((len(short), len(short)), np.uint8)
-    for row in x:
-        total += row[:, None] == row
-    return total >= MATCHES
+def _agree(matches: int):
+    def run(short: list[bytes]) -> np.ndarray:
+        """Which signatures agree in enough coordinates, by one byte of each."""
+        x = np.frombuffer(b"".join(short), np.uint8).reshape(len(short), -1).T
+        total = np.zeros((len(short), len(short)), np.uint8)
+        for row in x:
+            total += row[:, None] == row
+        return total >= matches
+
+    return run
 
 
 def common_counts(sets: list[np.ndarray]) -> np.ndarray:
@@ -180,6 +189,7 @@ class NearDuplicates:
 
     def __init__(self, docs: DataFrame, n: int, percent: int):
         self.docs, self.n, self.percent = docs.selectExpr("cast(doc_id as bigint) doc_id", "text"), n, percent
+        self.matches = least_matches(percent)
 
     def documents(self) -> DataFrame:
         return staged(self.docs.mapInArrow(_features(self.n), "doc_id bigint, n_shingles bigint, node binary, sig array<int>, short binary"), "features")
@@ -193,18 +203,18 @@ class NearDuplicates:
         return texts.mapInArrow(_sets(self.n), "node binary, items array<bigint>").join(wanted.select("nid", "node"), "node").select("nid", "items")
 
     def active(self, nodes: DataFrame) -> DataFrame:
-        """Nodes that share at least MATCHES coordinate-value pairs with others, with these pairs, rarest first."""
+        """Nodes that share enough coordinate-value pairs with others, with these pairs, rarest first."""
         key = F.shiftleft(F.col("pos").cast("long"), 32).bitwiseOR(F.col("value").cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
         posted = nodes.select("nid", F.posexplode("sig").alias("pos", "value")).select("nid", key.alias("key"))
         shared = posted.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
         mine = posted.join(shared, "key").groupBy("nid").agg(F.array_sort(F.collect_list(F.struct("n", "key"))).alias("k"))
-        mine = mine.where(F.size("k") >= MATCHES).select("nid", F.transform("k", lambda x: x["key"]).alias("keys"))
+        mine = mine.where(F.size("k") >= self.matches).select("nid", F.transform("k", lambda x: x["key"]).alias("keys"))
         return staged(mine.join(nodes.select("nid", "rep", "node", "short"), "nid"), "active")
 
     def clusters(self, active: DataFrame) -> DataFrame:
         """(nid, cluster) of the nodes that have a candidate."""
-        lists = active.select("nid", "short", F.explode(F.slice("keys", F.lit(1), F.size("keys") - MATCHES + 1)).alias("g"))
-        return components(in_blocks(lists).mapInArrow(_hang_together("short", _agree), EDGES).distinct()).withColumnsRenamed({"node": "nid", "root": "g"})
+        lists = active.select("nid", "short", F.explode(F.slice("keys", F.lit(1), F.size("keys") - self.matches + 1)).alias("g"))
+        return components(in_blocks(lists).mapInArrow(_hang_together("short", _agree(self.matches)), EDGES).distinct()).withColumnsRenamed({"node": "nid", "root": "g"})
 
     def confirmed(self, clusters: DataFrame, active: DataFrame) -> DataFrame:
         """(nid, root) of the nodes that links join to others."""
