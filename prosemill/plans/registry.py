@@ -40,7 +40,6 @@ def _docs(spark, sf, c, *more):
     return table(spark, sf, "documents").select("doc_id", *more, c.alias("out"))
 
 
-X = F.col("text")
 WS_STRIP = f"regexp_replace({{}}, {_q(f'^[{P.WS}]+|[{P.WS}]+$')}, '', 'g')"
 
 
@@ -48,7 +47,7 @@ def _text(name: str, column, sql: str) -> None:
     """A query that applies a text function to all documents."""
 
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        return _docs(spark, sf, column)
+        return _docs(spark, sf, column(F.col("text")))
 
     run.__name__ = name
     query(f"SELECT doc_id, {sql} AS out FROM documents")(run)
@@ -95,39 +94,39 @@ def rerank_candidates(spark, sf):
 
 # text functions
 
-_text("clean_ascii", T.ascii_only(X), f"regexp_replace(text, {_q(P.NOT_ASCII_TEXT)}, '', 'g')")
-_text("charset_unicode", T.text_only(X), f"regexp_replace(text, {_q(P.NOT_TEXT)}, '', 'g')")
-_text("collapse_whitespace", T.collapse(X), WS_STRIP.format(f"regexp_replace(text, {_q(f'[{P.WS}]+')}, ' ', 'g')"))
-_text("prefix_slice", F.substring(X, 1, P.PREFIX_CHARS), f"substring(text, 1, {P.PREFIX_CHARS})")
-_text("newline_to_space", F.replace(X, F.lit("\n"), F.lit(" ")), "replace(text, chr(10), ' ')")
-_text("dedup_key", T.dedup_key(F.substring(X, 1, 200)), f"regexp_replace(lower(substring(text, 1, 200)), {_q(P.NOT_WORD)}, '', 'g')")
-_text("word_count", F.size(T.words(X)).cast("long"), f"CAST(len(list_filter(regexp_split_to_array(text, {_q(f'[{P.WS}]+')}), lambda x: x <> '')) AS BIGINT)")
-_text("hyphen_unwrap", T.unwrap_hyphens(F.replace(X, F.lit("en"), F.lit("e-\n\nn"))), "regexp_replace(replace(text, 'en', 'e-' || chr(10) || chr(10) || 'n'), '-\\n+', '', 'g')")
+_text("clean_ascii", lambda x: T.ascii_only(x), f"regexp_replace(text, {_q(P.NOT_ASCII_TEXT)}, '', 'g')")
+_text("charset_unicode", lambda x: T.text_only(x), f"regexp_replace(text, {_q(P.NOT_TEXT)}, '', 'g')")
+_text("collapse_whitespace", lambda x: T.collapse(x), WS_STRIP.format(f"regexp_replace(text, {_q(f'[{P.WS}]+')}, ' ', 'g')"))
+_text("prefix_slice", lambda x: F.substring(x, 1, P.PREFIX_CHARS), f"substring(text, 1, {P.PREFIX_CHARS})")
+_text("newline_to_space", lambda x: F.replace(x, F.lit("\n"), F.lit(" ")), "replace(text, chr(10), ' ')")
+_text("dedup_key", lambda x: T.dedup_key(F.substring(x, 1, 200)), f"regexp_replace(lower(substring(text, 1, 200)), {_q(P.NOT_WORD)}, '', 'g')")
+_text("word_count", lambda x: F.size(T.words(x)).cast("long"), f"CAST(len(list_filter(regexp_split_to_array(text, {_q(f'[{P.WS}]+')}), lambda x: x <> '')) AS BIGINT)")
+_text("hyphen_unwrap", lambda x: T.unwrap_hyphens(F.replace(x, F.lit("en"), F.lit("e-\n\nn"))), "regexp_replace(replace(text, 'en', 'e-' || chr(10) || chr(10) || 'n'), '-\\n+', '', 'g')")
 _MARKED = "START OF THE PROJECT GUTENBERG EBOOK X\n"
 _text(
     "boilerplate_strip",
-    T.strip_boilerplate(F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("head\n" + _MARKED), X, F.lit("END OF THIS PROJECT GUTENBERG EBOOK tail"))).otherwise(X)),
+    lambda x: T.strip_boilerplate(F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("head\n" + _MARKED), x, F.lit("END OF THIS PROJECT GUTENBERG EBOOK tail"))).otherwise(x)),
     "CASE WHEN doc_id % 2 = 0 THEN text ELSE text END",
 )
 _text(
     "clip_sentence",
-    T.clip_sentence(F.substring(X, 1, 300)),
+    lambda x: T.clip_sentence(F.substring(x, 1, 300)),
     f"""CASE WHEN regexp_matches(substring(text, 1, 300), '[.!?"'']\\z') THEN substring(text, 1, 300)
     WHEN regexp_extract(substring(text, 1, 300), {_q(P.SENTENCE_END)}, 1) = '' THEN substring(text, 1, 300)
     ELSE regexp_extract(substring(text, 1, 300), {_q(P.SENTENCE_END)}, 1) END""",
 )
-_text("reply_cleanup", T.clean_reply(X), f"replace(regexp_replace(regexp_replace(regexp_replace(text, {_q(P.CONTROL)}, '', 'g'), {_q(P.BREAKS)}, ' ', 'g'), {_q(P.BLANKS)}, ' ', 'g'), chr(65533), '')")
+_text("reply_cleanup", lambda x: T.clean_reply(x), f"replace(regexp_replace(regexp_replace(regexp_replace(text, {_q(P.CONTROL)}, '', 'g'), {_q(P.BREAKS)}, ' ', 'g'), {_q(P.BLANKS)}, ' ', 'g'), chr(65533), '')")
 _text(
     "stop_marker_cut",
-    T.cut_at_markers(F.concat(X, F.lit("\nQuestion: more"))),
+    lambda x: T.cut_at_markers(F.concat(x, F.lit("\nQuestion: more"))),
     WS_STRIP.format("string_split(string_split(string_split(text || chr(10) || 'Question: more', chr(10) || chr(10))[1], chr(10) || 'Question:')[1], chr(10) || 'Context:')[1]"),
 )
-_text("distinct_numbers", F.array_join(F.array_sort(T.distinct_values(X, P.NUMBER, 1)), "|"), f"CASE WHEN len(regexp_extract_all(text, {_q(P.NUMBER)})) > 0 THEN array_to_string(list_sort(list_distinct(regexp_extract_all(text, {_q(P.NUMBER)}))), '|') END")
-_text("fence_strip", T.strip_fence(F.concat(F.lit("```json\n"), F.substring(X, 1, 80), F.lit("\n```"))), WS_STRIP.format("substring(text, 1, 80)").replace("^[", "[").replace(f"'[{P.WS}]+|", f"'^[{P.WS}]+|"))
-_text("prompt_template", T.prompt(F.when(F.col("doc_id") % 2 == 0, F.substring(X, 1, 50)), F.col("lang")), "CASE WHEN doc_id % 2 = 0 THEN 'Context: ' || substring(text, 1, 50) || chr(10) || 'Question: ' || lang || chr(10) || 'Answer:' ELSE 'Question: ' || lang || chr(10) || 'Answer:' END")
-_text("candidate_format", F.format_string("Rank %d (score %.3f): %s", F.lit(1), F.col("n_chars") / 8, F.substring(X, 1, 400)), "format('Rank 1 (score {:.3f}): {}', n_chars / 8, substring(text, 1, 400))")
-_text("url_label", F.regexp_extract(F.concat(F.lit("runs/"), "source", F.lit("/")), "([^/]+)/*$", 1), "source")
-_text("thousands", F.concat(F.format_number("n_chars", 0), F.lit(" "), T.thousands(F.format_number("n_chars", 0)).cast("long").cast("string")), "format('{:,}', n_chars) || ' ' || n_chars")
+_text("distinct_numbers", lambda x: F.array_join(F.array_sort(T.distinct_values(x, P.NUMBER, 1)), "|"), f"CASE WHEN len(regexp_extract_all(text, {_q(P.NUMBER)})) > 0 THEN array_to_string(list_sort(list_distinct(regexp_extract_all(text, {_q(P.NUMBER)}))), '|') END")
+_text("fence_strip", lambda x: T.strip_fence(F.concat(F.lit("```json\n"), F.substring(x, 1, 80), F.lit("\n```"))), WS_STRIP.format("substring(text, 1, 80)").replace("^[", "[").replace(f"'[{P.WS}]+|", f"'^[{P.WS}]+|"))
+_text("prompt_template", lambda x: T.prompt(F.when(F.col("doc_id") % 2 == 0, F.substring(x, 1, 50)), F.col("lang")), "CASE WHEN doc_id % 2 = 0 THEN 'Context: ' || substring(text, 1, 50) || chr(10) || 'Question: ' || lang || chr(10) || 'Answer:' ELSE 'Question: ' || lang || chr(10) || 'Answer:' END")
+_text("candidate_format", lambda x: F.format_string("Rank %d (score %.3f): %s", F.lit(1), F.col("n_chars") / 8, F.substring(x, 1, 400)), "format('Rank 1 (score {:.3f}): {}', n_chars / 8, substring(text, 1, 400))")
+_text("url_label", lambda x: F.regexp_extract(F.concat(F.lit("runs/"), "source", F.lit("/")), "([^/]+)/*$", 1), "source")
+_text("thousands", lambda x: F.concat(F.format_number("n_chars", 0), F.lit(" "), T.thousands(F.format_number("n_chars", 0)).cast("long").cast("string")), "format('{:,}', n_chars) || ' ' || n_chars")
 
 
 @query(f"""
@@ -152,7 +151,7 @@ SELECT doc_id, a[1] || coalesce(array_to_string(list_transform(a[2:], lambda x:
 
 @query(_dewrap_sql())
 def dewrap(spark, sf):
-    return _docs(spark, sf, T.dewrap(T.ascii_only(X)))
+    return _docs(spark, sf, T.dewrap(T.ascii_only(F.col("text"))))
 
 
 @query(f"""
@@ -160,14 +159,14 @@ WITH c AS (SELECT length(text) AS b, length(regexp_replace(text, {_q(P.NOT_ASCII
 SELECT count(*) AS n_in, count(*) FILTER (a >= 150) AS n_out, CAST(sum(b) AS BIGINT) AS chars_before, CAST(sum(a) FILTER (a >= 150) AS BIGINT) AS chars_after,
 round(100 * (1 - sum(a) FILTER (a >= 150) / sum(b)), 6) AS pct_dropped FROM c""")
 def clean_stats(spark, sf):
-    c = table(spark, sf, "documents").select(F.length("text").alias("b"), F.length(T.ascii_only(X)).alias("a"))
+    c = table(spark, sf, "documents").select(F.length("text").alias("b"), F.length(T.ascii_only(F.col("text"))).alias("a"))
     kept = F.when(F.col("a") >= P.MIN_CLEAN_CHARS, F.col("a"))
     return c.agg(F.count("*").alias("n_in"), F.count(kept).alias("n_out"), F.sum("b").alias("chars_before"), F.sum(kept).alias("chars_after"), F.round(100 * (1 - F.sum(kept) / F.sum("b")), 6).alias("pct_dropped"))
 
 
 @query(f"SELECT doc_id, length(text) AS n FROM documents WHERE length({WS_STRIP.format('text')}) >= 500")
 def length_filter(spark, sf):
-    return table(spark, sf, "documents").where(F.length(T.strip(X)) >= P.MIN_ARTICLE_CHARS).select("doc_id", F.length("text").cast("long").alias("n"))
+    return table(spark, sf, "documents").where(F.length(T.strip(F.col("text"))) >= P.MIN_ARTICLE_CHARS).select("doc_id", F.length("text").cast("long").alias("n"))
 
 
 _COLLAPSED = WS_STRIP.format(f"regexp_replace(html, {_q(f'[{P.WS}]+')}, ' ', 'g')")
