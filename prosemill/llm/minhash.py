@@ -132,23 +132,34 @@ def _agree(matches: int):
     return run
 
 
+#: An item of up to this many sets counts pair by pair, a more common one by matrix products.
+FEW = 8
+
+
 def common_counts(sets: list[np.ndarray]) -> np.ndarray:
-    """How many items each two sets have in common, by products of presence matrices over parts of the items."""
-    sizes = np.array([len(x) for x in sets])
-    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
-    _, place, count = np.unique(flat, return_inverse=True, return_counts=True)
-    shared = np.cumsum(count > 1) - 1
-    keep = count[place] > 1
-    place, owner = shared[place[keep]], owner[keep]
+    """How many items each two of some sets (arrays without repeats) have in common."""
+    n, sizes = len(sets), np.array([len(x) for x in sets])
+    owner = np.repeat(np.arange(n), sizes)
+    _, place, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     order = np.argsort(place, kind="stable")
-    place, owner = place[order], owner[order]
-    same = np.zeros((len(sets), len(sets)), np.float32)
-    for at in range(0, int(shared[-1]) + 1 if len(shared) else 0, 1024):
-        a, b = np.searchsorted(place, (at, at + 1024))
-        x = np.zeros((len(sets), min(1024, int(shared[-1]) + 1 - at)), np.float32)
-        x[owner[a:b], place[a:b] - at] = 1
-        same += x @ x.T
-    return same.astype(np.int64)
+    owner, ends = owner[order], np.cumsum(count)
+    same = np.zeros((n, n), np.int64)
+    for c in range(2, FEW + 1):
+        who = owner[(ends[count == c] - c)[:, None] + np.arange(c)]
+        for x in range(c):
+            for y in range(x + 1, c):
+                np.add.at(same, (who[:, x], who[:, y]), 1)
+    same += same.T
+    common = np.flatnonzero(count > FEW)
+    dense = np.zeros((n, n), np.float32)
+    for at in range(0, len(common), 1024):
+        part = common[at : at + 1024]
+        x = np.zeros((n, len(part)), np.float32)
+        x[np.concatenate([owner[ends[k] - count[k] : ends[k]] for k in part]), np.repeat(np.arange(len(part)), count[part])] = 1
+        dense += x @ x.T
+    same += dense.astype(np.int64)
+    np.fill_diagonal(same, sizes)
+    return same
 
 
 def _alike(percent: int):
