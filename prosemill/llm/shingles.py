@@ -34,6 +34,45 @@ class WordHash:
             return np.array([known[w] for w in ws], np.uint64)
 
 
+#: Bytes of a text that are hashed at once; a word is never cut.
+CHUNK = 1 << 20
+_GAP = np.zeros(256, bool)
+_GAP[[32, *range(9, 14)]] = True
+_BYTE = np.random.default_rng(5).integers(0, 2**64 - 1, 256, np.uint64)
+_BYTE[65:91] = _BYTE[97:123]
+_INVERSE = np.uint64(pow(int(_M1), -1, 2**64))
+_powers: list[np.ndarray] = [np.zeros(0, np.uint64)] * 2
+
+
+def word_hashes(text: str | None) -> np.ndarray:
+    """Hashes of the words of a text, those that words() finds: polynomials over bytes mod 2^64, from running sums."""
+    data, out, at = (text or "").encode("utf-8", "replace"), [], 0
+    while at < len(data):
+        end = at + CHUNK
+        if end < len(data):
+            x = np.frombuffer(data, np.uint8, CHUNK, at)
+            gaps = np.flatnonzero(_GAP[x])
+            while not len(gaps) and end < len(data):
+                x = np.frombuffer(data, np.uint8, min(CHUNK, len(data) - end), end)
+                gaps, at_gap, end = np.flatnonzero(_GAP[x]), end, end + len(x)
+                end = at_gap + int(gaps[0]) + 1 if len(gaps) else end
+            if end == at + CHUNK:
+                end = at + int(gaps[-1]) + 1
+        x = np.frombuffer(data, np.uint8, min(end, len(data)) - at, at)
+        at += len(x)
+        if len(x) >= len(_powers[0]):
+            for i, p in enumerate((_M1, _INVERSE)):
+                _powers[i] = np.cumprod(np.append(np.uint64(1), np.full(2 * len(x), p, np.uint64)))
+        gap = np.ones(len(x) + 2, bool)
+        gap[1:-1] = _GAP[x]
+        edges = np.flatnonzero(gap[1:] != gap[:-1])
+        total = np.zeros(len(x) + 1, np.uint64)
+        np.cumsum(_BYTE[x] * _powers[0][: len(x)], out=total[1:])
+        start = edges[::2]
+        out.append(mixed((total[edges[1::2]] - total[start]) * _powers[1][start]))
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(32))) * _M2
     return h ^ (h >> np.uint64(29))
