@@ -154,6 +154,25 @@ def test_repeated_passages(spark, docs, empty):
     assert passages.repeated_passages(empty).count() == 0
 
 
+def test_common_passages_either_side_leads():
+    a, seen = np.arange(60), np.zeros(400, bool)
+    b = np.concatenate([np.arange(100, 130), a, np.arange(200, 330)])
+    assert passages.common_passages(a, b, seen) == [(0, 60, 30, 90)]
+    assert passages.common_passages(b, a, seen) == [(30, 90, 0, 60)]
+    assert passages.common_passages(a, np.arange(100, 200), seen) == [] and not seen.any()
+
+
+def test_word_hashes_are_those_of_words():
+    from prosemill.llm import shingles
+
+    rng, known = np.random.default_rng(0), {}
+    for _ in range(300):
+        text = "".join(rng.choice(list("aBc \t\n\x0béÀ"), int(rng.integers(0, 60))))
+        ws, hs = shingles.words(text), shingles.word_hashes(text).tolist()
+        assert len(ws) == len(hs) and all(known.setdefault(w, h) == h for w, h in zip(ws, hs, strict=True))
+    assert len(set(known.values())) == len(known) and not len(shingles.word_hashes(None))
+
+
 def test_secrets_layers():
     key = "token=abcdefghijkl1234"
     b64 = base64.b64encode(key.encode()).decode()
