@@ -162,6 +162,36 @@ def test_common_passages_either_side_leads():
     assert passages.common_passages(a, np.arange(100, 200), seen) == [] and not seen.any()
 
 
+def test_longest_stretch_equals_brute_force():
+    rng = np.random.default_rng(1)
+    for _ in range(300):
+        hit = rng.random(int(rng.integers(1, 60))) < rng.choice([0.5, 0.9, 0.97])
+        # a stretch of at least one marked token, with eight in nine marked and the ends cut to marked ones
+        want = max((b - a for a in range(len(hit)) for b in range(a, len(hit) + 1) if 9 * hit[a:b].sum() >= 8 * (b - a)), default=0)
+        i, j = passages._longest(hit)
+        assert j - i <= want <= j - i + 8 + want // 9 and (i == j or (hit[i] and hit[j - 1]))
+        least = passages.MIN_TOKENS
+        assert passages._stretch_left(hit) == (want >= least)
+
+
+def test_passage_with_an_edited_word():
+    a, seen = np.arange(76), np.zeros(400, bool)
+    b = a.copy()
+    b[36:41] = np.arange(200, 205)
+    assert passages.common_passages(a, b, seen) == [(0, 76, 0, 76)]
+    assert passages._long_stretch(a, [np.unique(b), np.arange(20)]).tolist() == [True, False]
+
+
+def test_large_groups_keep_what_can_link(spark, monkeypatch):
+    monkeypatch.setattr(passages, "BLOCK", 2)
+    monkeypatch.setattr(passages, "SLICE_TEXTS", 2)
+    shared = np.arange(100, 100 + passages.LEAST_COMMON)
+    sets = {1: np.arange(10), 2: np.append(shared, 5), 3: np.append(shared, 6), 4: shared[1:], 5: np.zeros(0)}
+    tokens = spark.createDataFrame([(k, bytearray(v.astype("<u4").tobytes())) for k, v in sets.items()], "nid bigint, tokens binary")
+    members = spark.createDataFrame([(1, k) for k in sets] + [(8, 8), (8, 9)], "g bigint, nid bigint")
+    assert sorted(map(tuple, passages.could_link(members, tokens).collect())) == [(2, 2), (2, 3), (8, 8), (8, 9)]
+
+
 def test_word_hashes_are_those_of_words():
     from prosemill.llm import shingles
 
