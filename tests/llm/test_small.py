@@ -154,6 +154,19 @@ def test_repeated_passages(spark, docs, empty):
     assert passages.repeated_passages(empty).count() == 0
 
 
+def test_a_passage_has_the_same_windows_in_texts_of_any_length():
+    rng, least = np.random.default_rng(3), passages.MIN_TOKENS
+    for _ in range(20):
+        passage, centers = rng.integers(0, 2**63, 56).astype(np.uint64) * np.uint64(2), []
+        for n in (56, 596, 9_996):
+            h = rng.integers(0, 2**63, n).astype(np.uint64) * np.uint64(2)
+            at = (n - 56) // 2
+            h[at : at + 56] = passage
+            # least tokens of the runs inside the passage
+            centers.append({int(c) - at for a, c, b in passages.compact_windows(h).tolist() if at <= c < at + 56 and min(b, at + 55) - max(a, at) + 1 >= least})
+        assert centers[0] == centers[1] == centers[2] == {k + int(passage[k : k + least].argmin()) for k in range(56 - least + 1)}
+
+
 def test_common_passages_either_side_leads():
     a, seen = np.arange(60), np.zeros(400, bool)
     b = np.concatenate([np.arange(100, 130), a, np.arange(200, 330)])
