@@ -195,6 +195,22 @@ def test_passage_with_an_edited_word():
     assert passages._long_stretch(a, [np.unique(b), np.arange(20)]).tolist() == [True, False]
 
 
+def test_passage_with_inserted_words():
+    rng = np.random.default_rng(8)
+    for words, most in ((50, 2), (60, 5), (70, 7), (80, 10)):
+        for more in range(1, most + 1):
+            for around in (0, 300):
+                tokens, seen = words - 4, np.zeros(3_000, bool)
+                a, at = np.arange(tokens), tokens // 2 - 2
+                b = np.concatenate([a[:at], np.arange(500, 504 + more), a[at + 4 :]])
+                assert (tokens - 4) / (tokens + 4 + more) >= 0.8
+                a, b = (np.concatenate([rng.integers(lo, lo + 400, around), x, rng.integers(lo, lo + 400, around)]) for x, lo in ((a, 1_000), (b, 2_000)))
+                want = [(around, around + tokens, around, around + tokens + more)]
+                assert passages.common_passages(a, b, seen) == want
+                assert [(k, m, i, j) for i, j, k, m in passages.common_passages(b, a, seen)] == want
+                assert passages._long_stretch(a, [np.unique(b)]).all() and passages._long_stretch(b, [np.unique(a)]).all()
+
+
 def test_large_groups_keep_what_can_link(spark, monkeypatch):
     monkeypatch.setattr(passages, "BLOCK", 2)
     monkeypatch.setattr(passages, "SLICE_TEXTS", 2)
