@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -221,6 +222,21 @@ def test_large_groups_keep_what_can_link(spark, monkeypatch):
     assert sorted(map(tuple, passages.could_link(members, tokens).collect())) == [(2, 2), (2, 3), (8, 8), (8, 9)]
 
 
+def test_repeated_lines_link_in_groups_of_any_size(spark, monkeypatch):
+    # nine distinct tokens at fifty places
+    line = np.tile(np.arange(100, 109), 6)[:50]
+    sets = {k: np.concatenate([np.arange(1_000 * k, 1_000 * k + 30), line, np.arange(1_000 * k + 500, 1_000 * k + 520)]) for k in (1, 2, 3)}
+    rows = [(k, bytearray(v.astype("<u4").tobytes())) for k, v in sets.items()]
+    tokens, members = spark.createDataFrame(rows, "nid bigint, tokens binary"), spark.createDataFrame([(1, k) for k in sets], "g bigint, nid bigint")
+    for block in (2, 1024):
+        monkeypatch.setattr(passages, "BLOCK", block)
+        assert sorted(map(tuple, passages.could_link(members, tokens).collect())) == [(1, 1), (1, 2), (1, 3)]
+    part = pa.StructArray.from_arrays([pa.array([1] * 3), pa.array([0] * 3), pa.array([0] * 3)], names=["g", "i", "j"])
+    batch = pa.RecordBatch.from_arrays([part, pa.array([1, 2, 3]), pa.array([0] * 3), pa.array([bytes(x) for _, x in rows])], names=["part", "nid", "kind", "tokens"])
+    links = [r for out in passages._compare(iter([batch])) for r in out.to_pylist()]
+    assert {x for r in links for x in (r["lead"], r["member"])} == {1, 2, 3} and all((r["la"], r["lb"]) == (30, 84) for r in links)
+
+
 def test_word_hashes_are_those_of_words():
     from prosemill.llm import shingles
 
