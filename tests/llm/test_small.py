@@ -232,9 +232,20 @@ def test_repeated_lines_link_in_groups_of_any_size(spark, monkeypatch):
         monkeypatch.setattr(passages, "BLOCK", block)
         assert sorted(map(tuple, passages.could_link(members, tokens).collect())) == [(1, 1), (1, 2), (1, 3)]
     part = pa.StructArray.from_arrays([pa.array([1] * 3), pa.array([0] * 3), pa.array([0] * 3)], names=["g", "i", "j"])
-    batch = pa.RecordBatch.from_arrays([part, pa.array([1, 2, 3]), pa.array([0] * 3), pa.array([bytes(x) for _, x in rows])], names=["part", "nid", "kind", "tokens"])
+    batch = pa.RecordBatch.from_arrays([part, pa.array([1, 2, 3]), pa.array([0] * 3), pa.array([[1]] * 3), pa.array([bytes(x) for _, x in rows])], names=["part", "nid", "kind", "groups", "tokens"])
     links = [r for out in passages._compare(iter([batch])) for r in out.to_pylist()]
-    assert {x for r in links for x in (r["lead"], r["member"])} == {1, 2, 3} and all((r["la"], r["lb"]) == (30, 84) for r in links)
+    assert [r["nid"] for r in links] == [1, 2, 3] and all(r["root"] == 1 and r["spans"] == [{"a": 30, "b": 84}] for r in links)
+
+
+def test_links_of_all_pairs(spark, monkeypatch):
+    one, two = prose(41, 60), prose(42, 60)
+    # all share one passage; the last three share another that the first lacks
+    rows = [(k, " ".join([prose(50 + k, 30), one, prose(70 + k, 30), *[two] * (k > 3), prose(90 + k, 10)]), "en", "s") for k in range(1, 7)]
+    for block in (1024, 2):
+        monkeypatch.setattr(passages, "BLOCK", block)
+        got = by_id(passages.repeated_passages(make(spark, rows)), "class_id", "n_links", "passages")
+        assert {k: v[:2] for k, v in got.items()} == dict.fromkeys(range(1, 7), (1, 5))
+        assert [got[k][2] for k in range(1, 7)] == ["30:90"] * 3 + ["30:90,120:180"] * 3
 
 
 def test_word_hashes_are_those_of_words():
