@@ -2,7 +2,7 @@
 
 The root layer is the text. A layer is unwrapped in two ways: all URL and Unicode escapes
 in it are decoded in place, which gives one further layer of the whole text, and each
-base64 run that decodes to (possibly compressed) text gives a layer of its own. Every
+base64 run that decodes to (possibly compressed) bytes gives a layer of its own. Every
 layer keeps, for each character, the range of the root text that it came from.
 """
 
@@ -14,6 +14,7 @@ import re
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -26,8 +27,10 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 ESCAPE = re.compile(r"((?:%[0-9A-Fa-f]{2})+)|\\u([dD][89abAB][0-9A-Fa-f]{2})\\u([dD][c-fC-F][0-9A-Fa-f]{2})|\\u([0-9A-Fa-f]{4})|\\u\{([0-9A-Fa-f]{1,6})\}|\\x([0-9A-Fa-f]{2})")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
-#: A compressed layer that grows beyond this many bytes is taken for a bomb and not opened.
-MAX_LAYER_BYTES = 1 << 25
+#: A compressed layer is scanned in parts of about this many bytes, which may share the last of them.
+MAX_LAYER_BYTES, OVERLAP = 1 << 25, 1 << 18
+#: Bytes that no pattern takes.
+BETWEEN = re.compile(rb"[\x00-\x1f!#$&(-*,;<>?@\[\]^`|~\x7f]")
 
 
 def scan(text: str) -> list[tuple[int, int, int]]:
@@ -101,22 +104,82 @@ def _unescaped(layer: Layer) -> Layer | None:
     return Layer("".join(parts), pieces)
 
 
-def _inflated(raw: bytes) -> bytes | None:
-    """raw without its gzip or zlib layers, to the fixpoint; None for a bomb or a cycle."""
-    seen = set()
-    while raw[:2] == b"\x1f\x8b" or (raw[:1] == b"\x78" and len(raw) > 2 and (raw[0] << 8 | raw[1]) % 31 == 0):
-        if (key := hashlib.md5(raw).digest()) in seen:
-            return None
+def _compressed(raw: bytes) -> bool:
+    return raw[:2] == b"\x1f\x8b" or (raw[:1] == b"\x78" and len(raw) > 2 and (raw[0] << 8 | raw[1]) % 31 == 0)
+
+
+def _inflated(chunks: Iterator[bytes]) -> Iterator[bytes]:
+    """The content of chunks of gzip or zlib data, in pieces: all members, and as they are the bytes that are none."""
+    d = None
+    for raw in chunks:
+        while raw:
+            if d is None:
+                if not _compressed(raw):
+                    yield raw
+                    break
+                d = zlib.decompressobj(47)
+            try:
+                out = d.decompress(raw, MAX_LAYER_BYTES)
+            except zlib.error:
+                yield raw
+                d = None
+                break
+            rest = d.unused_data if d.eof else d.unconsumed_tail
+            if out:
+                yield out
+            d, raw = None if d.eof else d, rest
+
+
+def _merged(pieces: Iterator[bytes]) -> Iterator[bytes]:
+    """The pieces, joined to MAX_LAYER_BYTES each as long as there are more."""
+    held, size = [], 0
+    for piece in pieces:
+        held.append(piece)
+        size += len(piece)
+        if size >= MAX_LAYER_BYTES:
+            yield b"".join(held)
+            held, size = [], 0
+    if held:
+        yield b"".join(held)
+
+
+def _plain(raw: bytes) -> Iterator[bytes]:
+    """raw, or its content without gzip or zlib layers, to the fixpoint, in parts.
+
+    A part ends behind a byte that no pattern takes; without one it ends anywhere, and the next repeats the last OVERLAP bytes.
+    """
+    if not _compressed(raw):
+        yield raw
+        return
+    chunks, seen, first = iter([raw]), set(), raw
+    while _compressed(first) and (key := hashlib.md5(first).digest()) not in seen:
         seen.add(key)
-        try:
-            d = zlib.decompressobj(47)
-            out = d.decompress(raw, MAX_LAYER_BYTES)
-            if d.unconsumed_tail:
-                return None
-            raw = out + d.flush()
-        except zlib.error:
-            break
-    return raw
+        chunks = _merged(_inflated(chunks))
+        first = next(chunks, b"")
+        chunks = chain([first], chunks)
+    left = b""
+    for part in chunks:
+        part, left = left + part, b""
+        if len(part) >= MAX_LAYER_BYTES:
+            tail = part[-OVERLAP:]
+            cut = max((m.end() for m in BETWEEN.finditer(tail)), default=0)
+            left = tail[cut:]
+            part = part[: len(part) - len(left)] if cut else part
+        if part:
+            yield part
+    if left:
+        yield left
+
+
+def _decoded(raw: bytes) -> tuple[str, list[int]]:
+    """A text of the bytes, and how many each character takes; bytes that are not UTF-8 are taken as latin-1."""
+    try:
+        text = raw.decode()
+    except UnicodeDecodeError:
+        text = raw.decode("utf-8", "surrogateescape")
+        widths = [1 if 0xDC80 <= ord(c) <= 0xDCFF else len(c.encode()) for c in text]
+        return "".join(chr(ord(c) - 0xDC00) if 0xDC80 <= ord(c) <= 0xDCFF else c for c in text), widths
+    return text, [1] * len(raw) if len(text) == len(raw) else [len(c.encode()) for c in text]
 
 
 def _base64_layers(layer: Layer) -> Iterator[Layer]:
@@ -125,25 +188,20 @@ def _base64_layers(layer: Layer) -> Iterator[Layer]:
         if len(run) % 4 == 1:
             continue
         raw = base64.b64decode(run.replace("-", "+").replace("_", "/") + "=" * (-len(run) % 4))
-        plain = _inflated(raw)
-        if not plain:
-            continue
-        try:
-            text = plain.decode()
-        except UnicodeDecodeError:
-            continue
-        if not all(c.isprintable() or c in "\t\n\r" for c in text):
-            continue
-        if plain is raw:
-            pieces, at = [], 0
-            for i, c in enumerate(text):
-                w = len(c.encode())
-                first, last = at * 8 // 6, ((at + w) * 8 - 1) // 6
-                pieces.append((i, *layer.span(m.start() + first, min(m.start() + last + 1, m.end())), False))
-                at += w
-        else:
-            pieces = [(0, *layer.span(m.start(), m.end()), False)]
-        yield Layer(text, pieces)
+        for plain in _plain(raw):
+            text, widths = _decoded(plain)
+            if plain is raw:
+                # nothing to find, as in most words that look like base64
+                if not (scan(text) or ESCAPE.search(text) or BASE64.search(text)):
+                    continue
+                pieces, at = [], 0
+                for i, w in enumerate(widths):
+                    first, last = at * 8 // 6, ((at + w) * 8 - 1) // 6
+                    pieces.append((i, *layer.span(m.start() + first, min(m.start() + last + 1, m.end())), False))
+                    at += w
+            else:
+                pieces = [(0, *layer.span(m.start(), m.end()), False)]
+            yield Layer(text, pieces)
 
 
 def find_secrets(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
@@ -156,10 +214,14 @@ def find_secrets(text: str | None) -> tuple[list[tuple[int, int, int]], list[tup
     text = text or ""
     base = sorted(scan(text))
     spans = set(base)
-    todo = [Layer(text, [(0, 0, len(text), True)])] if text else []
+    # layers are made when their turn comes, so a large one isn't held in all its parts
+    todo = [iter([Layer(text, [(0, 0, len(text), True)])] if text else [])]
     seen = set()
     while todo:
-        layer = todo.pop()
+        layer = next(todo[-1], None)
+        if layer is None:
+            todo.pop()
+            continue
         if not layer.text:
             continue
         key = (hashlib.md5(layer.text.encode("utf-8", "replace")).digest(), layer.span(0, len(layer.text)))
@@ -168,11 +230,9 @@ def find_secrets(text: str | None) -> tuple[list[tuple[int, int, int]], list[tup
         if seen:
             spans |= {((at := layer.span(a, b))[0], k, at[1]) for a, k, b in scan(layer.text)}
         seen.add(key)
-        if "%" in layer.text or "\\" in layer.text:
-            inner = _unescaped(layer)
-            if inner:
-                todo.append(inner)
-        todo += _base64_layers(layer)
+        if ("%" in layer.text or "\\" in layer.text) and (inner := _unescaped(layer)):
+            todo.append(iter([inner]))
+        todo.append(_base64_layers(layer))
     return base, sorted(spans)
 
 

@@ -273,6 +273,27 @@ def test_secrets_layers():
     assert secrets.redacted("a token=abcdefghijkl b", [(2, 0, 20)]) == "a [secret] b"
 
 
+def test_secrets_in_layers_of_any_bytes(monkeypatch):
+    key = b"token=abcdefghijkl1234"
+    odd = [x.encode() for x in ("\u00a0", "\ufeff", "\u200b", "\u00ad", "\0", "\x1b", "\v")] + [b"\xff\xfe", b"\xc3"]
+    members = gzip.compress(b"nothing here", mtime=0) + gzip.compress(key, mtime=0)
+    inner = [x + b" " + key for x in odd] + [members, gzip.compress(members, mtime=0), members + b"\xff", zlib.compress(key) + key, b"x^2 " + key]
+    for raw in inner:
+        text = f"see {base64.b64encode(raw).decode()} end"
+        spans = secrets.find_secrets(text)[1]
+        assert any(k == 0 and 4 <= a < b <= len(text) - 4 for a, k, b in spans), raw
+        assert "[secret]" in secrets.redacted(text, spans)
+    text = base64.b64encode(b"\xff\xff\xff" + key).decode()
+    assert (4, 0, len(text.rstrip("="))) in secrets.find_secrets(text)[1]
+    monkeypatch.setattr(secrets, "MAX_LAYER_BYTES", 1_000)
+    monkeypatch.setattr(secrets, "OVERLAP", 200)
+    for fill in (b"\0", b"ab cd\n", b"= ", b"A"):
+        for n in (900, 980, 990, 1_000, 5_003):
+            for raw in (fill * n + b" " + key + fill * n, fill * n + b" " + base64.b64encode(key)):
+                for packed in (gzip.compress(raw, mtime=0), gzip.compress(gzip.compress(raw, mtime=0), mtime=0)):
+                    assert secrets.find_secrets(base64.b64encode(packed).decode())[1], (fill, n)
+
+
 def test_secret_scan_rows(spark, docs, empty):
     got = secret = secrets.secret_scan(docs)
     assert got.count() == docs.count() and secret.where("spans <> ''").count() == 0
