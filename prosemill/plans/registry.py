@@ -124,6 +124,16 @@ _text(
 _text("distinct_numbers", lambda x: F.array_join(F.array_sort(T.distinct_values(x, P.NUMBER, 1)), "|"), f"CASE WHEN len(regexp_extract_all(text, {_q(P.NUMBER)})) > 0 THEN array_to_string(list_sort(list_distinct(regexp_extract_all(text, {_q(P.NUMBER)}))), '|') END")
 _text("fence_strip", lambda x: T.strip_fence(F.concat(F.lit("```json\n"), F.substring(x, 1, 80), F.lit("\n```"))), WS_STRIP.format("substring(text, 1, 80)").replace("^[", "[").replace(f"'[{P.WS}]+|", f"'^[{P.WS}]+|"))
 _text("prompt_template", lambda x: T.prompt(F.when(F.col("doc_id") % 2 == 0, F.substring(x, 1, 50)), F.col("lang")), "CASE WHEN doc_id % 2 = 0 THEN 'Context: ' || substring(text, 1, 50) || chr(10) || 'Question: ' || lang || chr(10) || 'Answer:' ELSE 'Question: ' || lang || chr(10) || 'Answer:' END")
+# the four functions above whose queries take a prefix, over whole texts
+_text("dedup_key_whole", lambda x: T.dedup_key(x), f"regexp_replace(lower(text), {_q(P.NOT_WORD)}, '', 'g')")
+_text(
+    "clip_sentence_whole",
+    lambda x: T.clip_sentence(x),
+    f"""CASE WHEN regexp_matches(text, '[.!?"'']\\z') OR regexp_extract(text, {_q(P.SENTENCE_END)}, 1) = '' THEN text
+    ELSE regexp_extract(text, {_q(P.SENTENCE_END)}, 1) END""",
+)
+_text("fence_strip_whole", lambda x: T.strip_fence(F.concat(F.lit("```json\n"), x, F.lit("\n```"))), WS_STRIP.format("text"))
+_text("prompt_template_whole", lambda x: T.prompt(F.when(F.col("doc_id") % 2 == 0, x), F.col("lang")), "CASE WHEN doc_id % 2 = 0 THEN 'Context: ' || text || chr(10) ELSE '' END || 'Question: ' || lang || chr(10) || 'Answer:'")
 _text("candidate_format", lambda x: F.format_string("Rank %d (score %.3f): %s", F.lit(1), F.col("n_chars") / 8, F.substring(x, 1, 400)), "format('Rank 1 (score {:.3f}): {}', n_chars / 8, substring(text, 1, 400))")
 _text("url_label", lambda x: F.regexp_extract(F.concat(F.lit("runs/"), "source", F.lit("/")), "([^/]+)/*$", 1), "source")
 _text("thousands", lambda x: F.concat(F.format_number("n_chars", 0), F.lit(" "), T.thousands(F.format_number("n_chars", 0)).cast("long").cast("string")), "format('{:,}', n_chars) || ' ' || n_chars")

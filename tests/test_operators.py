@@ -149,3 +149,14 @@ def test_streaming(spark, tmp_path):
     q = stateful.until_target(stateful.first_seen(stream, "loss"), out, 100, str(tmp_path / "c"))
     q.awaitTermination(60)
     assert spark.read.parquet(out).count() == 3
+
+
+def test_text_queries_take_whole_texts(spark, tmp_path):
+    head = "Aé b. " * 60
+    texts = {2: head + "One end. and a rest", 4: head + "Two ends!\nmore"}
+    spark.createDataFrame([(k, x, "en") for k, x in texts.items()], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {q: {r.doc_id: r.out for r in registry.QUERIES[q](spark, str(tmp_path)).collect()} for q in ("dedup_key_whole", "clip_sentence_whole", "fence_strip_whole", "prompt_template_whole")}
+    assert got["dedup_key_whole"] == {2: "aéb" * 60 + "oneendandarest", 4: "aéb" * 60 + "twoendsmore"}
+    assert got["clip_sentence_whole"] == {2: head + "One end.", 4: head + "Two ends!"}
+    assert got["fence_strip_whole"] == texts
+    assert got["prompt_template_whole"] == {k: f"Context: {x}\nQuestion: en\nAnswer:" for k, x in texts.items()}
