@@ -2,7 +2,8 @@
 
 Each document is measured in its own row. Rule failures are summed by host, each host's
 failure rate is shrunk with a beta prior fitted to all hosts (method of moments), and the
-host's verdict is joined back to its documents.
+host's verdict is joined back to its documents. A host is watched where its posterior lies
+above the rate of the whole corpus, so the verdict acts at any level of failures.
 """
 
 from __future__ import annotations
@@ -12,9 +13,11 @@ from pyspark.sql import functions as F
 
 from .common import SPACES, WORD_GAP, lookup_join, staged
 
-#: A host whose shrunken failure rate exceeds BLOCK loses all documents; one above WATCH
+#: Posterior standard deviations by which a host's shrunken rate has to lie above a bound: one is about five in six.
+SURE = 1.0
+#: A host surely above BLOCK loses all documents; one surely above the corpus's rate is watched and
 #: loses those that fail any rule; others lose only those that fail a base rule.
-BLOCK, WATCH = 0.8, 0.5
+BLOCK = 0.8
 MIN_WORDS, MAX_REPEAT = 50, 0.5
 
 
@@ -82,7 +85,8 @@ def host_verdicts(judged: DataFrame) -> DataFrame:
 
     The prior beta(a, b) has the mean of all documents and the between-host variance of the
     raw rates; a + b is kept within 1 and 1e6, so one host, no variance or no failure are
-    defined cases. A null host is a host of its own. No rows give no rows.
+    defined cases. The tier follows from the posterior mean less SURE posterior standard deviations.
+    A null host is a host of its own. No rows give no rows.
     """
     hosts = staged(judged.groupBy("host").agg(F.count("*").alias("n_docs"), F.sum(F.col("any_failed").cast("long")).alias("n_failed")), "hosts")
     raw = F.col("n_failed") / F.col("n_docs")
@@ -90,7 +94,8 @@ def host_verdicts(judged: DataFrame) -> DataFrame:
     mean = (row.f or 0) / row.n if row.n else 0.0
     strength = min(max(mean * (1 - mean) / row.v - 1, 1.0), 1e6) if row.v else 1e6
     rate = (F.col("n_failed") + mean * strength) / (F.col("n_docs") + strength)
-    return hosts.withColumn("rate", rate).withColumn("tier", F.when(rate > BLOCK, "block").when(rate > WATCH, "watch").otherwise("pass"))
+    least = F.col("rate") - SURE * F.sqrt(F.col("rate") * (1 - F.col("rate")) / (F.col("n_docs") + strength + 1))
+    return hosts.withColumn("rate", rate).withColumn("tier", F.when(least > BLOCK, "block").when(least > mean, "watch").otherwise("pass"))
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:
@@ -143,10 +148,12 @@ WITH w AS (
   SELECT sum(f) / sum(n) AS mu, var_pop(f / n) AS v FROM h
 ), q AS (
   SELECT mu, CASE WHEN v > 0 THEN least(greatest(mu * (1 - mu) / v - 1, 1.0), 1e6) ELSE 1e6 END AS s FROM p
+), y AS (
+  SELECT source, n, s, mu, (f + mu * s) / (n + s) AS rate FROM h, q
 ), z AS (
-  SELECT source, (f + mu * s) / (n + s) AS rate FROM h, q
+  SELECT source, mu, rate - 1.0 * sqrt(rate * (1 - rate) / (n + s + 1)) AS least FROM y
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND rate <= 0.8 AND NOT (rate > 0.5 AND any_failed) AS kept
+       NOT base_failed AND least <= 0.8 AND NOT (least > mu AND any_failed) AS kept
 FROM j JOIN z ON j.source IS NOT DISTINCT FROM z.source
 """
