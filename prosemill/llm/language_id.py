@@ -18,15 +18,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import small_batches
+from .common import lookup_join, small_batches, staged
 
 BUCKET_BITS = 15
 BUCKETS = 1 << BUCKET_BITS
 ORDERS = (1, 2, 3)
-#: The classifier is fitted on about this many labelled texts of each language, on no more languages.
-TEXTS_PER_LANG, MAX_LANGS = 300, 400
+#: The classifier is fitted on a sample of labelled texts: about TEXTS_PER_LANG of each language, and MAX_TEXTS (4 KB each) in all,
+#: an equal share for each language. So all of up to MAX_TEXTS languages are learned.
+TEXTS_PER_LANG, MAX_TEXTS = 300, 20_000
+#: Landmarks of each language and in all; with more languages than MAX_LANDMARKS, some languages have none, but all have weights.
 LANDMARKS_PER_LANG, MAX_LANDMARKS, RIDGE = 24, 512, 0.05
-SCORE_ROWS = 64
+SCORE_ROWS, FIT_ROWS = 64, 512
 #: Characters that are hashed at once; a long text is taken in such parts, which overlap.
 PART = 1 << 20
 UNKNOWN = "und"
@@ -88,25 +90,40 @@ class Model:
         return best, (np.clip(f[np.arange(len(f)), best], -1, 1) + 1) / 2
 
 
-def fit(x: np.ndarray, y: list[str]) -> Model | None:
-    """Fits on presence rows and their labels; the first rows of a language are its landmarks."""
+def fit(packed: list[bytes], y: list[str]) -> Model | None:
+    """Fits on packed presence rows and their labels; the first rows of a language are its landmarks.
+
+    Rows are unpacked FIT_ROWS at a time, and only sums over them are kept.
+    """
     langs = sorted(set(y))
     if not langs:
         return None
-    place = np.array([langs.index(v) for v in y])
+    rows = lambda of: np.unpackbits(np.frombuffer(b"".join(packed[i] for i in of), np.uint8).reshape(len(of), -1), axis=1)
+    number = {v: i for i, v in enumerate(langs)}
+    place = np.array([number[v] for v in y])
     each = max(1, min(LANDMARKS_PER_LANG, MAX_LANDMARKS // len(langs)))
-    chosen = np.concatenate([np.flatnonzero(place == i)[:each] for i in range(len(langs))])
-    z = x[chosen].astype(np.float32)
+    order = np.argsort(place, kind="stable")
+    inside = np.arange(len(order)) - np.searchsorted(place[order], place[order])
+    chosen = order[inside < each]
+    if len(chosen) > MAX_LANDMARKS:
+        chosen = chosen[np.linspace(0, len(chosen) - 1, MAX_LANDMARKS).astype(int)]
+    z = rows(chosen).astype(np.float32)
     z /= np.sqrt(z.sum(axis=1, keepdims=True))
     model = Model(z, np.zeros(0), langs)
-    kzz = model.kernel(x[chosen]).astype(np.float64)
+    kzz = np.concatenate([model.kernel(rows(chosen[at : at + FIT_ROWS])) for at in range(0, len(chosen), FIT_ROWS)]).astype(np.float64)
     vals, vecs = np.linalg.eigh((kzz + kzz.T) / 2)
     root = vecs / np.sqrt(np.maximum(vals, 1e-6)) @ vecs.T
-    phi = model.kernel(x).astype(np.float64) @ root
-    target = np.where(place[:, None] == np.arange(len(langs)), 1.0, -1.0)
     # every language weighs the same, whatever its number of texts
-    w = (1 / np.bincount(place))[place][:, None] * len(place) / len(langs)
-    fitted = np.linalg.solve(phi.T @ (w * phi) + RIDGE * np.eye(phi.shape[1]), phi.T @ (w * target))
+    weight = (1 / np.bincount(place))[place] * len(place) / len(langs)
+    square, sums = np.zeros((len(chosen), len(chosen))), np.zeros((len(langs), len(chosen)))
+    for at in range(0, len(place), FIT_ROWS):
+        some = np.arange(at, min(at + FIT_ROWS, len(place)))
+        phi = model.kernel(rows(some)).astype(np.float64) @ root
+        mine = weight[some, None] * phi
+        square += phi.T @ mine
+        np.add.at(sums, place[some], mine)
+    # the targets are 1 for a row's language and -1 for the others
+    fitted = np.linalg.solve(square + RIDGE * np.eye(len(square)), (2 * sums - sums.sum(axis=0)).T)
     model.weights = (root @ fitted).astype(np.float32)
     return model
 
@@ -119,22 +136,27 @@ def _featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(labelled: DataFrame) -> Model | None:
-    """labelled(doc_id, text, lang) -> a model from about TEXTS_PER_LANG texts of each language.
+    """labelled(doc_id, text, lang) -> a model from about TEXTS_PER_LANG texts of each language, MAX_TEXTS in all.
 
-    Rows are taken by a hash of the id, at a rate set by the language's count, so the sample is
-    bounded whatever the input. What reaches the driver is its packed presence rows.
+    Rows are taken by a hash of the id (of the text where the id is null), at a rate set by the language's count, so the sample is
+    bounded whatever the input. What reaches the driver is its packed presence rows. A label beyond
+    MAX_TEXTS others may have no row in the sample, and is then not predicted.
     Null labels and texts without letters are left out; None if nothing is left.
     """
     spark = labelled.sparkSession
     small_batches(spark)
     labelled = labelled.where("lang is not null").select("doc_id", "text", "lang")
-    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS)
-    rates = spark.createDataFrame([(r["lang"], min(1.0, TEXTS_PER_LANG / r["count"])) for r in counts.collect()], "lang string, rate double")
-    key = F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.lit(3))
-    picked = labelled.join(F.broadcast(rates), "lang").withColumn("k", key).where(F.shiftrightunsigned("k", 11) / float(1 << 53) < F.col("rate"))
+    counts = labelled.groupBy("lang").agg(F.count("*").alias("n"))
+    counts = staged(counts, "langs")
+    langs = counts.count()
+    if not langs:
+        return None
+    rates = counts.select("lang", F.least(F.lit(1.0), min(TEXTS_PER_LANG, MAX_TEXTS / langs) / F.col("n")).alias("rate"))
+    key = F.when(F.col("doc_id").isNull(), F.xxhash64("text", F.lit(4))).otherwise(F.xxhash64("doc_id", F.lit(3)))
+    picked = lookup_join(labelled.withColumn("k", key), rates, "lang", F.col("k"), "inner").where(F.shiftrightunsigned("k", 11) / float(1 << 53) < F.col("rate"))
     rows = picked.select("k", "lang", "text").mapInArrow(_featurize, "k bigint, lang string, x binary").collect()
     rows.sort(key=lambda r: (r.k, r.lang, r.x))
-    return fit(np.array([np.unpackbits(np.frombuffer(r.x, np.uint8)) for r in rows], bool), [r.lang for r in rows]) if rows else None
+    return fit([bytes(r.x) for r in rows], [r.lang for r in rows]) if rows else None
 
 
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -184,6 +206,7 @@ def held_out(doc_id: str) -> Column:
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents; see train() and identify() for nulls, ties, repeated rows and empty input."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = train(docs.where(~held_out("doc_id")))
     out = identify(docs, model)
