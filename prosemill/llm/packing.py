@@ -15,11 +15,13 @@ import pyarrow as pa
 import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from .common import small_batches
 
-MAX_TOKENS, MAX_SEGMENTS = 1024, 64
+#: A segment has a token at least, so plain documents, however short, fill a sequence before its segments run out.
+MAX_TOKENS, MAX_SEGMENTS = 1024, 1024
 #: Items from which the heuristic chooses at once.
 POOL = 512
 END_ID = 0
@@ -156,11 +158,12 @@ def _packed(encoder, limits: tuple[int, int, int]):
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for doc_id, text, loss in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
                 ids = np.append(enc.ids(text.as_py() or ""), np.uint32(END_ID))
-                for at in range(0, len(ids), limits[0]):
-                    part = ids[at : at + limits[0]]
-                    packer.add(doc_id, at, part, len(ids), min(len(part), limits[2]))
+                step = limits[0] if not loss else min(limits[0], limits[2])
+                for at in range(0, len(ids), step):
+                    part = ids[at : at + step]
+                    packer.add(doc_id, at, part, len(ids), len(part) if loss else 0)
             if len(packer.rows) > 5000:
                 yield out()
         packer.finish()
@@ -176,18 +179,31 @@ def public_encoder(name: str = "byte_bpe_50k") -> tuple[str, str, str]:
     return str(public_tokenizers.path(f"{name}.json")), str(public_tokenizers.path(f"{name}.tiktoken")), public_tokenizers.PATTERN
 
 
-def pack(docs: DataFrame, encoder: tuple[str, str | None, str | None] | None = None, max_tokens: int = MAX_TOKENS, max_segments: int = MAX_SEGMENTS, max_loss: int | None = None) -> DataFrame:
+def pack(docs: DataFrame, encoder: tuple[str, str | None, str | None] | None = None, max_tokens: int = MAX_TOKENS, max_segments: int = MAX_SEGMENTS, max_loss: int | None = None, bears_loss: str | None = None) -> DataFrame:
     """docs(doc_id, text) -> a row for each piece: its document's range, its sequence and offset there.
 
     A document is the ids of its text and a closing id 0; a null or empty text is that id alone. Pieces
-    of one sequence are gapless from offset 0. For plain documents every id bears loss. Null
+    of one sequence are gapless from offset 0. ``bears_loss`` names a boolean column: all ids
+    of such a row bear loss, those of others (and of a null) none; without it every id bears loss. Null
     and repeated ids are documents like others; no rows give no pieces. Other columns
     are not read. A retried task gives the same sequences: they follow from its partition.
     """
     small_batches(docs.sparkSession)
     run = _packed(encoder or public_encoder(), (max_tokens, max_segments, max_loss or max_tokens))
-    return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(run, SCHEMA)
+    loss = F.coalesce(F.col(bears_loss), F.lit(False)) if bears_loss else F.lit(True)
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", loss.alias("loss")).mapInArrow(run, SCHEMA)
+
+
+def pack_turns(conversations: DataFrame, max_tokens: int = MAX_TOKENS, max_segments: int = 32, max_loss: int = 640, **options) -> DataFrame:
+    """conversations(conv_id, role, text) -> the pieces of all turns, doc_id being the conversation.
+
+    Only an assistant's turns bear loss; a sequence has at most ``max_loss`` such ids, so that prompts and
+    answers are mixed. A turn is a row for itself: no conversation is gathered. A null role bears no loss.
+    """
+    turns = conversations.select(F.col("conv_id").alias("doc_id"), "text", (F.col("role") == "assistant").alias("loss"))
+    return pack(turns, max_tokens=max_tokens, max_segments=max_segments, max_loss=max_loss, bears_loss="loss", **options)
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents; see pack() for nulls, ties, repeated rows and empty input."""
     return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"))
