@@ -66,11 +66,10 @@ def _valid(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return vectors.where(F.col(id_col).isNotNull() & v.isNotNull() & F.coalesce(fine, F.lit(False))).select(F.col(id_col).cast("long").alias("id"), v.cast("array<double>").alias("vec")).dropDuplicates()
 
 
-def _pack(dim: int):
-    def run(table: pa.Table) -> pa.Table:
-        return pa.table({"block": table.column("block").slice(0, 1), "n": pa.array([table.num_rows], pa.int32()), "ids": pa.array([table.column("id").to_numpy().astype("<i8").tobytes()]), "vecs": pa.array([_matrix(table.column("vec"), dim).tobytes()])})
-
-    return run
+def _pack(table: pa.Table) -> pa.Table:
+    dim = len(table.column("vec")[0])
+    part = lambda c: table.column(c).slice(0, 1)
+    return pa.table({"dim": part("dim"), "block": part("block"), "ids": pa.array([table.column("id").to_numpy().astype("<i8").tobytes()]), "vecs": pa.array([_matrix(table.column("vec"), dim).tobytes()])})
 
 
 def permutation_search(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", share: float = SHARE) -> DataFrame:
@@ -78,39 +77,43 @@ def permutation_search(vectors: DataFrame, is_query, k: int = 5, id_col: str = "
 
     ``is_query`` is a condition on the column id. Score is the cosine in double precision of the
     vectors as given; ties go to the smaller id. Rows of the query's own id are no
-    candidates; repeated equal rows count once; with fewer than k candidates all are returned. Null ids,
-    and vectors that are null, zero, of another length than the pivots', or hold null or
-    non-finite components take no part. Nothing valid gives no rows.
+    candidates; repeated equal rows count once; with fewer than k candidates all are returned. Vectors of
+    different lengths have no cosine: each length is an index of its own. Null ids,
+    and vectors that are null, zero, or hold null or non-finite components take no part. Nothing valid gives no rows.
 
     Queries and rows meet in blocks: a task holds one block of each. Blocks are dealt by a
-    hash of the id, so equal vectors are spread.
+    hash of the id, so equal vectors are spread. The driver gets PIVOTS vectors and two counts of each length.
     """
     spark = vectors.sparkSession
     small_batches(spark, 2000)
-    good = staged(_valid(vectors, id_col, vec_col), "vectors")
-    sample = good.orderBy(F.xxhash64("id"), "id").limit(PIVOTS).collect()
+    good = staged(_valid(vectors, id_col, vec_col).withColumn("dim", F.size("vec")), "vectors")
+    counts = {r.dim: (r.n, r.q) for r in good.groupBy("dim").agg(F.count("*").alias("n"), F.count_if(is_query).alias("q")).collect()}
     schema = "query_id bigint, rank int, vec_id bigint, score double"
-    if not sample:
+    if not counts:
         return spark.createDataFrame([], schema)
-    dim = len(sample[0].vec)
-    pivots = np.array([r.vec for r in sample if len(r.vec) == dim])
-    pivots /= np.linalg.norm(pivots, axis=1, keepdims=True)
-    good = good.where(F.size("vec") == dim)
-    queries = good.where(is_query)
-    n, nq = good.count(), queries.count()
-    blocks, query_blocks = max(1, -(-n // BLOCK_ROWS)), max(1, -(-nq // QUERY_ROWS))
-    block = lambda count: F.pmod(F.xxhash64("id", F.lit(7)), F.lit(count)).cast("int")
-    packed = "block int, n int, ids binary, vecs binary"
-    index = staged(good.withColumn("block", block(blocks)).groupBy("block").applyInArrow(_pack(dim), packed), "index")
-    asked = queries.withColumn("block", block(query_blocks)).groupBy("block").applyInArrow(_pack(dim), packed).toDF("qblock", "qn", "qids", "qvecs")
-    pairs = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).repartition(max(2, min(blocks * query_blocks, 2000)), "block", "qblock").join(index, "block")
+    first = F.row_number().over(Window.partitionBy("dim").orderBy(F.xxhash64("id"), "id"))
+    pivots: dict = {dim: [] for dim in counts}
+    for r in good.withColumn("n", first).where(F.col("n") <= PIVOTS).orderBy("dim", "n").collect():
+        pivots[r.dim].append(r.vec)
+    pivots = {dim: (x := np.array(v)) / np.linalg.norm(x, axis=1, keepdims=True) for dim, v in pivots.items()}
+
+    def blocks(place: int, rows: int):
+        """The number of blocks of each length."""
+        return F.element_at(F.create_map(*[F.lit(x) for dim, c in counts.items() for x in (dim, max(1, -(-c[place] // rows)))]), F.col("dim"))
+
+    block = lambda count: F.pmod(F.xxhash64("id", F.lit(7)), count).cast("int").alias("block")
+    packed = "dim int, block int, ids binary, vecs binary"
+    index = staged(good.select("*", block(blocks(0, BLOCK_ROWS))).groupBy("dim", "block").applyInArrow(_pack, packed), "index")
+    asked = good.where(is_query).select("*", block(blocks(1, QUERY_ROWS))).groupBy("dim", "block").applyInArrow(_pack, packed).toDF("dim", "qblock", "qids", "qvecs")
+    meetings = sum(max(1, -(-n // BLOCK_ROWS)) * max(1, -(-q // QUERY_ROWS)) for n, q in counts.values())
+    pairs = asked.withColumn("block", F.explode(F.sequence(F.lit(0), blocks(0, BLOCK_ROWS) - 1))).repartition(max(2, min(meetings, 2000)), "dim", "block", "qblock").join(index, ["dim", "block"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
-                at = {c: batch.column(batch.schema.get_field_index(c))[r].as_py() for c in ("ids", "vecs", "qids", "qvecs")}
-                read = lambda a, b: (np.frombuffer(at[a], "<i8"), np.frombuffer(at[b]).reshape(-1, dim))  # noqa: E731, B023
-                rows = list(search_block(*read("ids", "vecs"), pivots, *read("qids", "qvecs"), k, share))
+                at = {c: batch.column(batch.schema.get_field_index(c))[r].as_py() for c in ("dim", "ids", "vecs", "qids", "qvecs")}
+                read = lambda a, b: (np.frombuffer(at[a], "<i8"), np.frombuffer(at[b]).reshape(-1, at["dim"]))  # noqa: E731, B023
+                rows = list(search_block(*read("ids", "vecs"), pivots[at["dim"]], *read("qids", "qvecs"), k, share))
                 cols = list(zip(*rows, strict=True)) if rows else [[]] * 3
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query_id", "vec_id", "score"])
 
@@ -120,4 +123,5 @@ def permutation_search(vectors: DataFrame, is_query, k: int = 5, id_col: str = "
 
 
 def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors; see permutation_search() for nulls, ties, repeated rows and empty input."""
     return permutation_search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("id") % 50 == 0)
