@@ -1,13 +1,16 @@
 """HTML extraction by minimum-cut labelling.
 
-A page becomes a row of text blocks. A block's classifier cost is its capacity to one terminal;
-blocks that are neighbours in the page or share a parent are joined by smoothness edges.
-The minimum cut separates content from boilerplate.
+A page becomes a row of text blocks. A block's classifier cost is its capacity to one terminal:
+bounded log odds from its text (length, links, punctuation, tag) and from its place in the document. Blocks that
+are neighbours in the page or share a parent are joined by smoothness edges, weaker the further apart
+they are in the DOM and the more their places differ. The minimum cut separates content from
+boilerplate: a block whose own text tells little, or the wrong thing, goes with its surroundings.
 """
 
 from __future__ import annotations
 
 import html
+import math
 import re
 from collections import deque
 from collections.abc import Iterator
@@ -31,9 +34,14 @@ BAD_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "
 BAD_WORDS = set("ad ads adv advert adverts advertisement advertising advertorial banner breadcrumb breadcrumbs byline comment comments commentlist consent cookie cookies copyright cta disclaimer disqus footer footnav gdpr header hidden legal login masthead menu menus modal nav navbar navigation newsletter notice notices overlay pager pagination paywall popup promo promos promoted promotion recommended related replies respond rss search share sharing sidebar sidenav signup skip social sponsor sponsored subscribe subscription tagcloud tags teaser teasers toolbar topbar widget widgets".split())
 GOOD_WORDS = set("article articlebody body content entry main maincontent post postbody story storybody text".split())
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+ITEMS = {"li", "dt", "dd", "td", "th"}
+TEXT_TAGS = {"p", "blockquote", "pre", "h1", "h2", "h3", "h4", "h5", "h6"} | ITEMS
+SENTENCE = re.compile(r"[.!?…。！？](?:\W|$)")
 NOTE = re.compile(r"^\s*(?:©|\(c\)\s|copyright\b|all rights reserved)", re.I)
-#: Capacity of a structural mark, and of an edge between blocks of one parent; others get less with the distance.
-MARK, EDGE = 8.0, 1.0
+#: Log odds of a place: inside tags that never hold content, of a name of boilerplate, of an article or a name of content.
+NEVER, BAD, GOOD = -12.0, -5.0, 1.5
+#: Capacity of an edge between neighbours of one parent; others get less with the distance.
+EDGE = 2.0
 
 
 class Block:
@@ -44,27 +52,29 @@ class Block:
 
 
 def _mark(tag: str, attrs: str, inherited: float, in_article: bool) -> float:
-    """The structural mark of an element: below 0 boilerplate, above 0 content, 0 none.
+    """The log odds of an element's place: NEVER, BAD, 0 (nothing known) or GOOD.
 
-    Tags that never hold content mark all that is inside. Otherwise the innermost mark holds.
+    What is inside a place that never holds content stays there. Otherwise the innermost mark holds, but
+    a name of content inside one of boilerplate says nothing, unless it is an article or an itemprop.
     """
-    if inherited <= -2 * MARK:
+    if inherited <= NEVER:
         return inherited
     if tag in NOT_CONTENT or tag == "header" and not in_article:
-        return -2 * MARK
+        return NEVER
     if attrs and tag not in ("html", "body"):
         found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTR.finditer(attrs) if m[1]}
         if found.get("role", "").lower() in BAD_ROLES or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "") or re.search(r"(?:^|\s)hidden(?:\s|=|$)", attrs):
-            return -2 * MARK
+            return NEVER
         words = {w.lower() for k in ("class", "id", "itemprop") for w in WORDS.findall(found.get(k, ""))}
         if bad := words & BAD_WORDS:
             # "post-header" names a part of the content, "content-sidebar" does not
             if not (bad <= {"header", "byline"} and in_article):
-                return -MARK
+                return BAD
         if words & GOOD_WORDS or found.get("role") == "main":
-            return max(inherited, MARK) if inherited >= 0 else MARK if found.get("itemprop") else inherited
+            return GOOD if inherited >= 0 or found.get("itemprop") else inherited
     if tag in ("article", "main"):
-        return MARK
+        # an article among comments or teasers is one of them
+        return GOOD if inherited >= 0 else inherited
     return inherited
 
 
@@ -142,36 +152,45 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
-def odds(b: Block) -> float:
-    """The classifier's log odds for content, from structure and text."""
-    if b.mark <= -2 * MARK:
-        return -2 * MARK
-    words = b.text.count(" ") + 1
-    x = b.mark
-    if b.linked > 0.6:
-        x -= 4.0 if words < 25 and b.tag != "p" else 2.0
-    if b.mark == 0:
-        x += -2.0 if words < 6 and not b.tag.startswith("h") else 0.5 if words < 12 else 2.5
-        if b.tag in ("p", "blockquote", "pre"):
-            x += 1.5
-        if b.text[-1] in ".!?…\"'”»":
-            x += 1.0
+def text_odds(b: Block, words: int) -> float:
+    """Log odds for content of a block's text and tag alone, within -8..4; ``words`` are those of its list, else its own.
+
+    Calibrated on the rule that a paragraph of about eight words says nothing: longer ones speak for
+    content with the logarithm of their length, shorter ones against it; so do links, and sentences for it.
+    """
+    x = min(2.2, max(-2.2, 0.9 * math.log2(words + 1) - 3.2))
+    x -= 4.0 * b.linked if b.text.count(" ") < 24 else 2.0 * b.linked
+    if SENTENCE.search(b.text):
+        x += 0.5
+    if b.tag in TEXT_TAGS:
+        x += 0.4
     if NOTE.match(b.text):
-        x -= 3.0 if b.mark == 0 else 1.0
+        x -= 2.0
     return x
 
 
+def odds(bs: list[Block]) -> list[float]:
+    """The classifier's log odds for content of each block, from its text and place; items of a list count as one text for their length."""
+    own = [b.text.count(" ") + 1 for b in bs]
+    lists: dict[tuple, int] = {}
+    for b, n in zip(bs, own, strict=True):
+        if b.tag in ITEMS:
+            lists[b.path[:-1]] = lists.get(b.path[:-1], 0) + n
+    return [b.mark + text_odds(b, lists[b.path[:-1]] if b.tag in ITEMS else n) for b, n in zip(bs, own, strict=True)]
+
+
 def edges(bs: list[Block]) -> list[tuple[int, int, float]]:
-    """Smoothness edges: neighbours, and the last block under the same parent."""
+    """Smoothness edges: neighbours, and the last block under the same parent; weaker between places of another mark."""
     out, last = [], {}
     for i, b in enumerate(bs):
         if i:
             a = bs[i - 1].path
             same = next((k for k, (x, y) in enumerate(zip(a, b.path, strict=False)) if x != y), min(len(a), len(b.path)))
-            out.append((i - 1, i, EDGE / (1 + max(0, len(a) + len(b.path) - 2 * same - 2))))
+            apart = max(0, len(a) + len(b.path) - 2 * same - 2)
+            out.append((i - 1, i, EDGE * math.exp(-abs(bs[i - 1].mark - b.mark)) / (1 + apart)))
         parent = b.path[:-1]
         if (k := last.get(parent)) is not None and k != i - 1:
-            out.append((k, i, EDGE / 2))
+            out.append((k, i, EDGE * math.exp(-abs(bs[k].mark - b.mark)) / 2))
         last[parent] = i
     return out
 
@@ -180,8 +199,8 @@ def minimum_cut(unary: list[float], pairs: list[tuple[int, int, float]]) -> list
     """Labels x with the least sum of |unary| over blocks labelled against its sign and of weights of cut pairs.
 
     A block whose terminal capacity exceeds all its edges keeps its sign in every minimum
-    cut, so it is folded into its neighbours' capacities first; the rest goes through
-    augmenting paths (shortest first) from positive to negative blocks. At a tie a block is content.
+    cut, so it is folded into its neighbours' capacities first; the rest is a maximum flow from positive to
+    negative blocks, in phases of shortest paths. At a tie a block is content.
     """
     n = len(unary)
     near: list[dict[int, float]] = [{} for _ in range(n)]
@@ -200,48 +219,78 @@ def minimum_cut(unary: list[float], pairs: list[tuple[int, int, float]]) -> list
                 todo.append(j)
             near[i] = {}
     free = [i for i in range(n) if label[i] is None]
-    left = {i: u[i] for i in free}
-    while True:
-        came = {i: i for i in free if left[i] > 1e-12}
-        queue, end = deque(came), None
-        while queue and end is None:
-            i = queue.popleft()
-            for j, w in near[i].items():
-                if w > 1e-12 and j not in came:
-                    came[j] = i
-                    if left[j] < -1e-12:
-                        end = j
-                        break
-                    queue.append(j)
-        if end is None:
-            break
-        path = [end]
-        while came[path[-1]] != path[-1]:
-            path.append(came[path[-1]])
-        flow = min([left[path[-1]], -left[end], *(near[b][a] for a, b in zip(path, path[1:], strict=False))])
-        left[path[-1]] -= flow
-        left[end] += flow
-        for a, b in zip(path, path[1:], strict=False):
-            near[b][a] -= flow
-            near[a][b] += flow
-    # what still reaches a negative block is boilerplate
-    reach = deque(i for i in free if left[i] < -1e-12)
-    low = set(reach)
-    while reach:
-        i = reach.popleft()
-        for j in near[i]:
-            if j not in low and near[j].get(i, 0.0) > 1e-12:
-                low.add(j)
-                reach.append(j)
+    low = _still_low(free, u, near)
     for i in free:
         label[i] = i not in low
     return label
 
 
+def _still_low(free: list[int], u: list[float], near: list[dict[int, float]]) -> set[int]:
+    """The nodes that reach the sink when the flow from positive to negative nodes is at its maximum."""
+    place = {i: k for k, i in enumerate(free)}
+    source, sink = len(free), len(free) + 1
+    at, room, out = [], [], [[] for _ in range(len(free) + 2)]
+
+    def edge(a: int, b: int, there: float, back: float) -> None:
+        out[a].append(len(at))
+        out[b].append(len(at) + 1)
+        at.extend((b, a))
+        room.extend((there, back))
+
+    for k, i in enumerate(free):
+        if u[i] > 0:
+            edge(source, k, u[i], 0.0)
+        elif u[i] < 0:
+            edge(k, sink, -u[i], 0.0)
+        for j, w in near[i].items():
+            if place[j] > k:
+                edge(k, place[j], w, w)
+    while True:
+        level = [-1] * len(out)
+        level[source] = 0
+        queue = deque([source])
+        while queue and level[sink] < 0:
+            v = queue.popleft()
+            for e in out[v]:
+                if room[e] > 1e-12 and level[at[e]] < 0:
+                    level[at[e]] = level[v] + 1
+                    queue.append(at[e])
+        if level[sink] < 0:
+            break
+        todo, path, v = [0] * len(out), [], source
+        while True:
+            if v == sink:
+                flow = min(room[e] for e in path)
+                for e in path:
+                    room[e] -= flow
+                    room[e ^ 1] += flow
+                first = next(k for k, e in enumerate(path) if room[e] <= 1e-12)
+                v = at[path[first] ^ 1]
+                del path[first:]
+            while todo[v] < len(out[v]) and not (room[out[v][todo[v]]] > 1e-12 and level[at[out[v][todo[v]]]] == level[v] + 1):
+                todo[v] += 1
+            if todo[v] < len(out[v]):
+                path.append(out[v][todo[v]])
+                v = at[path[-1]]
+            elif path:
+                v = at[path.pop() ^ 1]
+                todo[v] += 1
+            else:
+                break
+    low, queue = {sink}, deque([sink])
+    while queue:
+        v = queue.popleft()
+        for e in out[v]:
+            if room[e ^ 1] > 1e-12 and at[e] not in low:
+                low.add(at[e])
+                queue.append(at[e])
+    return {free[k] for k in low if k < len(free)}
+
+
 def main_text(page: str | None) -> str:
     """The content blocks of a page, joined by newlines; empty for null or no content."""
     bs = blocks(page or "")
-    return "\n".join(b.text for b, keep in zip(bs, minimum_cut([odds(b) for b in bs], edges(bs)), strict=True) if keep)
+    return "\n".join(b.text for b, keep in zip(bs, minimum_cut(odds(bs), edges(bs)), strict=True) if keep)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,4 +310,5 @@ def extract(pages: DataFrame) -> DataFrame:
 
 
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages; see extract() for nulls, ties, repeated rows and empty input."""
     return extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
