@@ -1,8 +1,9 @@
 """Secret scans: a worklist of decoded layers, each scanned, with spans mapped to the text.
 
-The root layer is the text. A layer is unwrapped in two ways: all URL and Unicode escapes
-in it are decoded in place, which gives one further layer of the whole text, and each
-base64 run that decodes to (possibly compressed) bytes gives a layer of its own. Every
+The root layer is the text. A layer is unwrapped in three ways: all URL and Unicode escapes
+in it are decoded in place, which gives one further layer of the whole text; each URL-escaped run
+of compressed bytes gives a layer of its content; and each base64 run that decodes to
+(possibly compressed) bytes gives a layer for each of its four alignments, as other characters may be glued to its front. Every
 layer keeps, for each character, the range of the root text that it came from.
 """
 
@@ -15,7 +16,9 @@ import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
 from itertools import chain
+from urllib.parse import unquote_to_bytes
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,6 +30,10 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 ESCAPE = re.compile(r"((?:%[0-9A-Fa-f]{2})+)|\\u([dD][89abAB][0-9A-Fa-f]{2})\\u([dD][c-fC-F][0-9A-Fa-f]{2})|\\u([0-9A-Fa-f]{4})|\\u\{([0-9A-Fa-f]{1,6})\}|\\x([0-9A-Fa-f]{2})")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: URL-escaped bytes that begin as gzip or zlib data do.
+PACKED_URL = re.compile(r"(?:%1[fF]%8[bB]|(?:x|%78)(?:%(?:9[cC]|01|[dD][aA]|5[eE])|\^))(?:%[0-9A-Fa-f]{2}|[A-Za-z0-9._~/+-])+")
+#: Where gzip or zlib data may begin inside a base64 run.
+PACKED64 = re.compile(r"H4sI|(?<=[/+_-])e(?:AE|F4|J[w-z]|N[o-r])")
 #: A compressed layer is scanned in parts of about this many bytes, which may share the last of them.
 MAX_LAYER_BYTES, OVERLAP = 1 << 25, 1 << 18
 #: Bytes that no pattern takes.
@@ -43,29 +50,29 @@ def scan(text: str) -> list[tuple[int, int, int]]:
 
 
 class Layer:
-    """A text and its pieces: (place in the layer, root start, root end, whether characters map one to one)."""
+    """A text and its pieces, as arrays: place in the layer, root start, root end, whether characters map one to one."""
 
-    def __init__(self, text: str, pieces: list[tuple[int, int, int, bool]]):
-        self.text, self.pieces, self.at = text, pieces, [p[0] for p in pieces]
+    def __init__(self, text: str, place, start, end, same):
+        self.text = text
+        self.place, self.start, self.end = (np.asarray(x, np.int64) for x in (place, start, end))
+        self.same = np.asarray(same, bool)
 
-    def root(self, i: int) -> tuple[int, int]:
-        """The root range of character i."""
-        place, start, end, same = self.pieces[bisect_right(self.at, i) - 1]
-        return (start + i - place, start + i - place + 1) if same else (start, end)
+    def roots(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The root ranges of characters i."""
+        k = np.searchsorted(self.place, i, side="right") - 1
+        at = self.start[k] + np.where(self.same[k], i - self.place[k], 0)
+        return at, np.where(self.same[k], at + 1, self.end[k])
 
     def span(self, start: int, end: int) -> tuple[int, int]:
         """The root range of a non-empty range; pieces of one layer lie in root order."""
-        return self.root(start)[0], self.root(end - 1)[1]
+        a, b = self.roots(np.array([start, end - 1]))
+        return int(a[0]), int(b[1])
 
-    def cut(self, start: int, end: int, place: int) -> list[tuple[int, int, int, bool]]:
+    def cut(self, start: int, end: int, place: int) -> tuple[np.ndarray, ...]:
         """The pieces of [start, end), moved to ``place`` in another layer."""
-        out, k = [], bisect_right(self.at, start) - 1
-        while k < len(self.pieces) and self.at[k] < end:
-            p, a, b, same = self.pieces[k]
-            skip = max(0, start - p)
-            out.append((place + max(p, start) - start, a + skip if same else a, b, same))
-            k += 1
-        return out
+        k = slice(int(np.searchsorted(self.place, start, side="right")) - 1, int(np.searchsorted(self.place, end)))
+        skip = np.maximum(0, start - self.place[k])
+        return place + np.maximum(self.place[k], start) - start, self.start[k] + np.where(self.same[k], skip, 0), self.end[k], self.same[k]
 
 
 def _unescaped(layer: Layer) -> Layer | None:
@@ -73,35 +80,27 @@ def _unescaped(layer: Layer) -> Layer | None:
     text, parts, pieces, size, last = layer.text, [], [], 0, 0
     for m in ESCAPE.finditer(text):
         if m[1]:
-            raw = bytes.fromhex(m[1].replace("%", ""))
-            try:
-                chars = raw.decode()
-            except UnicodeDecodeError:
-                chars = raw.decode("latin-1")
-                widths = [1] * len(chars)
-            else:
-                widths = [len(c.encode()) for c in chars]
-            units, at = [], m.start()
-            for c, w in zip(chars, widths, strict=True):
-                units.append((c, at, at + 3 * w))
-                at += 3 * w
+            chars, widths = _decoded(bytes.fromhex(m[1].replace("%", "")))
+            ends = m.start() + 3 * np.cumsum(widths)
+            begins = ends - 3 * np.array(widths)
         else:
             code = 0x10000 + ((int(m[2], 16) - 0xD800) << 10) + int(m[3], 16) - 0xDC00 if m[2] else int(m[4] or m[5] or m[6], 16)
-            units = [("�" if code > 0x10FFFF or 0xD800 <= code < 0xE000 else chr(code), m.start(), m.end())]
-        parts.append(text[last : m.start()])
-        pieces += layer.cut(last, m.start(), size) if m.start() > last else []
-        size += m.start() - last
-        for c, a, b in units:
-            parts.append(c)
-            pieces.append((size, *layer.span(a, b), False))
-            size += 1
+            chars = "\ufffd" if code > 0x10FFFF or 0xD800 <= code < 0xE000 else chr(code)
+            begins, ends = np.array([m.start()]), np.array([m.end()])
+        if m.start() > last:
+            parts.append(text[last : m.start()])
+            pieces.append(layer.cut(last, m.start(), size))
+            size += m.start() - last
+        parts.append(chars)
+        pieces.append((size + np.arange(len(chars)), layer.roots(begins)[0], layer.roots(ends - 1)[1], np.zeros(len(chars), bool)))
+        size += len(chars)
         last = m.end()
     if not last:
         return None
     if last < len(text):
         parts.append(text[last:])
-        pieces += layer.cut(last, len(text), size)
-    return Layer("".join(parts), pieces)
+        pieces.append(layer.cut(last, len(text), size))
+    return Layer("".join(parts), *(np.concatenate(x) for x in zip(*pieces, strict=True)))
 
 
 def _compressed(raw: bytes) -> bool:
@@ -171,37 +170,44 @@ def _plain(raw: bytes) -> Iterator[bytes]:
         yield left
 
 
-def _decoded(raw: bytes) -> tuple[str, list[int]]:
+def _decoded(raw: bytes) -> tuple[str, np.ndarray]:
     """A text of the bytes, and how many each character takes; bytes that are not UTF-8 are taken as latin-1."""
-    try:
-        text = raw.decode()
-    except UnicodeDecodeError:
-        text = raw.decode("utf-8", "surrogateescape")
-        widths = [1 if 0xDC80 <= ord(c) <= 0xDCFF else len(c.encode()) for c in text]
-        return "".join(chr(ord(c) - 0xDC00) if 0xDC80 <= ord(c) <= 0xDCFF else c for c in text), widths
-    return text, [1] * len(raw) if len(text) == len(raw) else [len(c.encode()) for c in text]
+    if raw.isascii():
+        return raw.decode(), np.ones(len(raw), np.int64)
+    points = np.frombuffer(raw.decode("utf-8", "surrogateescape").encode("utf-32-le", "surrogatepass"), "<u4")
+    lone = (points >= 0xDC80) & (points <= 0xDCFF)
+    widths = np.where(lone, 1, 1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000))
+    return np.where(lone, points - 0xDC00, points).astype("<u4").tobytes().decode("utf-32-le"), widths
+
+
+def _whole(layer: Layer, start: int, end: int, raw: bytes) -> Iterator[Layer]:
+    """Layers of the content of compressed bytes that came from [start, end)."""
+    a, b = layer.span(start, end)
+    for plain in _plain(raw):
+        yield Layer(_decoded(plain)[0], [0], [a], [b], [False])
+
+
+def _packed_layers(layer: Layer) -> Iterator[Layer]:
+    for m in PACKED_URL.finditer(layer.text):
+        yield from _whole(layer, m.start(), m.end(), unquote_to_bytes(m[0]))
 
 
 def _base64_layers(layer: Layer) -> Iterator[Layer]:
     for m in BASE64.finditer(layer.text):
-        run = m[0].rstrip("=")
-        if len(run) % 4 == 1:
-            continue
-        raw = base64.b64decode(run.replace("-", "+").replace("_", "/") + "=" * (-len(run) % 4))
-        for plain in _plain(raw):
-            text, widths = _decoded(plain)
-            if plain is raw:
+        run = m[0].rstrip("=").replace("-", "+").replace("_", "/")
+        for skip in (*range(4), *(p.start() for p in PACKED64.finditer(m[0]) if p.start() > 3)):
+            own = run[skip : len(run) - ((len(run) - skip) % 4 == 1)]
+            raw = base64.b64decode(own + "=" * (-len(own) % 4))
+            if _compressed(raw):
+                yield from _whole(layer, m.start() + skip, m.end(), raw)
+            elif skip < 4:
+                text, widths = _decoded(raw)
                 # nothing to find, as in most words that look like base64
-                if not (scan(text) or ESCAPE.search(text) or BASE64.search(text)):
-                    continue
-                pieces, at = [], 0
-                for i, w in enumerate(widths):
-                    first, last = at * 8 // 6, ((at + w) * 8 - 1) // 6
-                    pieces.append((i, *layer.span(m.start() + first, min(m.start() + last + 1, m.end())), False))
-                    at += w
-            else:
-                pieces = [(0, *layer.span(m.start(), m.end()), False)]
-            yield Layer(text, pieces)
+                if scan(text) or ESCAPE.search(text) or BASE64.search(text):
+                    ends = np.cumsum(widths)
+                    first, last = (ends - widths) * 8 // 6, (ends * 8 - 1) // 6
+                    at = m.start() + skip
+                    yield Layer(text, np.arange(len(text)), layer.roots(at + first)[0], layer.roots(at + last)[1], np.zeros(len(text), bool))
 
 
 def find_secrets(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
@@ -215,7 +221,7 @@ def find_secrets(text: str | None) -> tuple[list[tuple[int, int, int]], list[tup
     base = sorted(scan(text))
     spans = set(base)
     # layers are made when their turn comes, so a large one isn't held in all its parts
-    todo = [iter([Layer(text, [(0, 0, len(text), True)])] if text else [])]
+    todo = [iter([Layer(text, [0], [0], [len(text)], [True])] if text else [])]
     seen = set()
     while todo:
         layer = next(todo[-1], None)
@@ -232,6 +238,7 @@ def find_secrets(text: str | None) -> tuple[list[tuple[int, int, int]], list[tup
         seen.add(key)
         if ("%" in layer.text or "\\" in layer.text) and (inner := _unescaped(layer)):
             todo.append(iter([inner]))
+            todo.append(_packed_layers(layer))
         todo.append(_base64_layers(layer))
     return base, sorted(spans)
 
@@ -291,4 +298,5 @@ def redact(docs: DataFrame) -> DataFrame:
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents; see find_secrets() and secret_scan() for nulls, ties, repeated rows and empty input."""
     return secret_scan(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("clean_text")
