@@ -15,9 +15,9 @@ CONTROL = "[\\x00-\\x08\\x0b-\\x1f\\x7f]"
 BREAKS = "[" + WS + "]*\\n[" + WS + "]*"
 BLANKS = "[ \\t]{2,}"
 YEAR = "\\b(?:1[0-9]{3}|20[0-2][0-9])\\b"
-NUMBER = "\\b[0-9][0-9,]*(?:\\.[0-9]+)?\\b"
-EVAL_LINE = "\\[eval\\] step +(\\d+)/\\d+ \\| train loss ([\\d.]+) .*? \\| val loss ([\\d.]+) .*?\\| best val ([\\d.]+)@\\d+ .*?\\| ([\\d,]+) tok/s"
-CONSOLE_LINE = "\\[console\\] step +(\\d+)/\\d+ .*?\\| ([\\d,]+) tok/s"
+NUMBER = "\\b\\p{Nd}[\\p{Nd},]*(?:\\.\\p{Nd}+)?\\b"
+EVAL_LINE = "\\[eval\\] step\\s+(\\d+)/\\d+ \\| train loss ([\\d.]+) .*? \\| val loss ([\\d.]+) .*?\\| best val ([\\d.]+)@\\d+ .*?\\| ([\\d,]+) tok/s"
+CONSOLE_LINE = "\\[console\\] step\\s+(\\d+)/\\d+ .*?\\| ([\\d,]+) tok/s"
 END_OF_TEXT = "<|endoftext|>"
 SHARD_SEPARATOR = "\n\n<|endoftext|>\n\n"
 NO_CONTEXT = "Context: N/A"
@@ -26,3 +26,7 @@ MIN_CLEAN_CHARS, MIN_ARTICLE_CHARS, PREFIX_CHARS = 150, 500, 1200
 MIN_VALUES, MIN_ANSWER_WORDS, MAX_PAIRS = 3, 4, 4
 MIN_COSINE, TOP_K = 0.55, 10
 CATEGORY_WEIGHTS = (20, 20, 30, 20, 10)
+CONTEXT = "(?s)^Context: (.*?)\\nQuestion: "
+UNKNOWN_CHECKPOINT = "unknown checkpoint"
+MAX_EXAMPLE_TOKENS, MAX_PASSAGE_TOKENS = 900, 400
+TAIL_SHARE = 0.8

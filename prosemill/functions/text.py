@@ -136,3 +136,15 @@ def parse_pairs(c: Column) -> Column:
 
 def thousands(c: Column) -> Column:
     return F.replace(c, F.lit(","), F.lit("")).cast("double")
+
+
+def quoted_lines(c: Column) -> Column:
+    """TXT25: the lines in double quotes, without them and without white space and commas behind; inner quotes stay."""
+    lines = F.transform(F.split(c, "\n", -1), lambda x: F.regexp_replace(strip(x), ",+$", ""))
+    return F.transform(F.filter(lines, lambda x: (F.length(x) >= 2) & x.startswith('"') & x.endswith('"')), lambda x: F.substring(x, F.lit(2), F.length(x) - 2))
+
+
+def candidate_list(candidates: Column) -> Column:
+    """TXT18: array of (rank, score, passage) in order of rank, as text: Rank i (score s): the first 400 characters."""
+    one = lambda x: F.format_string("Rank %d (score %.3f): %s", x["rank"], x["score"], F.substring(x["passage"], 1, 400))
+    return F.array_join(F.transform(F.array_sort(candidates), one), "\n\n")

@@ -28,8 +28,10 @@ def first_seen(df: DataFrame, key: str, order: str) -> DataFrame:
 
 def exclude(df: DataFrame, other: DataFrame, column: str) -> DataFrame:
     """JN1: rows whose stripped text is not among the other's; null and empty exclusions exclude nothing."""
-    gone = other.select(T.strip(F.col(column)).alias("_t")).where("_t <> ''").distinct()
-    return df.join(gone, T.strip(F.col(column)) == F.col("_t"), "left_anti")
+    # a digest is shuffled, not the text: 128 bits and the length stand for it
+    digest = lambda c: F.concat(F.md5(c), F.length(c).cast("string"))
+    gone = other.select(T.strip(F.col(column)).alias("_t")).where("_t <> ''").select(digest(F.col("_t")).alias("_d")).distinct()
+    return df.join(gone, digest(T.strip(F.col(column))) == F.col("_d"), "left_anti")
 
 
 def offsets(df: DataFrame, length: Column, order: str, parts: int = 64) -> DataFrame:

@@ -67,3 +67,47 @@ def last_override(overrides: DataFrame, key: str, value: str, order: str) -> Dat
     """JN2, FLT9: the last usable override of each key."""
     usable = overrides.where(F.col("status").isin("ok", "needs_review") & (F.col(value) != ""))
     return usable.groupBy(key).agg(F.max_by(value, order).alias(value))
+
+
+def rejudge(records: DataFrame, category: str, corrected: Column, correct: Column) -> DataFrame:
+    """CLS6: without score, context and earlier judgment, classified by blackbox()."""
+    gone = [c for c in ("score", "context_used", "context", "classification", "judgment") if c in records.columns]
+    return records.withColumn("_new", blackbox(F.col(category), corrected, correct)).drop(*gone).withColumnRenamed("_new", "classification")
+
+
+def with_checkpoint(runs: DataFrame, sources: DataFrame, source: str, default: str) -> DataFrame:
+    """JN6: the checkpoint of the run's source summary, or the default."""
+    s = sources.select(F.col("run_name").alias("_s"), F.col("checkpoint").alias("_c"))
+    return runs.join(s, F.col(source) == F.col("_s"), "left").withColumn("checkpoint", F.coalesce("_c", F.lit(default))).drop("_s", "_c")
+
+
+def labelled(runs: DataFrame, labels: DataFrame, name: str) -> DataFrame:
+    """JN10: labels(name, label); a run without a label is called by its name. The table of labels is written by hand, so it is small."""
+    found = labels.select(F.col(name).alias("_n"), F.col("label").alias("_l"))
+    return runs.join(F.broadcast(found), F.col(name) == F.col("_n"), "left").withColumn("label", F.coalesce("_l", name)).drop("_n", "_l")
+
+
+def tally_map(df: DataFrame, run: str, label: str) -> DataFrame:
+    """AGG3: run -> a map of label to count."""
+    n = df.groupBy(run, label).agg(F.count("*").alias("n"))
+    return n.groupBy(run).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(label, "n")))).alias("tally"))
+
+
+def nonzero(df: DataFrame, series: str, n: str) -> DataFrame:
+    """FLT14: the rows of series that are not zero throughout."""
+    keep = df.groupBy(series).agg(F.max(n).alias("_m")).where("_m > 0").select(series)
+    return df.join(keep, series, "left_semi")
+
+
+def first_relevant(candidates: DataFrame, query: str, rank: str, relevant: str) -> DataFrame:
+    """WIN11: the rank of the first relevant candidate; null if there is none."""
+    return candidates.groupBy(query).agg(F.min(F.when(F.col(relevant), F.col(rank))).alias("first_rank"))
+
+
+def truthy(judgment: Column, field: str) -> Column:
+    """JS3: a field of a JSON object as truth: null, false, 0 and empty are false, any other string, also "false", is true; null without the field."""
+    v = F.try_parse_json(judgment)
+    kind = F.schema_of_variant(F.try_variant_get(v, f"$.{field}", "variant"))
+    text = F.try_variant_get(v, f"$.{field}", "string")
+    falsy = ((kind == "BOOLEAN") & (text == "false")) | (kind == "VOID") | (text == "") | (kind.rlike("BIGINT|DECIMAL|DOUBLE") & (text.try_cast("double") == 0)) | text.isin("[]", "{}")
+    return F.when(kind.isNull(), F.lit(None).cast("boolean")).otherwise(~F.coalesce(falsy, F.lit(False)))

@@ -16,6 +16,23 @@ def parse_eval(lines: DataFrame, column: str = "value") -> DataFrame:
     return rows.select(get(1).cast("long").alias("step"), get(2).cast("double").alias("train_loss"), get(3).cast("double").alias("val_loss"), get(4).cast("double").alias("best_val"), T.thousands(get(5)).alias("tok_s"))
 
 
+def parse_console(lines: DataFrame, column: str = "value") -> DataFrame:
+    """SRC14: typed rows of console lines: step, tok_s; other lines are dropped."""
+    get = lambda i: F.regexp_extract(column, P.CONSOLE_LINE, i)
+    return lines.where(F.col(column).rlike(P.CONSOLE_LINE)).select(get(1).cast("long").alias("step"), T.thousands(get(2)).alias("tok_s"))
+
+
+def parameter_count(layers: int, width: int, vocabulary: int, block: int, bias: bool = False) -> int:
+    """AGG14: parameters of a decoder with tied embeddings: tokens and places, per layer attention, a four times wider layer and two norms, and the last norm."""
+    each = 12 * width * width + 2 * width + (11 * width if bias else 0)
+    return vocabulary * width + block * width + layers * each + width + (width if bias else 0)
+
+
+def training_flops(params: Column, tokens: Column) -> Column:
+    """MTH4."""
+    return 6.0 * params.cast("double") * tokens.cast("double")
+
+
 def running_best(df: DataFrame, run: str, step: str, loss: str) -> DataFrame:
     """WIN4, WIN5: best loss so far with its first step, whether the row improved, and the rows since."""
     order = Window.partitionBy(run).orderBy(step)

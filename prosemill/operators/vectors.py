@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Query rows that are broadcast; more are searched in blocks of this many.
-QUERY_BLOCK = 2000
+#: Query rows that are multiplied with a batch of vectors at once.
+QUERY_BLOCK = 1024
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -20,22 +24,53 @@ def unit(v: Column) -> Column:
     return F.when(norm == 0, v.cast("array<double>")).otherwise(F.transform(v, lambda x: x.cast("double") / norm))
 
 
+def _best(sent, k: int, exclude_self: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        qids, q = sent.value
+        best: list[list] = [[] for _ in qids]
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids = batch.column(0).to_numpy()
+            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), -1)
+            for at in range(0, len(qids), QUERY_BLOCK):
+                near = q[at : at + QUERY_BLOCK] @ x.T
+                if exclude_self:
+                    near[qids[at : at + QUERY_BLOCK, None] == ids] = -np.inf
+                m = min(k, len(ids))
+                # the product rounds as it likes: what is as near as the k-th but for that is summed again in order
+                least = np.partition(near, len(ids) - m, axis=1)[:, len(ids) - m]
+                least -= 1e-9 * (1 + np.abs(least))
+                for i in range(len(near)):
+                    some = np.flatnonzero((near[i] >= least[i]) & (near[i] > -np.inf))
+                    score = (x[some] * q[at + i]).cumsum(axis=1)[:, -1]
+                    own = best[at + i] + list(zip((-score).tolist(), ids[some].tolist(), strict=True))
+                    best[at + i] = sorted(own)[:k]
+        rows = [(int(i), v, -s) for i, b in zip(qids, best, strict=True) for s, v in b]
+        cols = list(zip(*rows, strict=True)) if rows else [[]] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query_id", "id", "score"])
+
+    return run
+
+
 def top_k(queries: DataFrame, vectors: DataFrame, k: int, exclude_self: bool = True) -> DataFrame:
-    """JN3 + WIN1: queries(query_id, qvec) against vectors(id, vec) -> query_id, rank, id, score.
+    """JN3 + WIN1: queries(query_id, qvec) against vectors(id, vec) -> query_id, rank, id, score; integer ids, vectors of one length.
 
-    The query set is stated by the caller; blocks of QUERY_BLOCK of its rows meet all
-    vectors, and each task keeps its own k best before the shuffle.
+    The query set is stated by the caller, some thousands of rows, which go to all tasks; the vectors are scanned once. Batches
+    of vectors are multiplied with blocks of queries; each task carries the best k of every query from batch to batch, so k rows a query and task are shuffled. Scores are summed in the order of the
+    components; ties go to the smaller id. Null and empty vectors, and rows with null ids, take no part.
     """
-    n = queries.count()
-    blocks = max(1, -(-n // QUERY_BLOCK))
-    found = None
-    for b in range(blocks):
-        block = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) if blocks > 1 else queries
-        pairs = vectors.join(F.broadcast(block), F.col("id") != F.col("query_id") if exclude_self else F.lit(True))
-        scored = pairs.select("query_id", "id", dot(F.col("vec"), F.col("qvec")).alias("score"))
-        found = scored if found is None else found.unionByName(scored)
+    rows = queries.where("query_id is not null and size(qvec) > 0").select(F.col("query_id").cast("bigint"), F.col("qvec").cast("array<double>"))
+    asked = rows.count()
+    if not asked:
+        return vectors.sparkSession.createDataFrame([], "query_id bigint, id bigint, score double, rank int")
+    # the queries as files of packed rows would serve a set beyond the driver's memory; a stated set is some thousands of rows
+    got = rows.collect()
+    sent = vectors.sparkSession.sparkContext.broadcast((np.array([r[0] for r in got], np.int64), np.array([r[1] for r in got], np.float64)))
+    blocks = vectors.where("id is not null and size(vec) > 0").select(F.col("id").cast("bigint").alias("id"), "vec")
+    found = blocks.mapInArrow(_best(sent, k, exclude_self), "query_id bigint, id bigint, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "id", "score", "rank")
 
 
 def gate(hits: DataFrame, least: float, value: str = "passage") -> DataFrame:

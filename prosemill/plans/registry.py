@@ -57,14 +57,14 @@ def _text(name: str, column, sql: str) -> None:
 
 
 @query("""
-WITH q AS (SELECT vec_id AS query_id, embedding AS qv FROM embeddings WHERE vec_id % 50 = 0),
+WITH q AS (SELECT vec_id AS query_id, embedding AS qv FROM embeddings WHERE vec_id % 20 = 0),
 s AS (SELECT query_id, vec_id AS passage_id, list_sum(list_transform(range(1, len(qv) + 1), lambda i: CAST(qv[i] AS DOUBLE) * CAST(embedding[i] AS DOUBLE))) AS s
       FROM q, embeddings WHERE vec_id <> query_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, passage_id) AS rank FROM s)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, passage_id, round(s, 4) AS score, s >= 0.55 AS context_used FROM r WHERE rank <= 10""")
 def flagship_retrieve_topk(spark, sf):
     e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
-    hits = vectors.top_k(e.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("vec").alias("qvec")), e, P.TOP_K)
+    hits = vectors.top_k(e.where("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("vec").alias("qvec")), e, P.TOP_K)
     gated = vectors.gate(hits, P.MIN_COSINE, "id")
     return gated.select("query_id", "rank", F.col("id").alias("passage_id"), F.round("score", 4).alias("score"), F.col("context").isNotNull().alias("context_used"))
 
@@ -99,21 +99,13 @@ _text("charset_unicode", lambda x: T.text_only(x), f"regexp_replace(text, {_q(P.
 _text("collapse_whitespace", lambda x: T.collapse(x), WS_STRIP.format(f"regexp_replace(text, {_q(f'[{P.WS}]+')}, ' ', 'g')"))
 _text("prefix_slice", lambda x: F.substring(x, 1, P.PREFIX_CHARS), f"substring(text, 1, {P.PREFIX_CHARS})")
 _text("newline_to_space", lambda x: F.replace(x, F.lit("\n"), F.lit(" ")), "replace(text, chr(10), ' ')")
-_text("dedup_key", lambda x: T.dedup_key(F.substring(x, 1, 200)), f"regexp_replace(lower(substring(text, 1, 200)), {_q(P.NOT_WORD)}, '', 'g')")
 _text("word_count", lambda x: F.size(T.words(x)).cast("long"), f"CAST(len(list_filter(regexp_split_to_array(text, {_q(f'[{P.WS}]+')}), lambda x: x <> '')) AS BIGINT)")
 _text("hyphen_unwrap", lambda x: T.unwrap_hyphens(F.replace(x, F.lit("en"), F.lit("e-\n\nn"))), "regexp_replace(replace(text, 'en', 'e-' || chr(10) || chr(10) || 'n'), '-\\n+', '', 'g')")
 _MARKED = "START OF THE PROJECT GUTENBERG EBOOK X\n"
 _text(
     "boilerplate_strip",
-    lambda x: T.strip_boilerplate(F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("head\n" + _MARKED), x, F.lit("END OF THIS PROJECT GUTENBERG EBOOK tail"))).otherwise(x)),
-    "CASE WHEN doc_id % 2 = 0 THEN text ELSE text END",
-)
-_text(
-    "clip_sentence",
-    lambda x: T.clip_sentence(F.substring(x, 1, 300)),
-    f"""CASE WHEN regexp_matches(substring(text, 1, 300), '[.!?"'']\\z') THEN substring(text, 1, 300)
-    WHEN regexp_extract(substring(text, 1, 300), {_q(P.SENTENCE_END)}, 1) = '' THEN substring(text, 1, 300)
-    ELSE regexp_extract(substring(text, 1, 300), {_q(P.SENTENCE_END)}, 1) END""",
+    lambda x: T.strip_boilerplate(F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("head\n" + _MARKED), x, F.lit("END OF THIS PROJECT GUTENBERG EBOOK tail\n" + _MARKED), F.col("lang"), F.lit("END OF THE PROJECT GUTENBERG EBOOK"))).when(F.col("doc_id") % 3 == 1, F.concat(x, F.lit(_MARKED))).otherwise(x)),
+    f"CASE doc_id % 3 WHEN 0 THEN text || chr(10) || chr(10) || lang WHEN 1 THEN text || {_q(_MARKED)} ELSE text END",
 )
 _text("reply_cleanup", lambda x: T.clean_reply(x), f"replace(regexp_replace(regexp_replace(regexp_replace(text, {_q(P.CONTROL)}, '', 'g'), {_q(P.BREAKS)}, ' ', 'g'), {_q(P.BLANKS)}, ' ', 'g'), chr(65533), '')")
 _text(
@@ -122,18 +114,15 @@ _text(
     WS_STRIP.format("string_split(string_split(string_split(text || chr(10) || 'Question: more', chr(10) || chr(10))[1], chr(10) || 'Question:')[1], chr(10) || 'Context:')[1]"),
 )
 _text("distinct_numbers", lambda x: F.array_join(F.array_sort(T.distinct_values(x, P.NUMBER, 1)), "|"), f"CASE WHEN len(regexp_extract_all(text, {_q(P.NUMBER)})) > 0 THEN array_to_string(list_sort(list_distinct(regexp_extract_all(text, {_q(P.NUMBER)}))), '|') END")
-_text("fence_strip", lambda x: T.strip_fence(F.concat(F.lit("```json\n"), F.substring(x, 1, 80), F.lit("\n```"))), WS_STRIP.format("substring(text, 1, 80)").replace("^[", "[").replace(f"'[{P.WS}]+|", f"'^[{P.WS}]+|"))
-_text("prompt_template", lambda x: T.prompt(F.when(F.col("doc_id") % 2 == 0, F.substring(x, 1, 50)), F.col("lang")), "CASE WHEN doc_id % 2 = 0 THEN 'Context: ' || substring(text, 1, 50) || chr(10) || 'Question: ' || lang || chr(10) || 'Answer:' ELSE 'Question: ' || lang || chr(10) || 'Answer:' END")
-# the four functions above whose queries take a prefix, over whole texts
-_text("dedup_key_whole", lambda x: T.dedup_key(x), f"regexp_replace(lower(text), {_q(P.NOT_WORD)}, '', 'g')")
+_text("dedup_key", lambda x: T.dedup_key(x), f"regexp_replace(lower(text), {_q(P.NOT_WORD)}, '', 'g')")
 _text(
-    "clip_sentence_whole",
+    "clip_sentence",
     lambda x: T.clip_sentence(x),
     f"""CASE WHEN regexp_matches(text, '[.!?"'']\\z') OR regexp_extract(text, {_q(P.SENTENCE_END)}, 1) = '' THEN text
     ELSE regexp_extract(text, {_q(P.SENTENCE_END)}, 1) END""",
 )
-_text("fence_strip_whole", lambda x: T.strip_fence(F.concat(F.lit("```json\n"), x, F.lit("\n```"))), WS_STRIP.format("text"))
-_text("prompt_template_whole", lambda x: T.prompt(F.when(F.col("doc_id") % 2 == 0, x), F.col("lang")), "CASE WHEN doc_id % 2 = 0 THEN 'Context: ' || text || chr(10) ELSE '' END || 'Question: ' || lang || chr(10) || 'Answer:'")
+_text("fence_strip", lambda x: T.strip_fence(F.concat(F.lit("```json\n"), x, F.lit("\n```"))), WS_STRIP.format("text"))
+_text("prompt_template", lambda x: T.prompt(F.when(F.col("doc_id") % 2 == 0, x), F.col("lang")), "CASE WHEN doc_id % 2 = 0 THEN 'Context: ' || text || chr(10) ELSE '' END || 'Question: ' || lang || chr(10) || 'Answer:'")
 _text("candidate_format", lambda x: F.format_string("Rank %d (score %.3f): %s", F.lit(1), F.col("n_chars") / 8, F.substring(x, 1, 400)), "format('Rank 1 (score {:.3f}): {}', n_chars / 8, substring(text, 1, 400))")
 _text("url_label", lambda x: F.regexp_extract(F.concat(F.lit("runs/"), "source", F.lit("/")), "([^/]+)/*$", 1), "source")
 _text("thousands", lambda x: F.concat(F.format_number("n_chars", 0), F.lit(" "), T.thousands(F.format_number("n_chars", 0)).cast("long").cast("string")), "format('{:,}', n_chars) || ' ' || n_chars")
@@ -439,12 +428,15 @@ def geometric_space(spark, sf):
     return spark.range(200).select(F.round(F.pow(F.lit(10.0), 1 + 4 * F.col("id") / 199.0), 4).alias("x"), F.col("id").alias("i"))
 
 
-@query("""WITH l AS (SELECT event_id, '[eval] step ' || event_id || '/9 | train loss 2.5 (x) | val loss ' || CASE WHEN event_id % 10 = 0 THEN 'nan' ELSE '3.25' END || ' y | best val 3.1@5 z | ' || '30,700 tok/s' AS v FROM events)
-SELECT event_id AS step, 2.5::DOUBLE AS train_loss, 3.25::DOUBLE AS val_loss, 3.1::DOUBLE AS best_val, 30700::DOUBLE AS tok_s FROM l WHERE event_id % 10 <> 0""")
+@query("""SELECT event_id AS step, (event_id % 400 + 100) / 100 AS train_loss, (event_id % 250 + 50) / 100 AS val_loss, (event_id % 90 + 10) / 100 AS best_val, (event_id * 7 + 1000)::DOUBLE AS tok_s
+FROM events WHERE event_id % 10 <> 0 AND event_id % 7 <> 0""")
 def parse_log(spark, sf):
-    loss = F.when(F.col("event_id") % 10 == 0, "nan").otherwise("3.25")
-    lines = table(spark, sf, "events").select(F.concat(F.lit("[eval] step "), F.col("event_id").cast("string"), F.lit("/9 | train loss 2.5 (x) | val loss "), loss, F.lit(" y | best val 3.1@5 z | 30,700 tok/s")).alias("value"))
-    return logs.parse_eval(lines)
+    e, c = table(spark, sf, "events"), F.col("event_id")
+    number = lambda n, low: F.format_string("%.2f", (c % n + low) / 100.0)
+    loss = F.when(c % 10 == 0, "nan").otherwise(number(250, 50))
+    gap = F.element_at(F.array(F.lit(" "), F.lit("  "), F.lit("\t")), (c % 3 + 1).cast("int"))
+    line = F.concat(F.lit("[eval] step"), gap, c.cast("string"), F.lit("/99999 | train loss "), number(400, 100), F.lit(" (x) | val loss "), loss, F.lit(" y | best val "), number(90, 10), F.lit("@5 z | "), F.format_number(c * 7 + 1000, 0), F.lit(" tok/s"))
+    return logs.parse_eval(e.select(F.when(c % 7 == 0, F.concat(F.lit("noise "), c.cast("string"))).otherwise(line).alias("value")))
 
 
 @query(f"""SELECT run, step, CASE WHEN s > f THEN round((step - g) * 24576 / (s - f), 3) END AS tok_s FROM (SELECT *, first(s) OVER w AS f, first(step) OVER w AS g FROM {_LOG} WINDOW w AS (PARTITION BY run ORDER BY step))""")
@@ -460,3 +452,6 @@ def fit_curve(spark, sf):
 @query("SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def hourly_counts(spark, sf):
     return table(spark, sf, "events").groupBy(F.date_trunc("hour", "ts").alias("hour"), "event_type").agg(F.count("*").alias("n"))
+
+
+from . import more  # noqa: E402, F401  registers its queries here

@@ -74,16 +74,52 @@ def write_split(df: DataFrame, path: str, is_val: str = "is_val") -> None:
     written.groupBy("split").agg(F.count("*").alias("rows")).coalesce(1).write.mode("overwrite").json(f"{path}/meta")
 
 
+def _store(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
+
+
 def swap(df: DataFrame, path: str) -> None:
-    """SNK7: replaces a table by one derived from it: written beside, then renamed."""
+    """SNK7: replaces a table by one derived from it: written beside, the old one renamed aside, the new one renamed, the old one deleted.
+
+    A crash leaves the table at path, or whole at path.old with the new one whole at path.new.
+    """
     spark = df.sparkSession
     df.write.mode("overwrite").parquet(path + ".new")
-    jvm = spark.sparkContext._jvm
-    old, new = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(path + ".new")
-    store = old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    store.delete(old, True)
-    if not store.rename(new, old):
-        raise OSError(f"cannot rename {new} to {old}")
+    store, at = _store(spark, path)
+    store.delete(at(path + ".old"), True)
+    if store.exists(at(path)) and not store.rename(at(path), at(path + ".old")):
+        raise OSError(f"cannot move {path} aside")
+    if not store.rename(at(path + ".new"), at(path)):
+        raise OSError(f"cannot rename {path}.new to {path}")
+    store.delete(at(path + ".old"), True)
+
+
+def resume(spark: SparkSession, path: str, build) -> DataFrame:
+    """SNK8: the table at path if an earlier run has finished it, else what build() gives, written there first."""
+    store, at = _store(spark, path)
+    if not store.exists(at(f"{path}/_SUCCESS")):
+        build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def promote(spark: SparkSession, winner: str, canonical: str, losers: tuple[str, ...] = ()) -> None:
+    """SNK11: the winner's table under the canonical name; the losers' tables go."""
+    if winner != canonical:
+        swap(spark.read.parquet(winner), canonical)
+    store, at = _store(spark, canonical)
+    for path in losers:
+        if path not in (winner, canonical):
+            store.delete(at(path), True)
+
+
+def write_literal(df: DataFrame, column: str, order: str, name: str) -> str:
+    """SNK12: a short column in order as source text of a list of JSON strings. For lists written by hand: all of it comes to the driver."""
+    import json
+
+    rows = [r[0] for r in df.orderBy(order).select(column).collect()]
+    return f"{name} = [\n" + "".join(f"    {json.dumps(x, ensure_ascii=False)},\n" for x in rows) + "]\n"
 
 
 def line_offsets(lines: DataFrame, order: str, value: str = "value") -> DataFrame:

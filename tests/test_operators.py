@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from prosemill.functions import patterns as P
 from prosemill.functions import text as T
-from prosemill.operators import corpus, evaluation, logs, models, sampling, vectors
+from prosemill.operators import answers, corpus, evaluation, logs, models, pairs, sampling, tokens, vectors
 from prosemill.plans import registry
 from prosemill.sources import io
 from prosemill.streaming import stateful
@@ -155,8 +155,91 @@ def test_text_queries_take_whole_texts(spark, tmp_path):
     head = "Aé b. " * 60
     texts = {2: head + "One end. and a rest", 4: head + "Two ends!\nmore"}
     spark.createDataFrame([(k, x, "en") for k, x in texts.items()], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {q: {r.doc_id: r.out for r in registry.QUERIES[q](spark, str(tmp_path)).collect()} for q in ("dedup_key_whole", "clip_sentence_whole", "fence_strip_whole", "prompt_template_whole")}
-    assert got["dedup_key_whole"] == {2: "aéb" * 60 + "oneendandarest", 4: "aéb" * 60 + "twoendsmore"}
-    assert got["clip_sentence_whole"] == {2: head + "One end.", 4: head + "Two ends!"}
-    assert got["fence_strip_whole"] == texts
-    assert got["prompt_template_whole"] == {k: f"Context: {x}\nQuestion: en\nAnswer:" for k, x in texts.items()}
+    got = {q: {r.doc_id: r.out for r in registry.QUERIES[q](spark, str(tmp_path)).collect()} for q in ("dedup_key", "clip_sentence", "fence_strip", "prompt_template")}
+    assert got["dedup_key"] == {2: "aéb" * 60 + "oneendandarest", 4: "aéb" * 60 + "twoendsmore"}
+    assert got["clip_sentence"] == {2: head + "One end.", 4: head + "Two ends!"}
+    assert got["fence_strip"] == texts
+    assert got["prompt_template"] == {k: f"Context: {x}\nQuestion: en\nAnswer:" for k, x in texts.items()}
+
+
+def test_top_k_equals_brute_force(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 8))
+    x[50] = x[7]
+    d = spark.createDataFrame([(i, [float(a) for a in v]) for i, v in enumerate(x)] + [(900, None), (901, []), (None, [1.0] * 8)], "id long, vec array<double>").repartition(5)
+    asked = d.where("id % 10 = 7").selectExpr("id query_id", "vec qvec")
+    got = {}
+    for r in vectors.top_k(asked, d, 4).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.id))
+    for q in range(7, 300, 10):
+        s = [(-float((x[q] * x[i]).cumsum()[-1]), i) for i in range(300) if i != q]
+        assert [i for _, i in sorted(got[q])] == [i for _, i in sorted(s)[:4]]
+    assert len(got) == 30 and vectors.top_k(asked.where("query_id < 0"), d, 4).count() == 0
+
+
+def test_validator_reasons(spark):
+    rows = [("1999", "When?", "it was in 1999", None), ("2005", "When?", "it was in 2005", "unknown target"), ("1999", "When?", "it was in 1998 or so", "answer lacks target"), ("1999", "When?", "from 1998 to 1999 it was", "sibling in answer"),
+            ("1999", "Was it 1999?", "it was in 1999", "question leaks answer"), ("1999", "When?", "in 1999", "bare answer"), (None, None, None, "unknown target")]
+    d = spark.createDataFrame([(*r, ["1998", "1999"]) for r in rows], "v string, q string, a string, want string, vs array<string>")
+    for r in d.withColumn("got", pairs.validate(F.col("v"), F.col("q"), F.col("a"), F.col("vs"), P.YEAR)).collect():
+        assert r.got == r.want
+
+
+def test_contexts_and_fetches(spark):
+    q = spark.createDataFrame([("a", "factual"), ("b", "non_factual"), ("c", "factual")], "question string, category string")
+    over = spark.createDataFrame([("a", "pa")], "question string, passage string")
+    got = {r.question: (r.context, r.missing_override) for r in answers.choose_context(q, "override", overrides=over).collect()}
+    assert got == {"a": ("pa", False), "b": (None, False), "c": (None, True)}
+    assert answers.choose_context(q, "none").where("context is null and not missing_override").count() == 3
+    with pytest.raises(ValueError):
+        answers.choose_context(q, "other")
+
+    def get(title):
+        return {"ok": (200, "body", 0.0), "gone": (404, None, 0.0)}.get(title, (503, None, 0.0))
+
+    t = spark.createDataFrame([("ok",), ("gone",), ("down",)], "title string")
+    waits = []
+    out = {r.title: (r.body, r.failed) for r in answers.fetch_all(t, get, lambda d: spark.createDataFrame(d.collect(), d.schema), passes=2, wait=lambda s: None, retries=1).collect()}
+    assert out == {"ok": ("body", False), "gone": (None, False), "down": (None, True)} and waits == []
+
+
+def test_token_files(spark, tmp_path):
+    public = pytest.importorskip("public_tokenizers")
+    path = str(public.path("byte_bpe_50k.json"))
+    text = "The first sentence is here. " * 200
+    d = spark.createDataFrame([(1, text), (2, "Short one. And a tail"), (3, None), (4, "")], "doc_id long, text string")
+    e = tokens.encode(d, path)
+    assert {r.doc_id: r.t for r in tokens.decode(e, path, out="t").collect()} == {1: text, 2: "Short one. And a tail", 3: "", 4: ""}
+    got = {r.doc_id: r.passage for r in tokens.fit_budget(d, path, most=50).collect()}
+    assert got[1].endswith("here.") and len(got[1]) < len(text) and got[2] == "Short one." and got[3] is None and got[4] == ""
+    fine, told = tokens.within_limit(e, most=100)
+    assert fine.count() == 3 and told.first()[0] == 1
+    ids = [i for r in e.orderBy("doc_id").collect() for i in r.ids]
+    s = tokens.stream_split(e, "ids", "doc_id", 0.3).orderBy("doc_id").collect()
+    train, val = [i for r in s for i in r.train], [i for r in s for i in r.val]
+    assert train + val == ids and len(val) == int(len(ids) * 0.3)
+    assert tokens.stream_split(e.where("doc_id = 9"), "ids", "doc_id", 0.3).count() == 0
+    assert 0 < tokens.undecodable(path, spark).count() < 2000
+
+
+def test_resume_promote_and_swap(spark, tmp_path):
+    path, calls = str(tmp_path / "stage"), []
+
+    def build():
+        calls.append(1)
+        return spark.range(3)
+
+    assert io.resume(spark, path, build).count() == io.resume(spark, path, build).count() == 3 and calls == [1]
+    spark.range(5).write.parquet(str(tmp_path / "winner"))
+    io.promote(spark, str(tmp_path / "winner"), path, losers=(str(tmp_path / "loser"),))
+    assert spark.read.parquet(path).count() == 5 and not (tmp_path / "stage.old").exists()
+    assert io.write_literal(spark.createDataFrame([(2, 'b "x"'), (1, "a")], "i int, q string"), "q", "i", "QS") == 'QS = [\n    "a",\n    "b \\"x\\"",\n]\n'
+
+
+def test_tail_cut_and_candidates(spark):
+    d = spark.createDataFrame([(["a.", "b", "c", "d", "e. f"], 5), (["a.", "b", "c"], 5), (["a", "b"], 2), ([], 0)], "c array<string>, n int")
+    assert [r[0] for r in d.select(answers.cut_tail(F.col("c"), F.col("n"))).collect()] == ["a.bcde.", "a.bc", "ab...", "..."]
+    assert logs.parameter_count(12, 768, 50257, 1024) == 50257 * 768 + 1024 * 768 + 12 * (12 * 768**2 + 2 * 768) + 768
+    assert apply(spark, T.quoted_lines, ' "a",,\nno\n"b "c" d" \n"') == [["a", 'b "c" d']]
