@@ -78,7 +78,7 @@ def source_key():
 
 
 def pareto_mix(docs: DataFrame, seed: str = "mix") -> DataFrame:
-    """docs(doc_id, source, size[, tie]) -> also source_size, target, copies, taken; a row for each row.
+    """docs(doc_id, source, size[, tie]) -> these and source_size, target, copies, taken; a row for each row.
 
     A document has its whole copies (expected_copies()), and one more if its rank lets it in: rank is u / (1 - u) over its
     inclusion odds, where u is a hash of seed and doc_id; by rank, documents are let in as long as that
@@ -89,9 +89,10 @@ def pareto_mix(docs: DataFrame, seed: str = "mix") -> DataFrame:
     The order of a source is cut into parts by the logarithm of the rank. Sums of parts tell in which
     one the sample ends; only this part is sorted, so a hot source needs no more than sums.
     """
-    drawn = F.coalesce(F.col("doc_id").cast("string"), F.col("tie") if "tie" in docs.columns else F.lit(""), F.lit(""))
+    more = ["tie"] if "tie" in docs.columns else []
+    drawn = F.coalesce(F.col("doc_id").cast("string"), *map(F.col, more), F.lit(""))
     u = (F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), drawn)), 1, 13), 16, 10).cast("double") + 0.5) / float(2**52)
-    base = docs.select("doc_id", "source", F.coalesce("size", F.lit(0)).cast("long").alias("size"), u.alias("u"), source_key().alias("_key"))
+    base = docs.select("doc_id", "source", F.coalesce("size", F.lit(0)).cast("long").alias("size"), u.alias("u"), source_key().alias("_key"), *more)
     bits = F.least(F.when(F.col("size") > 0, F.length(F.bin("size"))).otherwise(1), F.lit(MAX_BITS)).cast("long")
     base = staged(base.withColumn("_cell", F.concat("_key", F.lit("/"), bits)).withColumn("_bits", bits), "sizes")
     classes = staged(base.groupBy(F.col("_key").alias("key"), F.col("_bits").alias("bits")).agg(F.first("source").alias("source"), F.sum("size").alias("words")), "classes")
@@ -108,7 +109,7 @@ def pareto_mix(docs: DataFrame, seed: str = "mix") -> DataFrame:
     gap = F.col("fill") - F.col("ahead") - F.coalesce(F.sum("size").over(inside), F.lit(0))
     last = rows.where("part = edge").withColumn("extra", F.when(2 * gap >= F.col("size"), 1).otherwise(0))
     copies = F.col("whole") + F.when(F.col("size") > 0, F.col("extra")).otherwise(0)
-    return rest.unionByName(last).withColumn("copies", copies.cast("long")).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return rest.unionByName(last).withColumn("copies", copies.cast("long")).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *more)
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -193,7 +193,8 @@ def test_passage_with_an_edited_word():
     b = a.copy()
     b[36:41] = np.arange(200, 205)
     assert passages.common_passages(a, b, seen) == [(0, 76, 0, 76)]
-    assert passages._long_stretch(a, [np.unique(b), np.arange(20)]).tolist() == [True, False]
+    part = part_of([a, b, np.concatenate([np.arange(20), np.arange(300, 360)])])
+    assert part.could(0, np.arange(1, 3), np.array([38])).tolist() == [1] and part.could(0, np.arange(3)).tolist() == [0, 1]
 
 
 def test_passage_with_inserted_words():
@@ -209,32 +210,49 @@ def test_passage_with_inserted_words():
                 want = [(around, around + tokens, around, around + tokens + more)]
                 assert passages.common_passages(a, b, seen) == want
                 assert [(k, m, i, j) for i, j, k, m in passages.common_passages(b, a, seen)] == want
-                assert passages._long_stretch(a, [np.unique(b)]).all() and passages._long_stretch(b, [np.unique(a)]).all()
-
-
-def test_large_groups_keep_what_can_link(spark, monkeypatch):
-    monkeypatch.setattr(passages, "BLOCK", 2)
-    monkeypatch.setattr(passages, "SLICE_TEXTS", 2)
-    shared = np.arange(100, 100 + passages.LEAST_COMMON)
-    sets = {1: np.arange(10), 2: np.append(shared, 5), 3: np.append(shared, 6), 4: shared[1:], 5: np.zeros(0)}
-    tokens = spark.createDataFrame([(k, bytearray(v.astype("<u4").tobytes())) for k, v in sets.items()], "nid bigint, tokens binary")
-    members = spark.createDataFrame([(1, k) for k in sets] + [(8, 8), (8, 9)], "g bigint, nid bigint")
-    assert sorted(map(tuple, passages.could_link(members, tokens).collect())) == [(2, 2), (2, 3), (8, 8), (8, 9)]
-
-
-def test_repeated_lines_link_in_groups_of_any_size(spark, monkeypatch):
-    # nine distinct tokens at fifty places
-    line = np.tile(np.arange(100, 109), 6)[:50]
-    sets = {k: np.concatenate([np.arange(1_000 * k, 1_000 * k + 30), line, np.arange(1_000 * k + 500, 1_000 * k + 520)]) for k in (1, 2, 3)}
-    rows = [(k, bytearray(v.astype("<u4").tobytes())) for k, v in sets.items()]
-    tokens, members = spark.createDataFrame(rows, "nid bigint, tokens binary"), spark.createDataFrame([(1, k) for k in sets], "g bigint, nid bigint")
-    for block in (2, 1024):
+                assert part_of([a, b, b]).could(0, np.arange(3)).tolist() == part_of([b, a, a]).could(0, np.arange(3)).tolist() == [0, 1, 2]
+
+
+def part_of(sets, few=0):
+    """A part of pieces with these tokens, each of a text of its own."""
+    part = pa.StructArray.from_arrays([pa.array([1] * len(sets)), pa.array([0] * len(sets)), pa.array([0] * len(sets))], names=["g", "i", "j"])
+    cols = [part, pa.array([0] * len(sets), pa.int32()), pa.array(range(1, len(sets) + 1), pa.int64()), pa.array([0] * len(sets), pa.int32()), pa.array([[0]] * len(sets), pa.list_(pa.int32())), pa.array([x.astype("<u4").tobytes() for x in sets])]
+    before, passages.FEW_PIECES = passages.FEW_PIECES, few
+    try:
+        return passages._Part(pa.table(cols, names=["part", "kind", "nid", "a", "centers", "tokens"]))
+    finally:
+        passages.FEW_PIECES = before
+
+
+def test_bounds_never_drop_what_is_alike():
+    rng = np.random.default_rng(12)
+    alike = 0
+    for _ in range(60):
+        base = rng.integers(0, 200, int(rng.integers(50, 120)))
+        sets = []
+        for _ in range(5):
+            x = base.copy()
+            for at in rng.integers(0, len(x) - 5, int(rng.integers(0, 5))):
+                x[at : at + 5] = rng.integers(200, 900, 5)
+            sets.append(np.concatenate([rng.integers(900, 1000, int(rng.integers(0, 60))), x]))
+        part = part_of(sets)
+        fine = set(part.could(0, np.arange(1, 5)).tolist())
+        for j in range(1, 5):
+            if passages.common_passages(part.tokens[0], part.tokens[j], part.seen):
+                alike += 1
+                assert j in fine
+    assert alike > 50
+
+
+def test_groups_of_any_size_give_the_same(spark, monkeypatch):
+    short, line = prose(43, 38), prose(44, 9)
+    # a passage that is too short for all, and a line that some repeat until it is long enough
+    rows = [(k, " ".join([prose(50 + k, 60), short, prose(70 + k, 40), *[line] * (6 * (k > 3)), prose(90 + k, 20)]), "en", "s") for k in range(1, 7)]
+    for block in (1024, 2):
         monkeypatch.setattr(passages, "BLOCK", block)
-        assert sorted(map(tuple, passages.could_link(members, tokens).collect())) == [(1, 1), (1, 2), (1, 3)]
-    part = pa.StructArray.from_arrays([pa.array([1] * 3), pa.array([0] * 3), pa.array([0] * 3)], names=["g", "i", "j"])
-    batch = pa.RecordBatch.from_arrays([part, pa.array([1, 2, 3]), pa.array([0] * 3), pa.array([[1]] * 3), pa.array([bytes(x) for _, x in rows])], names=["part", "nid", "kind", "groups", "tokens"])
-    links = [r for out in passages._compare(iter([batch])) for r in out.to_pylist()]
-    assert [r["nid"] for r in links] == [1, 2, 3] and all(r["root"] == 1 and r["spans"] == [{"a": 30, "b": 84}] for r in links)
+        monkeypatch.setattr(passages, "SLICE_PIECES", block)
+        got = by_id(passages.repeated_passages(make(spark, rows)), "class_id", "n_links", "passages")
+        assert got == {k: (k, 0, "") for k in (1, 2, 3)} | {k: (4, 2, "138:192") for k in (4, 5, 6)}
 
 
 def test_links_of_all_pairs(spark, monkeypatch):
@@ -248,6 +266,35 @@ def test_links_of_all_pairs(spark, monkeypatch):
         assert [got[k][2] for k in range(1, 7)] == ["30:90"] * 3 + ["30:90,120:180"] * 3
 
 
+def test_repeated_passages_equal_a_search_of_all_pairs(spark, monkeypatch):
+    """All documents of sf0.001: classes and covered words as from comparing every two whole texts."""
+    from prosemill.llm.shingles import shingles, word_hashes
+
+    found = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
+    texts = sorted({t for _, t in found if t and len(words(t)) >= 50})
+    flat = [shingles(word_hashes(t), 5) for t in texts]
+    values, numbers = np.unique(np.concatenate(flat), return_inverse=True)
+    numbers, seen = np.split(numbers, np.cumsum([len(x) for x in flat])[:-1]), np.zeros(len(values), bool)
+    group, covered = {t: {t} for t in texts}, defaultdict(set)
+    for (i, x), (j, y) in combinations(enumerate(numbers), 2):
+        for p, q, r, s in passages.common_passages(x, y, seen):
+            covered[texts[i]] |= set(range(p, q + 4))
+            covered[texts[j]] |= set(range(r, s + 4))
+            whole = group[texts[i]] | group[texts[j]]
+            group |= dict.fromkeys(whole, whole)
+    ids = defaultdict(list)
+    for i, t in found:
+        ids[t].append(i)
+    want = {i: min(k for u in group.get(t, {t}) for k in ids[u]) for i, t in found}
+    for block in (1024, 3):
+        monkeypatch.setattr(passages, "BLOCK", block)
+        got = by_id(passages.repeated_passages(spark.createDataFrame(found, "doc_id long, text string")), "class_id", "passages")
+        assert {i: v[0] for i, v in got.items()} == want
+        spans = {i: {w for x in v[1].split(",") if x for w in range(*map(int, x.split(":")))} for i, v in got.items()}
+        missed = sum(len(covered[t] - spans[i]) for i, t in found)
+        assert missed <= 0.002 * sum(len(covered[t]) for _, t in found) and sum(map(len, covered.values()))
+
+
 def test_word_hashes_are_those_of_words():
     from prosemill.llm import shingles
 
