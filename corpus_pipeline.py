@@ -21,7 +21,7 @@ SHINGLE_WORDS, PERCENT = 5, 80
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without an accepted language and sets lang to the predicted one."""
+    """Drops documents without an accepted language (null, empty or letterless texts) and sets lang to the predicted one; ids may be null or repeated."""
     model = language_id.train(docs.where(~language_id.held_out("doc_id")))
     tagged = language_id.tag(docs, model)
     keep = F.col("lang_pred") != language_id.UNKNOWN
@@ -41,21 +41,26 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces every secret found, at any depth of encoding, by a mark."""
+    """Replaces every secret found, at any depth of encoding, by a mark; rows are taken one by one, null texts stay."""
     clean = secrets.redact(docs)
     return clean.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes documents to the target weights of their sources; one taken n times has n rows."""
-    mixed = mixing.pareto_mix(docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"))).where("copies > 0")
-    copies = mixed.groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies"))
-    taken = docs.select(*COLUMNS).join(copies, F.col("doc_id").eqNullSafe(F.col("_id")))
+    """Takes documents to the target weights of their sources; one taken n times has n rows.
+
+    Rows without an id are drawn by their text. Rows of one id, text and source take their copies together; no rows give none.
+    """
+    keyed = docs.select(*COLUMNS).withColumn("tie", F.md5(F.coalesce("text", F.lit(""))))
+    mixed = mixing.pareto_mix(keyed.select("doc_id", "source", "tie", mixing.word_count(F.col("text")).alias("size")))
+    copies = mixed.groupBy(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie"), F.col("source").alias("_source")).agg(F.sum("copies").alias("_copies")).where("_copies > 0")
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tie") == F.col("_tie")) & F.col("source").eqNullSafe(F.col("_source"))
+    taken = keyed.join(copies, same).dropDuplicates(["doc_id", "tie", "source"])
     return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))).select(*COLUMNS)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the ids of all rows into sequences."""
+    """Packs the ids of all rows into sequences; see packing.pack() for nulls, repeated rows and empty input."""
     return packing.pack(docs)
 
 
@@ -72,6 +77,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over all documents, each written and read again; an empty table gives no pieces."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(*COLUMNS)
     for name, stage in STAGES[:-1]:
         docs = staged(stage(spark, docs, sf_dir), name.replace(" ", "-"))
