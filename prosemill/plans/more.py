@@ -31,7 +31,7 @@ _text(
     "tail_cut",
     lambda x: answers.cut_tail(F.split(x, " "), F.size(F.split(x, " "))),
     """(SELECT CASE WHEN p IS NULL THEN array_to_string(c, '') || '...' ELSE array_to_string(c[1:p - 1], '') || string_split(c[p], '.')[1] || '.' END
-    FROM (SELECT c, list_min(list_filter(range(1, len(c) + 1), lambda i: i - 1 >= floor(len(c) * 0.8::DOUBLE) AND contains(c[i], '.'))) AS p FROM (SELECT string_split(text, ' ') AS c)))""",
+    FROM (SELECT c, nullif(list_position(list_transform(c, lambda x, i: i - 1 >= late AND contains(x, '.')), true), 0) AS p FROM (SELECT c, floor(len(c) * 0.8::DOUBLE) AS late FROM (SELECT string_split(text, ' ') AS c))))""",
 )
 _text(
     "debug_suffix",
