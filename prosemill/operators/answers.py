@@ -39,7 +39,10 @@ def choose_context(questions: DataFrame, mode: str, retrieved: DataFrame | None
 
 def cut_tail(chunks: Column, budget: Column) -> Column:
     """TXT22: the chunks up to the first full stop from place int(budget * 0.8) on; all and ... if the budget is spent without one."""
-    at = F.array_position(F.transform(chunks, lambda x, i: (i >= F.floor(budget * P.TAIL_SHARE)) & F.contains(x, F.lit("."))), True).cast("int")
+    # the lambda sees a chunk only: what it holds besides is evaluated for each
+    late = F.floor(budget * P.TAIL_SHARE).cast("int")
+    first = F.array_position(F.transform(F.slice(chunks, late + 1, F.size(chunks)), lambda x: F.contains(x, F.lit("."))), True).cast("int")
+    at = F.when(first > 0, late + first).otherwise(0)
     cut = F.concat(F.array_join(F.slice(chunks, F.lit(1), at - 1), ""), F.substring_index(F.get(chunks, at - 1), ".", 1), F.lit("."))
     whole = F.array_join(chunks, "")
     return F.when(at > 0, cut).when(F.size(chunks) >= budget, F.concat(whole, F.lit("..."))).otherwise(whole)
