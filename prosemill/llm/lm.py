@@ -1,9 +1,18 @@
-"""Interpolated modified Kneser-Ney bigram model, counted in Spark.
+"""Interpolated modified Kneser-Ney trigram model, counted in Spark.
+
+Trigrams are shuffled once, to shards by their middle word. So a shard has all trigrams of a
+context, and all left neighbours of a bigram: bigrams are never shuffled by themselves, their
+continuation counts come from the shard. A middle word with more than half a shard's worth of tokens is spread by
+its left neighbour, and by the right one too where the left one is as frequent; what
+is then partial (a bigram's left neighbours, such a context's sums) is added up in a second, small step.
 
 The model is a folder of sorted arrays in the folder that all executors share: words as
-64-bit hashes (a word's id is its place), statistics by id, and bigrams as sorted keys of
-two ids with their counts. Scoring workers map the files into memory and look up batches of
+64-bit hashes (a word's id is its place), statistics by id, bigrams as sorted keys of two ids
+with their continuation counts, and trigrams as sorted contexts of two ids with, for each, its sorted
+followers and their counts. Scoring workers map the files into memory and look up batches of
 distinct keys.
+
+Each text starts behind two start marks, which are contexts only.
 """
 
 from __future__ import annotations
@@ -29,13 +38,17 @@ END = xxhash.xxh3_64_intdigest(b" end")
 #: Id of the start of a text; it only is a context.
 START = np.uint64(2**32 - 1)
 ADD = 0.1
-#: Words to a shard of the vocabulary, tokens to a shard of the bigrams, distinct words held before counts are given out.
+#: Words to a shard of the vocabulary, tokens to a shard of the trigrams, distinct words held before counts are given out.
 SHARD_WORDS, SHARD_TOKENS, HELD_WORDS = 250_000, 1_500_000, 400_000
 #: Ids to a file of statistics.
 STAT_IDS = 500_000
 #: Tokens that are sorted at once when counting, and looked up at once when scoring.
 COUNT_TOKENS, SCORE_TOKENS = 2_000_000, 800_000
+#: Contexts with fewer followers have no stored sums: these are read off the followers.
+SHORT = 8
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
+_HALF, _LOW = np.uint64(32), np.uint64(0xFFFFFFFF)
+WIDTHS = ("<u1", "<u2", "<u4", "<u8")
 
 
 def is_held_out(doc_id: str = "doc_id"):
@@ -85,10 +98,12 @@ class Layout:
     starts: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
     tokens: int = 0
     shards: int = 1
-    #: Contexts with more than a shard's worth of tokens, and over how many shards each is spread.
+    #: Shards of what is added up in the second step.
+    hot_shards: int = 1
+    #: Words with more than half a shard's worth of tokens, sorted, and over how many shards each is spread.
     hot_ids: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
     hot_parts: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
-    discounts: list = field(default_factory=lambda: [(0.5, 1.0, 1.5)] * 2)
+    discounts: list = field(default_factory=lambda: [(0.5, 1.0, 1.5)] * 3)
     continuations: int = 0
     #: Mass of the lowest order that goes to the uniform distribution.
     gamma0: float = 1.0
@@ -100,15 +115,30 @@ class Layout:
     def word_shard(self, h: np.ndarray) -> np.ndarray:
         return (h >> np.uint64(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(h), np.int64)
 
-    def shard(self, keys: np.ndarray) -> np.ndarray:
-        """The shard of each bigram key: by its context, for hot contexts also by its word."""
-        u, w = keys >> np.uint64(32), keys & np.uint64(0xFFFFFFFF)
-        at = (u * _SPREAD) >> np.uint64(20)
-        if len(self.hot_ids):
-            k = np.minimum(np.searchsorted(self.hot_ids, u), len(self.hot_ids) - 1)
-            hot = self.hot_ids[k] == u
-            at = at + np.where(hot, ((w * _SPREAD) >> np.uint64(33)) % self.hot_parts[k], np.uint64(0))
-        return (at % np.uint64(self.shards)).astype(np.int64)
+    def parts(self, ids: np.ndarray) -> np.ndarray:
+        """Over how many shards each word is spread; 0 for those that are not."""
+        if not len(self.hot_ids):
+            return np.zeros(len(ids), np.uint64)
+        k = np.minimum(np.searchsorted(self.hot_ids, ids), len(self.hot_ids) - 1)
+        return np.where(self.hot_ids[k] == ids, self.hot_parts[k], np.uint64(0))
+
+    def shard(self, contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each context (middle word, left word): its first shard, and over how many from there its followers are spread (0: none but this)."""
+        v, u = contexts >> _HALF, contexts & _LOW
+        first, pv = (v * _SPREAD) >> np.uint64(20), self.parts(v)
+        pu = np.where(pv > 0, self.parts(u), np.uint64(0))
+        first = first + ((u * _SPREAD) >> np.uint64(33)) % np.maximum(pv, np.uint64(1))
+        return (first % np.uint64(self.shards)).astype(np.int64), np.minimum(pv, pu)
+
+    def spread(self, first: np.ndarray, over: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """The shard of each trigram, by shard() of its context and its last word."""
+        if not over.any():
+            return first
+        more = ((w.astype(np.uint64) * _SPREAD) >> np.uint64(33)) % np.maximum(over, np.uint64(1))
+        return (first + more.astype(np.int64)) % self.shards
+
+    def hot_shard(self, keys: np.ndarray) -> np.ndarray:
+        return (((keys ^ (keys >> np.uint64(29))) * _SPREAD >> np.uint64(33)) % np.uint64(self.hot_shards)).astype(np.int64)
 
 
 class Words:
@@ -179,33 +209,66 @@ def _write_words(uri: str):
     return run
 
 
-def _bigram_counts(layout: Layout):
+def planes(a: np.ndarray) -> bytes:
+    """32-bit numbers, byte by byte of all: the high bytes of small ones compress to nothing."""
+    return np.ascontiguousarray(a.astype("<u4").view("u1").reshape(-1, 4).T).tobytes()
+
+
+def unplanes(b: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(b, "u1").reshape(4, -1).T).view("<u4").ravel()
+
+
+def _runs(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of equal values start, and how long they are."""
+    first = np.flatnonzero(np.append(True, a[1:] != a[:-1])) if len(a) else np.zeros(0, np.int64)
+    return first, np.diff(np.append(first, len(a)))
+
+
+def _trigram_counts(layout: Layout):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex = Words(layout)
         end, held, size = np.uint64(lex.end()), [], 0
-
-        def out():
-            keys, counts = np.unique(np.concatenate(held), return_counts=True)
-            shard = layout.shard(keys)
-            order = np.argsort(shard, kind="stable")
-            cuts = np.searchsorted(shard[order], np.arange(layout.shards + 1))
-            rows = []
-            for s in np.flatnonzero(np.diff(cuts)):
-                part = order[cuts[s] : cuts[s + 1]]
-                u, runs = np.unique(keys[part] >> np.uint64(32), return_counts=True)
-                rows.append((int(s), u.astype("<u4").tobytes(), runs.astype("<u4").tobytes(), keys[part].astype("<u4").tobytes(), counts[part].astype("<u4").tobytes()))
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int32()] + [pa.binary()] * 4, strict=True)], names=["shard", "u", "runs", "w", "c"])
+        few = np.uint16 if layout.shards < 2**16 else np.int64
+
+        def out(seq: np.ndarray):
+            """Counts of the trigrams that end at the third place of ``seq`` or later."""
+            here = seq[2:] != START
+            distinct, at = np.unique(((seq[1:-1] << _HALF) | seq[:-2])[here], return_inverse=True)
+            keys, counts = np.unique((at.astype(np.uint64) << _HALF) | seq[2:][here], return_counts=True)
+            at, w = (keys >> _HALF).astype(np.int64), keys & _LOW
+            first, over = layout.shard(distinct)
+            shard = layout.spread(first[at], over[at], w)
+            order = np.argsort(shard.astype(few), kind="stable")
+            shard, at, w, counts = shard[order], at[order], w[order], counts[order]
+            # contexts of a shard follow each other; one that is spread starts anew in each
+            cfirst, clong = _runs(at + shard * np.int64(len(distinct)))
+            contexts, cshard = distinct[at[cfirst]], shard[cfirst]
+            vfirst, vlong = _runs((contexts >> _HALF).astype(np.int64) + (cshard << np.int64(32)))
+            v, vshard = contexts[vfirst] >> _HALF, cshard[vfirst]
+            found = np.unique(vshard)
+            vc, cc, wc = ([*np.searchsorted(x, found), len(x)] for x in (vshard, cshard, shard))
+            rows = [
+                (int(s), planes(v[vc[i] : vc[i + 1]]), planes(vlong[vc[i] : vc[i + 1]]), planes((contexts & _LOW)[cc[i] : cc[i + 1]]), planes(clong[cc[i] : cc[i + 1]]), planes(w[wc[i] : wc[i + 1]]), planes(counts[wc[i] : wc[i + 1]]))
+                for i, s in enumerate(found)
+            ]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int32()] + [pa.binary()] * 6, strict=True)], names=["shard", "v", "vn", "u", "un", "w", "n"])
+
+        def parts():
+            seq = np.concatenate(held)
+            for a in range(2, len(seq), COUNT_TOKENS):
+                part = seq[a - 2 : a + COUNT_TOKENS]
+                if (part[2:] != START).any():
+                    yield out(part)
 
         for batch in batches:
             for ids in lex.ids([words(t.as_py()) for t in batch.column(0)]):
-                w = np.append(ids.astype(np.uint64), end)
-                held.append((np.append(START, w[:-1]) << np.uint64(32)) | w)
-                size += len(w)
+                held.append(np.concatenate([[START, START], ids.astype(np.uint64), [end]]))
+                size += len(held[-1])
             if size > COUNT_TOKENS:
-                yield out()
+                yield from parts()
                 held, size = [], 0
         if held:
-            yield out()
+            yield from parts()
 
     return run
 
@@ -218,27 +281,95 @@ def _sums(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     return keys[first], *[np.add.reduceat(v[order].astype(np.int64), first) if len(first) else v.astype(np.int64) for v in values]
 
 
-def _merge_bigrams(layout: Layout):
-    """Writes a shard's keys and counts; gives context and continuation sums by stat shard, and counts of counts."""
+def _classes(counts: np.ndarray) -> tuple[np.ndarray, ...]:
+    return counts, counts == 1, counts == 2, counts > 2
+
+
+def _narrow(counts: np.ndarray) -> str:
+    return next(t for t in WIDTHS if not len(counts) or counts.max() <= np.iinfo(t).max)
+
+
+def _seen(counts: np.ndarray) -> list[int]:
+    return [int((counts == k).sum()) for k in (1, 2, 3, 4)]
+
+
+def _bigram_rows(keys: np.ndarray, counts: np.ndarray) -> list[tuple]:
+    """Sums by the first word of bigrams, and numbers of first words by the second, to be added up by id."""
+    contexts, *sums = _sums(keys >> _HALF, *_classes(counts))
+    after, before = _sums(keys & _LOW, np.ones(len(keys), np.int64))
+    rows = []
+    for kind, ids, stats in ((b"c", contexts, np.stack(sums, 1)), (b"w", after, before[:, None])):
+        at = (ids // np.uint64(STAT_IDS)).astype(np.int64)
+        for s in np.unique(at):
+            rows.append((int(s), kind, planes(ids[at == s]), stats[at == s].astype("<u4").tobytes()))
+    return rows
+
+
+_ROWS = "part int, kind binary, ids binary, stats binary"
+
+
+def _table(rows: list[tuple]) -> pa.Table:
+    columns = zip(*rows, strict=True) if rows else [[]] * 4
+    return pa.table({n: pa.array(c, t) for n, c, t in zip(("part", "kind", "ids", "stats"), columns, [pa.int32()] + [pa.binary()] * 3, strict=True)})
+
+
+def _merge_trigrams(layout: Layout):
+    """Writes a shard's trigrams and bigrams; gives sums by id, counts of counts, and what the second step adds up."""
 
     def run(table: pa.Table) -> pa.Table:
-        read = lambda c: [np.frombuffer(x.as_py(), "<u4") for x in table.column(c)]
-        keys = np.concatenate([(np.repeat(u, r).astype(np.uint64) << np.uint64(32)) | w for u, r, w in zip(read("u"), read("runs"), read("w"), strict=True)])
-        keys, counts = _sums(keys, np.concatenate(read("c")))
+        read = lambda c: [unplanes(x.as_py()) for x in table.column(c)]
+        contexts = np.concatenate([(np.repeat(v, n).astype(np.uint64) << _HALF) | u for v, n, u in zip(read("v"), read("vn"), read("u"), strict=True)])
+        distinct, at = np.unique(np.repeat(contexts, np.concatenate(read("un"))), return_inverse=True)
+        keys, counts = _sums((at.astype(np.uint64) << _HALF) | np.concatenate(read("w")), np.concatenate(read("n")))
+        at, w = (keys >> _HALF).astype(np.int64), keys & _LOW
         shard = table.column("shard")[0].as_py()
-        put(layout.uri, f"keys-{shard}", keys.astype("<u8"))
-        width = next(t for t in ("<u1", "<u2", "<u4", "<u8") if counts.max() <= np.iinfo(t).max)
-        put(layout.uri, f"ngrams-{shard}{width[1:]}", counts.astype(width))
-        u, w = keys >> np.uint64(32), keys & np.uint64(0xFFFFFFFF)
-        one = np.ones(len(keys), np.int64)
-        contexts, total, n1, n2, n3 = _sums(u, counts, counts == 1, counts == 2, counts > 2)
-        after, before = _sums(w, one)
-        rows = [(-1, width[1:].encode(), shard.to_bytes(8, "little"), np.array([(counts == k).sum() for k in (1, 2, 3, 4)], "<u8").tobytes())]
-        for kind, ids, stats in ((b"c", contexts, np.stack([total, n1, n2, n3], 1)), (b"w", after, before[:, None])):
-            at = (ids // np.uint64(STAT_IDS)).astype(np.int64)
-            for s in np.unique(at):
-                rows.append((int(s), kind, ids[at == s].astype("<u4").tobytes(), stats[at == s].astype("<u4").tobytes()))
-        return pa.table({n: pa.array(c, t) for n, c, t in zip(("part", "kind", "ids", "stats"), zip(*rows, strict=True), [pa.int32()] + [pa.binary()] * 3, strict=True)})
+        starts, long = _runs(at)
+        stats = np.stack([np.add.reduceat(x.astype(np.int64), starts) for x in _classes(counts)], 1)
+        over = layout.shard(distinct)[1] > 0
+        width = _narrow(counts)
+        put(layout.uri, f"contexts-{shard}", distinct.astype("<u8"))
+        put(layout.uri, f"starts-{shard}", np.append(starts, len(w)).astype("<u4"))
+        put(layout.uri, f"followers-{shard}", w.astype("<u4"))
+        put(layout.uri, f"trigrams-{shard}{width[1:]}", counts.astype(width))
+        stored = np.flatnonzero(long >= SHORT)
+        put(layout.uri, f"long-{shard}", stored.astype("<u4"))
+        put(layout.uri, f"longstats-{shard}", stats[stored].astype("<u8"))
+        # every trigram is one left neighbour of its bigram
+        pairs, lefts = np.unique((distinct[at] & ~_LOW) | w, return_counts=True)
+        hot = layout.parts(pairs >> _HALF) > 0
+        put(layout.uri, f"keys-{shard}", pairs[~hot].astype("<u8"))
+        bwidth = _narrow(lefts[~hot])
+        put(layout.uri, f"ngrams-{shard}{bwidth[1:]}", lefts[~hot].astype(bwidth))
+        rows = [(-1, (width[1:] + bwidth[1:]).encode(), shard.to_bytes(8, "little"), np.array(_seen(counts) + _seen(lefts[~hot]), "<u8").tobytes())]
+        rows += _bigram_rows(pairs[~hot], lefts[~hot])
+        for kind, ids, sums in ((b"b", pairs[hot], lefts[hot][:, None]), (b"x", distinct[over], stats[over])):
+            to = layout.hot_shard(ids)
+            for s in np.unique(to):
+                rows.append((int(s), kind, ids[to == s].astype("<u8").tobytes(), sums[to == s].astype("<u4").tobytes()))
+        return _table(rows)
+
+    return run
+
+
+def _merge_hot(layout: Layout):
+    """The second step: writes bigrams behind frequent words and sums of spread contexts; gives rows like the first."""
+
+    def run(table: pa.Table) -> pa.Table:
+        shard, kinds = table.column("part")[0].as_py(), [x.as_py() for x in table.column("kind")]
+
+        def added(kind: bytes, wide: int):
+            own = [i for i, k in enumerate(kinds) if k == kind]
+            ids = np.concatenate([np.zeros(0, "<u8")] + [np.frombuffer(table.column("ids")[i].as_py(), "<u8") for i in own])
+            stats = np.concatenate([np.zeros((0, wide), "<u4")] + [np.frombuffer(table.column("stats")[i].as_py(), "<u4").reshape(-1, wide) for i in own])
+            return _sums(ids, *stats.T)
+
+        pairs, lefts = added(b"b", 1)
+        put(layout.uri, f"hotkeys-{shard}", pairs.astype("<u8"))
+        put(layout.uri, f"hotngrams-{shard}", lefts.astype("<u4"))
+        contexts, *sums = added(b"x", 4)
+        put(layout.uri, f"hotcontexts-{shard}", contexts.astype("<u8"))
+        put(layout.uri, f"hotstats-{shard}", np.stack(sums, 1).astype("<u8"))
+        return _table([(-1, b"", b"", np.array([0, 0, 0, 0] + _seen(lefts), "<u8").tobytes())] + _bigram_rows(pairs, lefts))
 
     return run
 
@@ -252,7 +383,7 @@ def _merge_stats(uri: str):
         got = {}
         for kind, wide in ((b"c", 4), (b"w", 1)):
             own = [i for i, k in enumerate(kinds) if k == kind]
-            ids = np.concatenate([np.zeros(0, "<u4")] + [np.frombuffer(table.column("ids")[i].as_py(), "<u4") for i in own])
+            ids = np.concatenate([np.zeros(0, "<u4")] + [unplanes(table.column("ids")[i].as_py()) for i in own])
             stats = np.concatenate([np.zeros((0, wide), "<u4")] + [np.frombuffer(table.column("stats")[i].as_py(), "<u4").reshape(-1, wide) for i in own])
             ids, *sums = _sums(ids, *stats.T)
             name = kind.decode()
@@ -275,11 +406,11 @@ def discounts(t) -> tuple[float, float, float]:
     return d if all(0 <= x <= k for x, k in zip(d, (1, 2, 3), strict=True)) else (0.5, 1.0, 1.5)
 
 
-def train(texts: DataFrame) -> tuple[Layout, dict[int, str]]:
-    """texts(text) -> the model's layout and the width of each shard's counts.
+def train(texts: DataFrame) -> tuple[Layout, dict[int, tuple[str, str]]]:
+    """texts(text) -> the model's layout and the widths of each shard's trigram and bigram counts.
 
-    The driver gets one row for each shard and each hot context, of which there are at most
-    as many as shards.
+    The driver gets one row for each shard and each frequent word, of which there are at most
+    twice as many as shards.
     """
     spark = texts.sparkSession
     small_batches(spark)
@@ -296,22 +427,27 @@ def train(texts: DataFrame) -> tuple[Layout, dict[int, str]]:
     if size.v >= 2**32 - 1:
         raise ValueError("more distinct words than 32-bit ids")
     layout.shards = max(1, -(-size.n // SHARD_TOKENS))
-    hot = counts.where(F.col("n") > SHARD_TOKENS // 2).where(F.col("h") != int(np.uint64(END).astype(np.int64))).collect()
-    if hot:
-        h = np.array([r.h for r in hot], np.int64).view(np.uint64)
-        order = np.argsort(h)
-        layout.hot_ids = Words(layout).find(h[order]).astype(np.uint64)
-        layout.hot_parts = np.array([2 + 2 * r.n // SHARD_TOKENS for r in hot], np.uint64)[order]
-    ends = counts.where(F.col("h") == int(np.uint64(END).astype(np.int64))).first()
+    # an end is never a context; the start mark is one as often as there are ends
+    end = F.col("h") == int(np.uint64(END).astype(np.int64))
+    hot = counts.where((F.col("n") > SHARD_TOKENS // 2) & ~end).collect()
+    h = np.array([r.h for r in hot], np.int64).view(np.uint64)
+    order = np.argsort(h)
+    ids, sizes = Words(layout).find(h[order]).astype(np.uint64), np.array([r.n for r in hot], np.int64)[order]
+    ends = counts.where(end).first()
     if ends and ends.n > SHARD_TOKENS // 2:
-        layout.hot_ids, layout.hot_parts = np.append(layout.hot_ids, START), np.append(layout.hot_parts, np.uint64(2 + 2 * ends.n // SHARD_TOKENS))
-    grams = texts.mapInArrow(_bigram_counts(layout), "shard int, u binary, runs binary, w binary, c binary")
-    merged = staged(grams.groupBy("shard").applyInArrow(_merge_bigrams(layout), "part int, kind binary, ids binary, stats binary"), "bigrams")
+        ids, sizes = np.append(ids, START), np.append(sizes, ends.n)
+    layout.hot_ids, layout.hot_parts = ids, np.minimum(2 + 2 * sizes // SHARD_TOKENS, layout.shards).astype(np.uint64)
+    layout.hot_shards = 1 + int(sizes.sum()) // SHARD_TOKENS
+    grams = texts.mapInArrow(_trigram_counts(layout), "shard int, v binary, vn binary, u binary, un binary, w binary, n binary")
+    merged = staged(grams.groupBy("shard").applyInArrow(_merge_trigrams(layout), _ROWS), "trigrams")
+    second = F.col("kind").isin(bytearray(b"b"), bytearray(b"x"))
+    if len(ids):
+        merged = merged.where(~second).union(staged(merged.where(second).groupBy("part").applyInArrow(_merge_hot(layout), _ROWS), "hot"))
     told = merged.where("part = -1").collect()
-    widths = {int.from_bytes(r.ids, "little"): r.kind.decode() for r in told}
+    widths = {int.from_bytes(r.ids, "little"): (r.kind[:2].decode(), r.kind[2:].decode()) for r in told if r.kind}
     t = np.sum([np.frombuffer(r.stats, "<u8") for r in told], axis=0)
     low = np.sum([np.frombuffer(r.t, "<u8") for r in merged.where("part >= 0").groupBy("part").applyInArrow(_merge_stats(uri), "t binary").collect()], axis=0)
-    layout.discounts = [discounts(low[:4]), discounts(t)]
+    layout.discounts = [discounts(low[:4]), discounts(t[4:]), discounts(t[:4])]
     layout.continuations = int(low[5])
     layout.gamma0 = float(np.dot(layout.discounts[0], [low[0], low[1], low[4]]) / low[5])
     return layout, widths
@@ -320,12 +456,12 @@ def train(texts: DataFrame) -> tuple[Layout, dict[int, str]]:
 class Scorer:
     """Probabilities by the mapped model."""
 
-    def __init__(self, layout: Layout, widths: dict[int, str]):
+    def __init__(self, layout: Layout, widths: dict[int, tuple[str, str]]):
         self.layout, self.widths, self.lex, self.maps = layout, widths, Words(layout), {}
 
     def _map(self, name: str, dtype):
         if name not in self.maps:
-            self.maps[name] = view(self.layout.uri, name, dtype)
+            self.maps[name] = np.asarray(view(self.layout.uri, name, dtype))
         return self.maps[name]
 
     def counts(self, ids: np.ndarray) -> np.ndarray:
@@ -353,20 +489,95 @@ class Scorer:
                 out[mine[hit]] = stats[k[hit]]
         return out
 
-    def _bigrams(self, keys: np.ndarray) -> np.ndarray:
-        """Counts of sorted keys."""
-        out = np.zeros(len(keys), np.int64)
-        shard = self.layout.shard(keys)
+    def _shards(self, shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """Each shard that has files, with the places of its rows."""
         order = np.argsort(shard, kind="stable")
-        cuts = np.searchsorted(shard[order], np.arange(self.layout.shards + 1))
-        for s in np.flatnonzero(np.diff(cuts)):
-            if s not in self.widths:
+        first, long = _runs(shard[order])
+        for a, n in zip(first, long, strict=True):
+            if (s := int(shard[order[a]])) in self.widths:
+                yield s, order[a : a + n]
+
+    def _at(self, name: str, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where sorted keys are in a file's sorted ones, and which are."""
+        at = self._map(name, "<u8")
+        if not len(at):
+            return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+        k = np.minimum(np.searchsorted(at, keys), len(at) - 1)
+        return k, at[k] == keys
+
+    def _hot(self, keys: np.ndarray, name: str, values: str, dtype: str, wide: int) -> np.ndarray:
+        """Rows of the second step of sorted keys."""
+        out = np.zeros((len(keys), wide), np.int64)
+        shard = self.layout.hot_shard(keys)
+        for s in np.unique(shard):
+            try:
+                mine = np.flatnonzero(shard == s)
+                k, hit = self._at(f"{name}-{s}", keys[mine])
+            except FileNotFoundError:
                 continue
-            mine, at = order[cuts[s] : cuts[s + 1]], self._map(f"keys-{s}", "<u8")
-            k = np.minimum(np.searchsorted(at, keys[mine]), len(at) - 1)
-            out[mine] = np.where(at[k] == keys[mine], self._map(f"ngrams-{s}{self.widths[s]}", f"<{self.widths[s]}")[k], 0)
+            out[mine[hit]] = self._map(f"{values}-{s}", dtype).reshape(-1, wide)[k[hit]]
+        return out
+
+    def _bigrams(self, keys: np.ndarray) -> np.ndarray:
+        """Left neighbours of sorted keys of two words."""
+        out = np.zeros(len(keys), np.int64)
+        hot = self.layout.parts(keys >> _HALF) > 0
+        if hot.any():
+            out[hot] = self._hot(keys[hot], "hotkeys", "hotngrams", "<u4", 1)[:, 0]
+        cold = np.flatnonzero(~hot)
+        for s, at in self._shards(self.layout.shard(keys[cold])[0]):
+            mine, t = cold[at], self.widths[s][1]
+            k, hit = self._at(f"keys-{s}", keys[mine])
+            out[mine[hit]] = self._map(f"ngrams-{s}{t}", f"<{t}")[k[hit]]
         return out
 
+    def _trigrams(self, contexts: np.ndarray, at: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sums (all, seen once, twice, oftener) of sorted distinct contexts, and counts of the trigrams contexts[at], w."""
+        first, over = self.layout.shard(contexts)
+        stats, lo, hi = np.zeros((len(contexts), 4), np.int64), np.zeros(len(contexts), np.int64), np.zeros(len(contexts), np.int64)
+        wide = over > 0
+        if wide.any():
+            stats[wide] = self._hot(contexts[wide], "hotcontexts", "hotstats", "<u8", 4)
+        cold = np.flatnonzero(~wide)
+        for s, mine in self._shards(first[cold]):
+            mine = cold[mine]
+            k, hit = self._at(f"contexts-{s}", contexts[mine])
+            k, mine = k[hit], mine[hit]
+            starts = self._map(f"starts-{s}", "<u4")
+            lo[mine], hi[mine] = starts[k], starts[k + 1]
+            n = hi[mine] - lo[mine]
+            few, t = n < SHORT, self.widths[s][0]
+            counts = self._map(f"trigrams-{s}{t}", f"<{t}")
+            if not few.all():
+                stats[mine[~few]] = self._map(f"longstats-{s}", "<u8").reshape(-1, 4)[np.searchsorted(self._map(f"long-{s}", "<u4"), k[~few].astype(np.uint32))]
+            mine, n = mine[few], n[few]
+            for j in range(SHORT - 1):
+                own = mine[n > j]
+                c = counts[lo[own] + j].astype(np.int64)
+                stats[own, 0] += c
+                stats[own, np.minimum(c, 3)] += 1
+        out = np.zeros(len(w), np.int64)
+        lo, hi, spread = lo[at], hi[at], wide[at]
+        shard = self.layout.spread(first[at], over[at], w)
+        for s, mine in self._shards(shard):
+            if (some := mine[spread[mine]]).size:
+                k, hit = self._at(f"contexts-{s}", contexts[at[some]])
+                starts = self._map(f"starts-{s}", "<u4")
+                lo[some], hi[some] = np.where(hit, starts[k], 0), np.where(hit, starts[np.minimum(k + 1, len(starts) - 1)], 0)
+            mine = mine[hi[mine] > lo[mine]]
+            if not len(mine):
+                continue
+            followers, t = self._map(f"followers-{s}", "<u4"), self.widths[s][0]
+            a, b, want = lo[mine], hi[mine], w[mine]
+            open_ = np.flatnonzero(b - a > 1)
+            while len(open_):
+                mid = (a[open_] + b[open_]) >> 1
+                less = followers[mid] <= want[open_]
+                a[open_[less]], b[open_[~less]] = mid[less], mid[~less]
+                open_ = open_[b[open_] - a[open_] > 1]
+            out[mine] = np.where(followers[a] == want, self._map(f"trigrams-{s}{t}", f"<{t}")[a], 0)
+        return stats, out
+
     @staticmethod
     def _off(counts: np.ndarray, d: tuple[float, float, float]) -> np.ndarray:
         """Counts less their discounts."""
@@ -381,6 +592,23 @@ class Scorer:
             base[known] += self._off(self._stats("w", 1, ids[known].astype(np.uint64))[:, 0], lay.discounts[0]) / lay.continuations
         return self.counts(ids), base
 
+    def _pairs(self, contexts: np.ndarray, at: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return self._stats("c", 4, contexts), self._bigrams((contexts[at] << _HALF) | w)
+
+    @classmethod
+    def _interpolate(cls, p: np.ndarray, contexts: np.ndarray, w: np.ndarray, real: np.ndarray, d, look_up) -> np.ndarray:
+        """The next order's probabilities from those of the order below; where a context is unknown or never seen, they stay."""
+        use = np.flatnonzero(real)
+        distinct, at = np.unique(contexts[use], return_inverse=True)
+        known = np.flatnonzero(w[use] >= 0)
+        keys, back = np.unique((at[known].astype(np.uint64) << _HALF) | w[use[known]].astype(np.uint64), return_inverse=True)
+        stats, seen = look_up(distinct, (keys >> _HALF).astype(np.int64), keys & _LOW)
+        total = np.maximum(stats[:, 0], 1)
+        p = p.copy()
+        p[use] *= np.where(stats[:, 0] > 0, stats[:, 1:] @ np.array(d) / total, 1.0)[at]
+        p[use[known]] += cls._off(seen, d)[back] / total[at[known]]
+        return p
+
     def score(self, texts: list[list[bytes]]) -> list[tuple[int, int, float, float]]:
         """(tokens, known tokens, base score, log10 probability) of each text with its end."""
         lay = self.layout
@@ -388,29 +616,18 @@ class Scorer:
         ids = [np.append(x, end) for x in (self.lex.ids(texts) if lay.tokens else [np.full(len(t), -1) for t in texts])]
         cuts = np.cumsum([0] + [len(x) for x in ids])[:-1]
         w = np.concatenate(ids)
-        u = np.concatenate([[0], w[:-1]])
-        first = np.zeros(len(w), bool)
-        first[cuts] = True
+        start = np.int64(START)
+        v = np.append(start, w[:-1])
+        v[cuts] = start
+        u = np.append(start, v[:-1])
+        u[cuts] = start
         distinct, at = np.unique(w, return_inverse=True)
         counts, low = self.words_log10(distinct)
         base = np.log10((counts + ADD) / (lay.tokens + ADD * (lay.vocabulary + 1)))
-        context = np.where(first, START, u.astype(np.uint64))
-        real = first | (u >= 0)
         p = low[at]
         if lay.tokens:
-            keys = (context << np.uint64(32)) | np.where(w >= 0, w, 0).astype(np.uint64)
-            use = np.flatnonzero(real)
-            contexts, cat = np.unique(context[use], return_inverse=True)
-            stats = self._stats("c", 4, contexts)
-            total = stats[:, 0]
-            gamma = np.where(total > 0, stats[:, 1:] @ np.array(lay.discounts[1]) / np.maximum(total, 1), 1.0)
-            p[use] = gamma[cat] * p[use]
-            both = np.flatnonzero(real & (w >= 0))
-            pairs, pat = np.unique(keys[both], return_inverse=True)
-            seen = self._off(self._bigrams(pairs), lay.discounts[1])[pat]
-            place = np.zeros(len(w), np.int64)
-            place[use] = cat
-            p[both] += seen / np.maximum(total[place[both]], 1)
+            p = self._interpolate(p, v.astype(np.uint64), w, v >= 0, lay.discounts[1], self._pairs)
+            p = self._interpolate(p, (v.astype(np.uint64) << _HALF) | (u.astype(np.uint64) & _LOW), w, (v >= 0) & (u >= 0), lay.discounts[2], self._trigrams)
         add = lambda x: np.add.reduceat(x, cuts)
         return list(zip([len(x) for x in ids], add((counts > 0)[at].astype(np.int64)).tolist(), add(base[at]).tolist(), add(np.log10(p)).tolist(), strict=True))
 
@@ -419,7 +636,7 @@ def perplexity(score: float, tokens: int) -> float:
     return 10 ** (-score / tokens)
 
 
-def _score(layout: Layout, widths: dict[int, str]):
+def _score(layout: Layout, widths: dict[int, tuple[str, str]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer, held, size = Scorer(layout, widths), [], 0
 
@@ -442,7 +659,7 @@ def _score(layout: Layout, widths: dict[int, str]):
     return run
 
 
-def score_texts(docs: DataFrame, layout: Layout, widths: dict[int, str]) -> DataFrame:
+def score_texts(docs: DataFrame, layout: Layout, widths: dict[int, tuple[str, str]]) -> DataFrame:
     """docs(doc_id, text) -> doc_id, n_tokens, n_known, train_tokens, base_score, score; a row for each row.
 
     A null or empty text is its end alone. With nothing trained every token is unknown and

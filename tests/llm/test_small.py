@@ -411,29 +411,43 @@ def test_presence_does_not_depend_on_parts(monkeypatch):
     assert (language_id.presence(t) == whole).all()
 
 
-def test_language_model_equals_brute_force(spark, docs, empty):
-    d = docs.where("doc_id is not null").cache()
-    got = [tuple(r) for r in lm.score_texts(d, *lm.train(d.where("doc_id <> 9"))).collect()]
+@pytest.mark.parametrize("shard_tokens", [1_500_000, 60, 12])
+def test_language_model_equals_brute_force(spark, docs, empty, monkeypatch, shard_tokens):
+    """Also with words, a pair and the start mark so frequent that they are spread over shards."""
+    monkeypatch.setattr(lm, "SHARD_TOKENS", shard_tokens)
+    common = [(100 + i, f"of the w{i} of the x{i % 7} the of the w{i} " + "of the y " * (i % 4), "en", "s", 9) for i in range(40)]
+    d = docs.where("doc_id is not null").select("doc_id", "text").union(spark.createDataFrame(common).toDF("doc_id", "text", "a", "b", "c").select("doc_id", "text")).cache()
+    got = [tuple(r) for r in lm.score_texts(d, *lm.train(d.where("doc_id not in (9, 103)"))).collect()]
     tok = lambda t: (t or "").encode().lower().split() + [b" end"]
     rows = [(r.doc_id, r.text) for r in d.collect()]
-    train = [tok(t) for i, t in rows if i != 9]
+    train = [tok(t) for i, t in rows if i not in (9, 103)]
     c = Counter(w for t in train for w in t)
-    pairs = Counter(p for t in train for p in zip([None, *t[:-1]], t, strict=True))
+    grams = lambda t: list(zip([None, None, *t[:-2]] if len(t) > 1 else [None], [None, *t[:-1]], t, strict=True))
+    triples = Counter(g for t in train for g in grams(t))
+    pairs = Counter((v, w) for _, v, w in triples)
     low = Counter(w for _, w in pairs)
     n, v, total = sum(c.values()), len(c), sum(low.values())
     counts = lambda x: [sum(y == k for y in x.values()) for k in (1, 2, 3, 4)]
-    d1, d2 = [0, *lm.discounts(counts(low))], [0, *lm.discounts(counts(pairs))]
+    d1, d2, d3 = ([0, *lm.discounts(counts(x))] for x in (low, pairs, triples))
     g0 = sum(d1[min(x, 3)] for x in low.values()) / total
-    context, gamma = Counter(), Counter()
-    for (u, _), k in pairs.items():
-        context[u] += k
-        gamma[u] += d2[min(k, 3)]
+
+    def sums(of, off):
+        context, gamma = Counter(), Counter()
+        for (*u, _), k in of.items():
+            context[tuple(u)] += k
+            gamma[tuple(u)] += off[min(k, 3)]
+        return context, gamma
+
+    (c2, b2), (c3, b3) = sums(pairs, d2), sums(triples, d3)
     p1 = lambda w: (low[w] - d1[min(low[w], 3)]) / total + g0 / (v + 1)
-    p2 = lambda u, w: p1(w) if not context[u] else (pairs[u, w] - d2[min(pairs[u, w], 3)] + gamma[u] * p1(w)) / context[u]
+    p2 = lambda v, w: p1(w) if not c2[v,] else (pairs[v, w] - d2[min(pairs[v, w], 3)] + b2[v,] * p1(w)) / c2[v,]
+    p3 = lambda u, v, w: p2(v, w) if not c3[u, v] else (triples[u, v, w] - d3[min(triples[u, v, w], 3)] + b3[u, v] * p2(v, w)) / c3[u, v]
+    known = [*c, b"never seen"]
+    assert sum(p3(b"of", b"the", w) for w in known) == pytest.approx(1)
     want = []
     for i, t in rows:
         x = tok(t)
-        want.append((i, len(x), sum(c[w] > 0 for w in x), n, sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in x), sum(math.log10(p2(u, w)) for u, w in zip([None, *x[:-1]], x, strict=True))))
+        want.append((i, len(x), sum(c[w] > 0 for w in x), n, sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in x), sum(math.log10(p3(*g)) for g in grams(x))))
     key = lambda r: (r[0], r[1])
     for g, w in zip(sorted(got, key=key), sorted(want, key=key), strict=True):
         assert g[:4] == w[:4] and g[4:] == pytest.approx(w[4:], rel=1e-9)
