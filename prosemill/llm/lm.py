@@ -7,9 +7,11 @@ its left neighbour, and by the right one too where the left one is as frequent;
 is then partial (a bigram's left neighbours, such a context's sums) is added up in a second, small step.
 
 The model is a folder of sorted arrays in the folder that all executors share: words as
-64-bit hashes (a word's id is its place), statistics by id, bigrams as sorted keys of two ids
-with their continuation counts, and trigrams as sorted contexts of two ids with, for each, its sorted
-followers and their counts. Scoring workers map the files into memory and look up batches of
+64-bit hashes (a word's id is its place), statistics by id, bigrams as sorted keys
+with their continuation counts, and trigrams as sorted keys of their contexts with, for each, its sorted
+followers and their counts. A key is the rank of the middle word in its shard and the other word's
+id in as few bits as all need, kept as its high 32 bits and the rest. Counts take one byte,
+those above lie in a list. Scoring workers map the files into memory and look up batches of
 distinct keys.
 
 Each text starts behind two start marks, which are contexts only.
@@ -17,6 +19,7 @@ Each text starts behind two start marks, which are contexts only.
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 from collections import Counter
@@ -26,6 +29,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,6 +53,8 @@ SHORT = 8
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 _HALF, _LOW = np.uint64(32), np.uint64(0xFFFFFFFF)
 WIDTHS = ("<u1", "<u2", "<u4", "<u8")
+#: A count of a byte that stands for a listed one; contexts to a block, whose starts are kept from the block's.
+LISTED, BLOCK = 255, 32
 
 
 def is_held_out(doc_id: str = "doc_id"):
@@ -105,6 +111,8 @@ class Layout:
     hot_parts: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
     discounts: list = field(default_factory=lambda: [(0.5, 1.0, 1.5)] * 3)
     continuations: int = 0
+    #: Types of the statistics by column, for each shard of them.
+    stats: dict[int, dict[str, str]] = field(default_factory=dict)
     #: Mass of the lowest order that goes to the uniform distribution.
     gamma0: float = 1.0
 
@@ -137,6 +145,14 @@ class Layout:
         more = ((w.astype(np.uint64) * _SPREAD) >> np.uint64(33)) % np.maximum(over, np.uint64(1))
         return (first + more.astype(np.int64)) % self.shards
 
+    def keys(self, ranks: np.ndarray, ids: np.ndarray, middles: int) -> tuple[np.ndarray, np.ndarray, str]:
+        """Keys of middle words' ranks in a shard and ids: the high 32 bits, the rest, and the type of that."""
+        bits = self.vocabulary.bit_length()
+        low = max(0, bits + int(middles).bit_length() - 32)
+        keys = (ranks.astype(np.uint64) << np.uint64(bits)) | np.minimum(ids.astype(np.uint64), np.uint64(self.vocabulary))
+        kind = next(t for t in WIDTHS if low <= 8 * np.dtype(t).itemsize)
+        return (keys >> np.uint64(low)).astype("<u4"), (keys & np.uint64((1 << low) - 1)).astype(kind), kind
+
     def hot_shard(self, keys: np.ndarray) -> np.ndarray:
         return (((keys ^ (keys >> np.uint64(29))) * _SPREAD >> np.uint64(33)) % np.uint64(self.hot_shards)).astype(np.int64)
 
@@ -210,12 +226,26 @@ def _write_words(uri: str):
 
 
 def planes(a: np.ndarray) -> bytes:
-    """32-bit numbers, byte by byte of all: the high bytes of small ones compress to nothing."""
-    return np.ascontiguousarray(a.astype("<u4").view("u1").reshape(-1, 4).T).tobytes()
+    """32-bit numbers, byte by byte of all, compressed: the high bytes of small ones take nothing."""
+    return zstandard.compress(np.ascontiguousarray(a.astype("<u4").view("u1").reshape(-1, 4).T).tobytes(), 1)
 
 
 def unplanes(b: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(b, "u1").reshape(4, -1).T).view("<u4").ravel()
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(b), "u1").reshape(4, -1).T).view("<u4").ravel()
+
+
+def put_counts(uri: str, name: str, shard: int, counts: np.ndarray) -> None:
+    """One byte for each count; those that don't fit are listed by place."""
+    many = np.flatnonzero(counts >= LISTED)
+    put(uri, f"{name}-{shard}", np.minimum(counts, LISTED).astype("u1"))
+    put(uri, f"{name}-many-{shard}", many.astype("<u4"))
+    put(uri, f"{name}-counts-{shard}", counts[many].astype("<u8"))
+
+
+def put_keys(layout: Layout, name: str, shard: int, ranks: np.ndarray, ids: np.ndarray, middles: int) -> None:
+    high, low, _ = layout.keys(ranks, ids, middles)
+    put(layout.uri, f"{name}-{shard}", high)
+    put(layout.uri, f"{name}-low-{shard}", low)
 
 
 def _runs(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -286,6 +316,7 @@ def _classes(counts: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def _narrow(counts: np.ndarray) -> str:
+    """The least type that holds all."""
     return next(t for t in WIDTHS if not len(counts) or counts.max() <= np.iinfo(t).max)
 
 
@@ -326,21 +357,25 @@ def _merge_trigrams(layout: Layout):
         starts, long = _runs(at)
         stats = np.stack([np.add.reduceat(x.astype(np.int64), starts) for x in _classes(counts)], 1)
         over = layout.shard(distinct)[1] > 0
-        width = _narrow(counts)
-        put(layout.uri, f"contexts-{shard}", distinct.astype("<u8"))
-        put(layout.uri, f"starts-{shard}", np.append(starts, len(w)).astype("<u4"))
+        middles, rank = np.unique(distinct >> _HALF, return_inverse=True)
+        put(layout.uri, f"middles-{shard}", middles.astype("<u4"))
+        put_keys(layout, "contexts", shard, rank, distinct & _LOW, len(middles))
+        starts = np.append(starts, len(w))
+        inside = starts - np.repeat(starts[::BLOCK], BLOCK)[: len(starts)]
+        width = _narrow(inside)
+        put(layout.uri, f"blocks-{shard}", starts[::BLOCK].astype("<u4"))
+        put(layout.uri, f"starts-{shard}", inside.astype(width))
         put(layout.uri, f"followers-{shard}", w.astype("<u4"))
-        put(layout.uri, f"trigrams-{shard}{width[1:]}", counts.astype(width))
+        put_counts(layout.uri, "trigrams", shard, counts)
         stored = np.flatnonzero(long >= SHORT)
         put(layout.uri, f"long-{shard}", stored.astype("<u4"))
         put(layout.uri, f"longstats-{shard}", stats[stored].astype("<u8"))
         # every trigram is one left neighbour of its bigram
         pairs, lefts = np.unique((distinct[at] & ~_LOW) | w, return_counts=True)
         hot = layout.parts(pairs >> _HALF) > 0
-        put(layout.uri, f"keys-{shard}", pairs[~hot].astype("<u8"))
-        bwidth = _narrow(lefts[~hot])
-        put(layout.uri, f"ngrams-{shard}{bwidth[1:]}", lefts[~hot].astype(bwidth))
-        rows = [(-1, (width[1:] + bwidth[1:]).encode(), shard.to_bytes(8, "little"), np.array(_seen(counts) + _seen(lefts[~hot]), "<u8").tobytes())]
+        put_keys(layout, "keys", shard, np.searchsorted(middles, pairs[~hot] >> _HALF), pairs[~hot] & _LOW, len(middles))
+        put_counts(layout.uri, "ngrams", shard, lefts[~hot])
+        rows = [(-1, width.encode(), shard.to_bytes(8, "little"), np.array(_seen(counts) + _seen(lefts[~hot]), "<u8").tobytes())]
         rows += _bigram_rows(pairs[~hot], lefts[~hot])
         for kind, ids, sums in ((b"b", pairs[hot], lefts[hot][:, None]), (b"x", distinct[over], stats[over])):
             to = layout.hot_shard(ids)
@@ -374,13 +409,17 @@ def _merge_hot(layout: Layout):
     return run
 
 
+#: The columns of statistics by id: sums of a context (all, seen once, twice, oftener), and a word's left neighbours.
+STATS = ("c0", "c1", "c2", "c3", "w0")
+
+
 def _merge_stats(uri: str):
     """Writes a stat shard's sorted ids with their sums; gives the counts of counts of the lowest order."""
 
     def run(table: pa.Table) -> pa.Table:
         part = table.column("part")[0].as_py()
         kinds = [x.as_py() for x in table.column("kind")]
-        got = {}
+        got, types = {}, {}
         for kind, wide in ((b"c", 4), (b"w", 1)):
             own = [i for i, k in enumerate(kinds) if k == kind]
             ids = np.concatenate([np.zeros(0, "<u4")] + [unplanes(table.column("ids")[i].as_py()) for i in own])
@@ -388,10 +427,13 @@ def _merge_stats(uri: str):
             ids, *sums = _sums(ids, *stats.T)
             name = kind.decode()
             put(uri, f"{name}ids-{part}", ids.astype("<u4"))
-            put(uri, f"{name}stats-{part}", np.stack(sums, 1).astype("<u8") if len(ids) else np.zeros(0, "<u8"))
+            # stats by column, each in the least type
+            for k, x in enumerate(sums):
+                t = types[name + str(k)] = _narrow(x)
+                put(uri, f"{name}stats{k}-{part}", x.astype(t))
             got[kind] = sums
         n = got[b"w"][0]
-        return pa.table({"t": pa.array([np.array([*[(n == k).sum() for k in (1, 2, 3, 4)], (n > 2).sum(), n.sum()], "<u8").tobytes()], pa.binary())})
+        return pa.table({"t": pa.array([np.array([*[(n == k).sum() for k in (1, 2, 3, 4)], (n > 2).sum(), n.sum()], "<u8").tobytes()], pa.binary()), "part": pa.array([part], pa.int32()), "types": pa.array([" ".join(types[k] for k in STATS)])})
 
     return run
 
@@ -406,8 +448,8 @@ def discounts(t) -> tuple[float, float, float]:
     return d if all(0 <= x <= k for x, k in zip(d, (1, 2, 3), strict=True)) else (0.5, 1.0, 1.5)
 
 
-def train(texts: DataFrame) -> tuple[Layout, dict[int, tuple[str, str]]]:
-    """texts(text) -> the model's layout and the widths of each shard's trigram and bigram counts.
+def train(texts: DataFrame) -> tuple[Layout, dict[int, str]]:
+    """texts(text) -> the model's layout and the type of each shard's starts.
 
     The driver gets one row for each shard and each frequent word, of which there are at most
     twice as many as shards.
@@ -438,15 +480,21 @@ def train(texts: DataFrame) -> tuple[Layout, dict[int, tuple[str, str]]]:
         ids, sizes = np.append(ids, START), np.append(sizes, ends.n)
     layout.hot_ids, layout.hot_parts = ids, np.minimum(2 + 2 * sizes // SHARD_TOKENS, layout.shards).astype(np.uint64)
     layout.hot_shards = 1 + int(sizes.sum()) // SHARD_TOKENS
+    # the words are written: let Spark's cleaner take their shuffles, which no plan uses any more
+    del counts, shard
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     grams = texts.mapInArrow(_trigram_counts(layout), "shard int, v binary, vn binary, u binary, un binary, w binary, n binary")
     merged = staged(grams.groupBy("shard").applyInArrow(_merge_trigrams(layout), _ROWS), "trigrams")
     second = F.col("kind").isin(bytearray(b"b"), bytearray(b"x"))
     if len(ids):
         merged = merged.where(~second).union(staged(merged.where(second).groupBy("part").applyInArrow(_merge_hot(layout), _ROWS), "hot"))
     told = merged.where("part = -1").collect()
-    widths = {int.from_bytes(r.ids, "little"): (r.kind[:2].decode(), r.kind[2:].decode()) for r in told if r.kind}
+    widths = {int.from_bytes(r.ids, "little"): r.kind.decode() for r in told if r.kind}
     t = np.sum([np.frombuffer(r.stats, "<u8") for r in told], axis=0)
-    low = np.sum([np.frombuffer(r.t, "<u8") for r in merged.where("part >= 0").groupBy("part").applyInArrow(_merge_stats(uri), "t binary").collect()], axis=0)
+    stats = merged.where("part >= 0").groupBy("part").applyInArrow(_merge_stats(uri), "t binary, part int, types string").collect()
+    low = np.sum([np.frombuffer(r.t, "<u8") for r in stats], axis=0)
+    layout.stats = {r.part: dict(zip(STATS, r.types.split(), strict=True)) for r in stats}
     layout.discounts = [discounts(low[:4]), discounts(t[4:]), discounts(t[:4])]
     layout.continuations = int(low[5])
     layout.gamma0 = float(np.dot(layout.discounts[0], [low[0], low[1], low[4]]) / low[5])
@@ -456,7 +504,7 @@ def train(texts: DataFrame) -> tuple[Layout, dict[int, tuple[str, str]]]:
 class Scorer:
     """Probabilities by the mapped model."""
 
-    def __init__(self, layout: Layout, widths: dict[int, tuple[str, str]]):
+    def __init__(self, layout: Layout, widths: dict[int, str]):
         self.layout, self.widths, self.lex, self.maps = layout, widths, Words(layout), {}
 
     def _map(self, name: str, dtype):
@@ -478,15 +526,13 @@ class Scorer:
         out = np.zeros((len(ids), wide), np.int64)
         part = (ids // np.uint64(STAT_IDS)).astype(np.int64)
         for s in np.unique(part):
-            try:
-                at, stats = self._map(f"{kind}ids-{s}", "<u4"), self._map(f"{kind}stats-{s}", "<u8").reshape(-1, wide)
-            except FileNotFoundError:
+            if s not in self.layout.stats or not len(at := self._map(f"{kind}ids-{s}", "<u4")):
                 continue
             mine = np.flatnonzero(part == s)
-            if len(at):
-                k = np.minimum(np.searchsorted(at, ids[mine].astype(np.uint32)), len(at) - 1)
-                hit = at[k] == ids[mine]
-                out[mine[hit]] = stats[k[hit]]
+            k = np.minimum(np.searchsorted(at, ids[mine].astype(np.uint32)), len(at) - 1)
+            hit = at[k] == ids[mine]
+            for j in range(wide):
+                out[mine[hit], j] = self._map(f"{kind}stats{j}-{s}", self.layout.stats[s][f"{kind}{j}"])[k[hit]]
         return out
 
     def _shards(self, shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -497,13 +543,36 @@ class Scorer:
             if (s := int(shard[order[a]])) in self.widths:
                 yield s, order[a : a + n]
 
-    def _at(self, name: str, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where sorted keys are in a file's sorted ones, and which are."""
-        at = self._map(name, "<u8")
-        if not len(at):
+    def _at(self, name: str, s: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where sorted keys (middle word, other word) are in a shard's file, and which are."""
+        middles, high = self._map(f"middles-{s}", "<u4"), self._map(f"{name}-{s}", "<u4")
+        if not len(high):
             return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
-        k = np.minimum(np.searchsorted(at, keys), len(at) - 1)
-        return k, at[k] == keys
+        v = (keys >> _HALF).astype(np.uint32)
+        rank = np.minimum(np.searchsorted(middles, v), len(middles) - 1)
+        known = middles[rank] == v
+        mine, rest, kind = self.layout.keys(rank, keys & _LOW, len(middles))
+        low = self._map(f"{name}-low-{s}", kind)
+        k = np.searchsorted(high, mine)
+        last = len(high) - 1
+        left = np.flatnonzero(known)
+        while len(left):
+            # past the smaller rests behind an equal high part
+            here = np.minimum(k[left], last)
+            left = left[(k[left] <= last) & (high[here] == mine[left]) & (low[here] < rest[left])]
+            k[left] += 1
+        k = np.minimum(k, last)
+        return k, known & (high[k] == mine) & (low[k] == rest)
+
+    def _starts(self, s: int, k: np.ndarray) -> np.ndarray:
+        return self._map(f"blocks-{s}", "<u4")[k // BLOCK].astype(np.int64) + self._map(f"starts-{s}", self.widths[s])[k]
+
+    def _byte_counts(self, name: str, s: int, k: np.ndarray) -> np.ndarray:
+        out = self._map(f"{name}-{s}", "u1")[k].astype(np.int64)
+        many = np.flatnonzero(out == LISTED)
+        if len(many):
+            out[many] = self._map(f"{name}-counts-{s}", "<u8")[np.searchsorted(self._map(f"{name}-many-{s}", "<u4"), k[many].astype(np.uint32))]
+        return out
 
     def _hot(self, keys: np.ndarray, name: str, values: str, dtype: str, wide: int) -> np.ndarray:
         """Rows of the second step of sorted keys."""
@@ -512,9 +581,13 @@ class Scorer:
         for s in np.unique(shard):
             try:
                 mine = np.flatnonzero(shard == s)
-                k, hit = self._at(f"{name}-{s}", keys[mine])
+                at = self._map(f"{name}-{s}", "<u8")
             except FileNotFoundError:
                 continue
+            if not len(at):
+                continue
+            k = np.minimum(np.searchsorted(at, keys[mine]), len(at) - 1)
+            hit = at[k] == keys[mine]
             out[mine[hit]] = self._map(f"{values}-{s}", dtype).reshape(-1, wide)[k[hit]]
         return out
 
@@ -526,9 +599,9 @@ class Scorer:
             out[hot] = self._hot(keys[hot], "hotkeys", "hotngrams", "<u4", 1)[:, 0]
         cold = np.flatnonzero(~hot)
         for s, at in self._shards(self.layout.shard(keys[cold])[0]):
-            mine, t = cold[at], self.widths[s][1]
-            k, hit = self._at(f"keys-{s}", keys[mine])
-            out[mine[hit]] = self._map(f"ngrams-{s}{t}", f"<{t}")[k[hit]]
+            mine = cold[at]
+            k, hit = self._at("keys", s, keys[mine])
+            out[mine[hit]] = self._byte_counts("ngrams", s, k[hit])
         return out
 
     def _trigrams(self, contexts: np.ndarray, at: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -541,19 +614,17 @@ class Scorer:
         cold = np.flatnonzero(~wide)
         for s, mine in self._shards(first[cold]):
             mine = cold[mine]
-            k, hit = self._at(f"contexts-{s}", contexts[mine])
+            k, hit = self._at("contexts", s, contexts[mine])
             k, mine = k[hit], mine[hit]
-            starts = self._map(f"starts-{s}", "<u4")
-            lo[mine], hi[mine] = starts[k], starts[k + 1]
+            lo[mine], hi[mine] = self._starts(s, k), self._starts(s, k + 1)
             n = hi[mine] - lo[mine]
-            few, t = n < SHORT, self.widths[s][0]
-            counts = self._map(f"trigrams-{s}{t}", f"<{t}")
+            few = n < SHORT
             if not few.all():
                 stats[mine[~few]] = self._map(f"longstats-{s}", "<u8").reshape(-1, 4)[np.searchsorted(self._map(f"long-{s}", "<u4"), k[~few].astype(np.uint32))]
             mine, n = mine[few], n[few]
             for j in range(SHORT - 1):
                 own = mine[n > j]
-                c = counts[lo[own] + j].astype(np.int64)
+                c = self._byte_counts("trigrams", s, lo[own] + j)
                 stats[own, 0] += c
                 stats[own, np.minimum(c, 3)] += 1
         out = np.zeros(len(w), np.int64)
@@ -561,13 +632,12 @@ class Scorer:
         shard = self.layout.spread(first[at], over[at], w)
         for s, mine in self._shards(shard):
             if (some := mine[spread[mine]]).size:
-                k, hit = self._at(f"contexts-{s}", contexts[at[some]])
-                starts = self._map(f"starts-{s}", "<u4")
-                lo[some], hi[some] = np.where(hit, starts[k], 0), np.where(hit, starts[np.minimum(k + 1, len(starts) - 1)], 0)
+                k, hit = self._at("contexts", s, contexts[at[some]])
+                lo[some], hi[some] = np.where(hit, self._starts(s, k), 0), np.where(hit, self._starts(s, k + hit), 0)
             mine = mine[hi[mine] > lo[mine]]
             if not len(mine):
                 continue
-            followers, t = self._map(f"followers-{s}", "<u4"), self.widths[s][0]
+            followers = self._map(f"followers-{s}", "<u4")
             a, b, want = lo[mine], hi[mine], w[mine]
             open_ = np.flatnonzero(b - a > 1)
             while len(open_):
@@ -575,7 +645,8 @@ class Scorer:
                 less = followers[mid] <= want[open_]
                 a[open_[less]], b[open_[~less]] = mid[less], mid[~less]
                 open_ = open_[b[open_] - a[open_] > 1]
-            out[mine] = np.where(followers[a] == want, self._map(f"trigrams-{s}{t}", f"<{t}")[a], 0)
+            hit = followers[a] == want
+            out[mine[hit]] = self._byte_counts("trigrams", s, a[hit])
         return stats, out
 
     @staticmethod
@@ -636,7 +707,7 @@ def perplexity(score: float, tokens: int) -> float:
     return 10 ** (-score / tokens)
 
 
-def _score(layout: Layout, widths: dict[int, tuple[str, str]]):
+def _score(layout: Layout, widths: dict[int, str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer, held, size = Scorer(layout, widths), [], 0
 
@@ -659,7 +730,7 @@ def _score(layout: Layout, widths: dict[int, tuple[str, str]]):
     return run
 
 
-def score_texts(docs: DataFrame, layout: Layout, widths: dict[int, tuple[str, str]]) -> DataFrame:
+def score_texts(docs: DataFrame, layout: Layout, widths: dict[int, str]) -> DataFrame:
     """docs(doc_id, text) -> doc_id, n_tokens, n_known, train_tokens, base_score, score; a row for each row.
 
     A null or empty text is its end alone. With nothing trained every token is unknown and

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from prosemill.llm import ann, html_text, language_id, mixing, packing, quality_rules, secrets
+from prosemill.llm import ann, html_text, language_id, lm, mixing, packing, quality_rules, secrets
 
 from .test_small import EN, FR, make, prose, words
 
@@ -221,3 +221,31 @@ def test_each_length_of_vector_is_an_index(spark):
 
 def test_words_helper():
     assert words(None) == [] and words("a\tb") == ["a", "b"]
+
+
+def test_keys_longer_than_32_bits(monkeypatch):
+    """Keys with bits of their own beside the high ones, dense enough that many share these; and counts above a byte."""
+    files = {}
+    monkeypatch.setattr(lm, "put", lambda uri, name, array: files.__setitem__(name, array))
+    layout = lm.Layout("memory", starts=np.array([0, 5_000_000]))
+    rng = np.random.default_rng(1)
+    middles = np.unique(rng.integers(0, 5_000_000, 3_000)).astype(np.uint64)
+    v = np.concatenate([rng.choice(middles, 20_000), np.full(60_000, middles[7])])
+    u = rng.integers(0, 5_000_000, len(v)).astype(np.uint64)
+    u[40_000:] = rng.integers(1_000_000, 1_200_000, 40_000)
+    u[:50] = lm.START
+    keys = np.unique((v << np.uint64(32)) | u)
+    kept = rng.random(len(keys)) < 0.5
+    files["middles-3"] = middles.astype("<u4")
+    lm.put_keys(layout, "contexts", 3, np.searchsorted(middles, keys[kept] >> np.uint64(32)), keys[kept] & np.uint64(2**32 - 1), len(middles))
+    counts = np.where(rng.random(kept.sum()) < 0.1, rng.integers(200, 10**6, kept.sum()), 1)
+    lm.put_counts("memory", "trigrams", 3, counts)
+    assert layout.keys(np.zeros(1, int), np.zeros(1, int), len(middles))[2] == "<u1" and files["contexts-low-3"].any()
+    scorer = lm.Scorer(layout, {3: "<u1"})
+    scorer.maps = files
+    strange = np.array([(10 << 32) | 5, (4_999_999 << 32) | 4_999_999], np.uint64)
+    asked = np.unique(np.concatenate([keys, strange]))
+    at, hit = scorer._at("contexts", 3, asked)
+    want = np.isin(asked, keys[kept])
+    assert (hit == want).all() and (at[hit] == np.arange(kept.sum())).all()
+    assert (scorer._byte_counts("trigrams", 3, at[hit]) == counts).all()
