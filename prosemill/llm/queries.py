@@ -1,8 +1,8 @@
-"""The queries of the ten operators and their SQL."""
+"""The queries of the operators and their SQL."""
 
 from __future__ import annotations
 
-from . import ann, html_text, language_id, lm, minhash, mixing, packing, passages, quality_rules, secrets
+from . import ann, html_text, language_id, lm, minhash, mixing, packing, passages, pieces, quality_rules, secrets
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_secret_scan": secrets.op8_secret_scan,
     "op9_html_text": html_text.op9_html_text,
     "op10_packing": packing.op10_packing,
+    "op13_sentencepiece": pieces.op13_sentencepiece,
 }
 
 SQL = {"op1_quality_rules": quality_rules.OP1_SQL, "op5_mixing": mixing.OP5_SQL}
