@@ -11,6 +11,7 @@ import heapq
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -192,7 +193,9 @@ class Pieces:
         for one in ids:
             first = np.flatnonzero(~self.control[one])[:1]
             skip = int(len(first) and self.spaced[one[first[0]]])
-            out.append(content[ends[at] + skip : ends[at + len(one)]].decode("utf-8", "prosemill-each-byte"))
+            # the bytes of a character stand together: a control id between them parts them
+            cuts = np.maximum([ends[at], *ends[at + np.flatnonzero(self.control[one])], ends[at + len(one)]], ends[at] + skip)
+            out.append("".join(content[a:b].decode("utf-8", "prosemill-each-byte") for a, b in pairwise(cuts)))
             at += len(one)
         return out
 
@@ -235,7 +238,7 @@ class Encoder:
         return out
 
 
-def _with(df: DataFrame, name: str, kind: str) -> T.StructType:
+def _with(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
     """df's columns, one of that name (upper or lower case) excepted, and the new one."""
     return T.StructType([f for f in df.schema.fields if f.name.lower() != name.lower()]).add(name, kind)
 
@@ -247,7 +250,7 @@ def encode(df: DataFrame, model: str, column: str = "text", out: str = "ids", eo
     but the end id. All rows and other columns stay, repeated ones too; a column of the name ``out`` is replaced. No rows give no rows.
     """
     small_batches(df.sparkSession, 200)
-    schema = _with(df, out, "array<int>")
+    schema = _with(df, out, T.ArrayType(T.IntegerType()))
     rest = [f.name for f in schema.fields[:-1]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,7 +271,7 @@ def decode(df: DataFrame, model: str, column: str = "ids", out: str = "decoded")
     Ids must be the model's. All rows and other columns stay; a column of the name ``out`` is replaced.
     """
     small_batches(df.sparkSession, 200)
-    schema = _with(df, out, "string")
+    schema = _with(df, out, T.StringType())
     rest = [f.name for f in schema.fields[:-1]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
