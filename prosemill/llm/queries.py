@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, html_text, language_id, lm, minhash, mixing, packing, passages, pieces, quality_rules, secrets
+from . import ann, html_text, language_id, lexical, lm, minhash, mixing, packing, passages, pieces, quality_rules, secrets
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -15,7 +15,8 @@ QUERIES = {
     "op8_secret_scan": secrets.op8_secret_scan,
     "op9_html_text": html_text.op9_html_text,
     "op10_packing": packing.op10_packing,
+    "op12_lexical_search": lexical.op12_lexical_search,
     "op13_sentencepiece": pieces.op13_sentencepiece,
 }
 
-SQL = {"op1_quality_rules": quality_rules.OP1_SQL, "op5_mixing": mixing.OP5_SQL}
+SQL = {"op1_quality_rules": quality_rules.OP1_SQL, "op5_mixing": mixing.OP5_SQL, "op12_lexical_search": lexical.OP12_SQL}
