@@ -10,14 +10,20 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import lookup_join, small_batches, staged
+from .common import BROADCAST_ROWS, lookup_join, small_batches, staged
 
 #: Documents for an item.
 TOP = 10
+#: Rows for each of the TOP whose whole scores are looked up for the first bound; more of them raise it.
+PROBES = 10
+#: Terms of items that are searched at once, and cells of a table of rows and items in a task.
+BLOCK_ASKS, CELLS = 200_000, 2_000_000
+RESULT = "item bigint, rank int, doc_id bigint, score bigint"
 #: Distinct terms of the queries up to which they go to the workers, so that no other postings are made.
 SENT_TERMS = 200_000
 #: A slice of a term's list holds what this many tasks of the first scan found, as a power of two.
@@ -101,44 +107,126 @@ def _best(scores: DataFrame, k: int, *order: Column) -> DataFrame:
     return scores.withColumn("rank", place).where(F.col("rank") <= k)
 
 
-def _kth(scores: DataFrame, k: int, name: str) -> DataFrame:
-    """(item, name): the k-th best of (item, row, s), 0 where there are fewer."""
-    best = _best(scores, k).groupBy("item").agg(F.count("*").alias("_n"), F.min("s").alias("_s"))
-    return best.select("item", F.when(F.col("_n") == k, F.col("_s")).otherwise(0).alias(name))
+def _kth(scores: DataFrame, k: int) -> dict[int, int]:
+    """The k-th best of (item, row, s) of each item; 0 where there are fewer."""
+    best = _best(scores, k).groupBy("item").agg(F.count("*").alias("n"), F.min("s").alias("s"))
+    return {r.item: r.s if r.n == k else 0 for r in best.collect()}
+
+
+def _sums(items: list[tuple[int, int, int]], asks: list[tuple[int, int, int, int, int]], n_terms: int):
+    """(row, t, f) in order of row -> (item, row, s, most): sums of the entries at or above the items' thresholds, where most, which no score exceeds, reaches the item's bound.
+
+    items: (item, sum of caps, bound); asks: (term's number, place of the item, w, f_min, cap) in order of terms. Sums are
+    of doubles, which are exact here: a weight is below 10^5, f at most 10^6, and an item has less than 9 * 10^4 terms.
+    """
+    ids, caps, bound = (np.array(c, np.int64) for c in zip(*items, strict=True))
+    term, item, w, f_min, cap = (np.array(c, np.int64) for c in zip(*asks, strict=True))
+    starts = np.searchsorted(term, np.arange(n_terms + 1))
+
+    def scores(row: np.ndarray, t: np.ndarray, f: np.ndarray) -> pa.RecordBatch:
+        place = np.cumsum(np.r_[False, row[1:] != row[:-1]])
+        many = starts[t + 1] - starts[t]
+        ends = np.cumsum(many)
+        entry = np.repeat(np.arange(len(t)), many)
+        ask = np.repeat(starts[t] - ends + many, many) + np.arange(ends[-1] if len(ends) else 0)
+        fine = f[entry] >= f_min[ask]
+        entry, ask = entry[fine], ask[fine]
+        cell, size = place[entry] * len(ids) + item[ask], (place[-1] + 1) * len(ids)
+        s = np.bincount(cell, w[ask] * f[entry], size).astype(np.int64)
+        most = s - np.bincount(cell, cap[ask], size).astype(np.int64) + np.tile(caps, place[-1] + 1)
+        some = np.flatnonzero((s > 0) & (most >= np.tile(bound, place[-1] + 1)))
+        rows = row[np.flatnonzero(np.r_[True, row[1:] != row[:-1]])]
+        cols = ids[some % len(ids)], rows[some // len(ids)], s[some], most[some]
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["item", "row", "s", "most"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(0, np.int64)] * 3
+        for batch in batches:
+            held = [np.r_[h, c.to_numpy(zero_copy_only=False).astype(np.int64)] for h, c in zip(held, batch.columns, strict=True)]
+            # the last row may go on in the next batch; so many rows at once that their table stays small
+            borders = np.flatnonzero(held[0][1:] != held[0][:-1]) + 1
+            step = max(1, CELLS // len(ids))
+            cuts = np.r_[0, borders[step - 1 :: step], borders[-1:]] if len(borders) else np.zeros(1, np.int64)
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if b > a:
+                    yield scores(*(h[a:b] for h in held))
+            held = [h[cuts[-1] :] for h in held]
+        if len(held[0]):
+            yield scores(*held)
+
+    return run
+
+
+class _Block:
+    """Some BLOCK_ASKS rows of (item, term, w, f_max), which the driver and every task hold, and the scores of rows for them."""
+
+    def __init__(self, lists: DataFrame, q: DataFrame):
+        self.lists, self.asks = lists, [tuple(r) for r in q.select("item", "term", "w", "f_max").collect()]
+        self.items = sorted({a[0] for a in self.asks})
+        self.terms = {t: i for i, t in enumerate(sorted({a[1] for a in self.asks}))}
+
+    def scores(self, bound: dict[int, int], thresholds: dict[int, int] | None = None, rows: DataFrame | None = None) -> DataFrame:
+        """(item, row, s, most): sums of the entries with w * f at or above the item's threshold (of all, without one), in ``rows`` (row) if given.
+
+        Without thresholds s is the score. most is s and what the entries below the thresholds can add; where it stays below the item's bound, nothing is given.
+        """
+        spark, at = self.lists.sparkSession, {x: i for i, x in enumerate(self.items)}
+        asks, caps, least = [], dict.fromkeys(self.items, 0), {}
+        for item, term, w, f_max in self.asks:
+            low = (thresholds or {}).get(item, 0)
+            cap, f_min, t = max(0, min(low - 1, w * f_max)), -(-low // w), self.terms[term]
+            asks.append((t, at[item], w, f_min, cap))
+            caps[item] += cap
+            least[t] = min(f_min, least.get(t, f_min))
+        known = spark.createDataFrame([(x, t, least[t]) for x, t in self.terms.items()], "term string, t int, least bigint")
+        given = self.lists
+        if rows is not None:
+            # a row has no more entries than its text has terms, so it is no hot key
+            given = given.join(F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows, "row")
+        given = lookup_join(given, known, "term", F.col("row"), "inner").where("f >= least").select("row", "t", F.col("f").cast("int").alias("f"))
+        run = _sums([(x, caps[x], bound.get(x, 0)) for x in self.items], sorted(asks), len(self.terms))
+        return staged(given.repartition("row").sortWithinPartitions("row").mapInArrow(run, "item bigint, row bigint, s bigint, most bigint"), "scores")
+
+
+def _search_block(postings: Postings, heads: DataFrame, q: DataFrame, k: int) -> DataFrame:
+    """search() for some BLOCK_ASKS rows of q(item, term, w, f_max)."""
+    block = _Block(postings.lists, q)
+    if not block.items:
+        return q.sparkSession.createDataFrame([], RESULT)
+    # 1: partial sums from the heads of the lists; the rows that are best by them are looked up whole, which raises the bound
+    low = staged(heads.join(q, "term").groupBy("item", "row").agg(F.sum(F.col("w") * F.col("f")).alias("s")), "head-sums")
+    probes = staged(_best(low, PROBES * k).select("row").distinct(), "probes")
+    bound = _kth(block.scores(_kth(low, k), rows=probes), k)
+
+    # 2: what lies below T = bound / m in each of m lists adds up to less than the bound; each list gives all else, once for all items
+    many = Counter(a[0] for a in block.asks)
+    seen = block.scores(bound, {x: -(-bound.get(x, 0) // m) for x, m in many.items()})
+    better = {x: max(b, bound.get(x, 0)) for x, b in _kth(seen, k).items()}
+    limits = q.sparkSession.createDataFrame(list(better.items()), "item bigint, least bigint")
+    left = staged(lookup_join(seen, limits, "item", F.col("row"), "inner").where("most >= least").select("row").distinct(), "candidates")
+
+    # 3: exact scores of the candidates that are left
+    exact = block.scores({x: max(1, b) for x, b in better.items()}, rows=left)
+    top = staged(exact.withColumn("_r", F.rank().over(Window.partitionBy("item").orderBy(F.desc("s")))).where(F.col("_r") <= k).select("item", "row", "s"), "best")
+    named = postings.docs.select("row", "doc_id").join(top, "row")
+    return _best(named, k, F.asc_nulls_last("doc_id"), F.col("row")).select("item", "rank", "doc_id", F.col("s").alias("score"))
 
 
 def search(postings: Postings, asked: DataFrame, k: int = TOP) -> DataFrame:
     """asked(item, term) -> item, rank, doc_id, score: each item's k best documents with a score above 0, ties to the smaller doc_id.
 
-    Terms that no document holds, or that weigh nothing, add nothing; a null doc_id comes last among equals, and rows of one id
-    and score follow each other. An item that no document answers has no row.
+    Items are searched in blocks of about BLOCK_ASKS terms, each a pass over the lists. Terms that no document holds, or that weigh
+    nothing, add nothing; a null doc_id comes last among equals, and rows of one id and score follow each other. An item that no document answers has no row.
     """
-    # a row for each item and term: it grows with the queries, never with the documents
     q = staged(asked.join(postings.weights.where("w > 0"), "term").select("item", "term", "w", "f_max"), "query-terms")
-    lists = postings.lists
-
-    # 1: the k best of each list; their sums are lower bounds
     head = F.row_number().over(Window.partitionBy("term").orderBy(F.desc("f"), "row"))
-    heads = lists.withColumn("_n", head).where(F.col("_n") <= k).drop("_n")
-    low = heads.join(q, "term").groupBy("item", "row").agg(F.sum(F.col("w") * F.col("f")).alias("s"))
-    first = q.groupBy("item").agg(F.count("*").alias("m")).join(_kth(low, k, "t1"), "item", "left")
-
-    # 2: what lies below T in each of m lists adds up to less than the k-th lower bound; each list gives all else
-    limits = first.select("item", F.expr("(coalesce(t1, 0) + m - 1) div m").alias("T"))
-    cap = F.greatest(F.least(F.col("T") - 1, F.col("w") * F.col("f_max")), F.lit(0))
-    asks = q.join(limits, "item").withColumn("cap", cap).withColumn("f_min", F.expr("(T + w - 1) div w"))
-    asks = staged(asks.select("item", "term", "w", "cap", "f_min"), "thresholds")
-    given = lookup_join(lists, asks, "term", F.col("row"), "inner").where("f >= f_min")
-    seen = staged(given.groupBy("item", "row").agg(F.sum(F.col("w") * F.col("f")).alias("s"), F.sum("cap").alias("known")), "partial-scores")
-    bounds = asks.groupBy("item").agg(F.sum("cap").alias("caps")).join(_kth(seen, k, "t2"), "item")
-    left = lookup_join(seen, bounds, "item", F.col("row"), "inner").where("s + caps - known >= t2")
-
-    # 3: exact scores of the candidates that are left
-    rows = left.groupBy("row").agg(F.collect_list("item").alias("items"))
-    wanted = staged(lookup_join(postings.docs.select("row", "doc_id"), staged(rows, "candidates"), "row", F.col("doc_id"), "inner"), "candidate-rows")
-    parts = lookup_join(lists, wanted, "row", F.col("term"), "inner").select("term", "row", "doc_id", "f", F.explode("items").alias("item"))
-    exact = parts.join(q.select("item", "term", "w"), ["item", "term"]).groupBy("item", "row", "doc_id").agg(F.sum(F.col("w") * F.col("f")).alias("s"))
-    return _best(exact.where("s > 0"), k, F.asc_nulls_last("doc_id"), F.col("row")).select("item", "rank", "doc_id", F.col("s").alias("score"))
+    heads = staged(postings.lists.withColumn("_n", head).where(F.col("_n") <= k).drop("_n"), "heads")
+    blocks = q.count() // BLOCK_ASKS + 1
+    found = None
+    for i in range(blocks):
+        part = _search_block(postings, heads, q.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == i), k)
+        found = part if found is None else found.unionByName(part)
+    return found
 
 
 OP12_SQL = r"""

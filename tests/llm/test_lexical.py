@@ -59,9 +59,11 @@ def test_empty(spark):
     assert search(spark, [], [(1, "a")]) == {} and search(spark, [(1, "a")], []) == {} and search(spark, [(1, None)], [(1, "a")]) == {}
 
 
-@pytest.mark.parametrize("bound", [0, 200_000])
-def test_whole_tables(spark, monkeypatch, bound):
+@pytest.mark.parametrize("bound,asks", [(0, 200_000), (200_000, 150)])
+def test_whole_tables(spark, monkeypatch, bound, asks):
     monkeypatch.setattr(lexical, "SENT_TERMS", bound)
+    monkeypatch.setattr(lexical, "BLOCK_ASKS", asks)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 70)
     sf = "/root/testdata/sf0.001"
     docs = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
     items = {r.item_id: r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
