@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import text as T
+from ..sources.staging import lookup, staged
 
 
 def split_records(docs: DataFrame, separator: str = P.SHARD_SEPARATOR, key: str = "doc_id", value: str = "text") -> DataFrame:
@@ -34,34 +35,64 @@ def exclude(df: DataFrame, other: DataFrame, column: str) -> DataFrame:
     return df.join(gone, digest(T.strip(F.col(column))) == F.col("_d"), "left_anti")
 
 
-def offsets(df: DataFrame, length: Column, order: str, parts: int = 64) -> DataFrame:
-    """WIN2/WIN3: the sum of the lengths of all rows before, in order.
+class Ordered:
+    """The rows of ``df`` in one order over all ranges, each with the sum of the lengths before it.
 
-    Two levels: rows are ranged by order, each range summed on its own and moved by the sum of
-    the ranges before it, so no window holds all rows.
+    Rows are ranged by ``order`` once and written, so every later look sees the same ranges; inside a range a window adds up
+    lengths, and the sums of the ranges, one row each, are added up beside. Rows that tie on ``order`` follow a hash of their content,
+    equal rows come in any order: both are split over ranges, however many there are. Nulls come first; a null length counts 0.
+    There are as many ranges as the session has shuffle partitions, or ``parts``.
     """
-    ranged = df.withColumn("_len", length.cast("long")).repartitionByRange(parts, order).withColumn("_part", F.spark_partition_id())
-    inner = F.coalesce(F.sum("_len").over(Window.partitionBy("_part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    before = F.coalesce(F.sum("_sum").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sums = ranged.groupBy("_part").agg(F.sum("_len").alias("_sum")).withColumn("_before", before).drop("_sum")
-    return ranged.withColumn("_in", inner).join(F.broadcast(sums), "_part").withColumn("offset", F.col("_before") + F.col("_in")).drop("_part", "_len", "_in", "_before")
+
+    def __init__(self, df: DataFrame, length: Column, order: str, parts: int | None = None):
+        self.columns = df.columns
+        # maps have no hash
+        content = F.xxhash64(*[F.col(f"`{c}`") for c, kind in df.dtypes if "map<" not in kind])
+        self.by = [F.col(order), F.col("_tie"), F.col("_row")]
+        keyed = df.withColumn("_len", F.coalesce(length.cast("long"), F.lit(0))).withColumn("_tie", content).withColumn("_row", F.monotonically_increasing_id())
+        ranged = keyed.repartitionByRange(*([parts] if parts else []), *self.by).sortWithinPartitions(*self.by)
+        self.rows = staged(ranged.withColumn("_part", F.spark_partition_id()), "ordered")
+        before = F.coalesce(F.sum("_sum").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        # a row for each range
+        self.sums = staged(self.rows.groupBy("_part").agg(F.sum("_len").alias("_sum")).withColumn("_before", before), "range-sums")
+
+    def total(self) -> int:
+        return self.sums.agg(F.coalesce(F.sum("_sum"), F.lit(0))).first()[0]
+
+    def offsets(self, first_part: int = 0) -> DataFrame:
+        """The columns of ``df`` and offset; of the ranges from first_part on only, if it is given."""
+        rows = self.rows.where(F.col("_part") >= first_part) if first_part else self.rows
+        inner = F.coalesce(F.sum("_len").over(Window.partitionBy("_part").orderBy(*self.by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        moved = lookup(rows.withColumn("_in", inner), self.sums.select("_part", "_before"), "_part", F.col("_row"), "inner")
+        return moved.select(*[F.col(f"`{c}`") for c in self.columns], (F.col("_before") + F.col("_in")).alias("offset"))
+
+    def part_of(self, offset: int) -> int:
+        """The range that holds an offset."""
+        return self.sums.where((F.col("_before") <= offset) & (F.col("_sum") > 0)).agg(F.coalesce(F.max("_part"), F.lit(0))).first()[0]
+
+
+def offsets(df: DataFrame, length: Column, order: str, parts: int | None = None) -> DataFrame:
+    """WIN2/WIN3: adds offset, the sum of the lengths of all rows before, in order; see Ordered for ties and nulls."""
+    return Ordered(df, length, order, parts).offsets()
 
 
 def context_safe_split(df: DataFrame, key: str, order: str, share: float) -> DataFrame:
     """ALG1: the last part is validation, but a run of equal keys over the border stays in training.
 
-    Adds pos (from 0) and is_val. The order is global, so ranks come from two levels as in offsets().
+    Adds pos (from 0) and is_val. Only the ranges from the border on are read to find where its run ends.
     """
     if not 0 <= share < 1:
         raise ValueError("share must be from 0 to below 1")
-    ranked = offsets(df, F.lit(1), order).withColumnRenamed("offset", "pos").withColumn("is_val", F.lit(False))
-    n = ranked.count()
+    ranked = Ordered(df, F.lit(1), order)
+    n = ranked.total()
     border = n - int(n * share)
+    rows = ranked.offsets().withColumnRenamed("offset", "pos")
     if border >= n:
-        return ranked
-    edge = ranked.where(F.col("pos") == border - 1).select(key).first()
-    other = ranked.where((F.col("pos") >= border) & ~F.col(key).eqNullSafe(F.lit(edge[0]))).agg(F.min("pos")).first()[0]
-    return ranked.withColumn("is_val", F.col("pos") >= F.lit(n if other is None else other))
+        return rows.withColumn("is_val", F.lit(False))
+    near = ranked.offsets(ranked.part_of(border - 1)).select(F.col(key).alias("k"), F.col("offset").alias("pos"))
+    edge = near.where(F.col("pos") == border - 1).first()[0]
+    other = near.where((F.col("pos") >= border) & ~F.col("k").eqNullSafe(F.lit(edge))).agg(F.min("pos")).first()[0]
+    return rows.withColumn("is_val", F.col("pos") >= F.lit(n if other is None else other))
 
 
 def seeded_order(df: DataFrame, seed: int, *keys: str) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import text as T
-from .corpus import offsets
+from .corpus import Ordered
 
 
 def encode(df: DataFrame, vocabulary: str, column: str = "text") -> DataFrame:
@@ -67,8 +67,8 @@ def stream_split(docs: DataFrame, ids: str, order: str, share: float) -> DataFra
 
     Adds offset, train and val (arrays, either may be empty).
     """
-    placed = offsets(docs, F.size(ids), order)
-    total = placed.agg(F.coalesce(F.sum(F.size(ids)), F.lit(0))).first()[0]
+    stream = Ordered(docs, F.size(ids), order)
+    placed, total = stream.offsets(), stream.total()
     border = total - int(total * share)
     n = F.least(F.greatest(F.lit(border) - F.col("offset"), F.lit(0)), F.size(ids)).cast("int")
     return placed.withColumn("_n", n).withColumn("train", F.slice(ids, F.lit(1), F.col("_n"))).withColumn("val", F.slice(ids, F.col("_n") + 1, F.size(ids))).drop("_n")

@@ -378,32 +378,33 @@ def override_lookup(spark, sf):
 
 # logs
 
-_LOG = "(SELECT event_type AS run, event_id AS step, value AS loss, epoch(ts) AS s FROM events WHERE value IS NOT NULL)"
+_LOG = "(SELECT event_type AS run, event_id AS step, value AS loss, epoch(ts) AS s FROM events)"
 
 
 def _log(spark, sf):
-    e = table(spark, sf, "events").where("value is not null")
+    e = table(spark, sf, "events")
     return e.select(F.col("event_type").alias("run"), F.col("event_id").alias("step"), F.col("value").alias("loss"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("s"))
 
 
-_BEST = f"""(SELECT *, sum(CAST(improved AS INT)) OVER (PARTITION BY run ORDER BY step) AS i FROM (SELECT *, coalesce(loss < min(loss) OVER (PARTITION BY run ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS improved,
+_BEST = f"""(SELECT *, sum(CAST(improved AS INT)) OVER (PARTITION BY run ORDER BY step) AS i FROM (SELECT *, loss IS NOT NULL AND coalesce(loss < min(loss) OVER (PARTITION BY run ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS improved,
 min(loss) OVER (PARTITION BY run ORDER BY step) AS best FROM {_LOG}))"""
+_STALE = "row_number() OVER (PARTITION BY run, i ORDER BY step) - CASE WHEN i = 0 THEN 0 ELSE 1 END AS stale"
 
 
-@query(f"SELECT run, step, best, max(CASE WHEN improved THEN step END) OVER (PARTITION BY run ORDER BY step) AS best_step, improved, row_number() OVER (PARTITION BY run, i ORDER BY step) - 1 AS stale FROM {_BEST}")
+@query(f"SELECT run, step, best, max(CASE WHEN improved THEN step END) OVER (PARTITION BY run ORDER BY step) AS best_step, improved, {_STALE} FROM {_BEST}")
 def running_best(spark, sf):
     return logs.running_best(_log(spark, sf), "run", "step", "loss").select("run", "step", "best", "best_step", "improved", "stale")
 
 
-@query(f"""WITH x AS (SELECT run, step, row_number() OVER (PARTITION BY run, i ORDER BY step) - 1 AS stale FROM {_BEST}), p AS (SELECT run, min(step) FILTER (stale >= 5) AS stop FROM x GROUP BY run)
+@query(f"""WITH x AS (SELECT run, step, {_STALE} FROM {_BEST}), p AS (SELECT run, min(step) FILTER (stale >= 5) AS stop FROM x GROUP BY run)
 SELECT run, step, stale FROM x JOIN p USING (run) WHERE stop IS NULL OR step <= stop""")
 def early_stop(spark, sf):
     return logs.early_stop(logs.running_best(_log(spark, sf), "run", "step", "loss"), "run", "step", 5).select("run", "step", "stale")
 
 
-@query(f"SELECT run, arg_min(step, (loss, step)) AS step, min(loss) AS loss FROM {_LOG} GROUP BY run")
+@query(f"SELECT run, arg_min(step, (loss, step)) FILTER (loss IS NOT NULL) AS step, min(loss) AS loss FROM {_LOG} GROUP BY run")
 def best_checkpoint(spark, sf):
-    return _log(spark, sf).groupBy("run").agg(F.min_by("step", F.struct("loss", "step")).alias("step"), F.min("loss").alias("loss"))
+    return _log(spark, sf).groupBy("run").agg(F.min_by("step", F.when(F.col("loss").isNotNull(), F.struct("loss", "step"))).alias("step"), F.min("loss").alias("loss"))
 
 
 @query("""SELECT event_id, round(CASE WHEN event_id < 200 THEN 6e-4 * (event_id + 1) / 200 WHEN event_id > 8000 THEN 6e-5
@@ -444,9 +445,32 @@ def throughput(spark, sf):
     return logs.throughput(_log(spark, sf), "run", "step", "s", 24576).select("run", "step", F.round("tok_s", 3).alias("tok_s"))
 
 
+_GRID = (0.1, 0.2, 0.4, 0.6, 0.8, 1.0, 1.5, 2.0, 3.0)
+
+
+def _curves(spark, sf):
+    """A falling loss for each event: a run for each kind of event."""
+    e = table(spark, sf, "events")
+    t = F.col("event_id") + 1
+    return e.select(F.col("event_type").alias("run"), t.alias("step"), (1.7 + F.pow(t.cast("double"), F.lit(-0.4)) * 5 + F.col("user_id") % 7 / 100.0).alias("loss"))
+
+
+@query(f"""WITH r AS (SELECT event_type AS run, ln((event_id + 1)::DOUBLE) AS t, 1.7::DOUBLE + pow((event_id + 1)::DOUBLE, -0.4::DOUBLE) * 5 + (user_id % 7) / 100.0::DOUBLE AS y FROM events), x AS (SELECT run, alpha, exp(-alpha * t) AS x, y FROM r, (SELECT unnest({list(_GRID)})::DOUBLE AS alpha)),
+s AS (SELECT run, alpha, count(*) AS n, sum(x) AS sx, sum(y) AS sy, sum(x * x) AS sxx, sum(x * y) AS sxy, sum(y * y) AS syy, greatest(min(y), 0.5) AS top FROM x GROUP BY run, alpha),
+f AS (SELECT *, (n * sxy - sx * sy) / (n * sxx - sx * sx) AS fa, (sy - (n * sxy - sx * sy) / (n * sxx - sx * sx) * sx) / n AS ff FROM s),
+o AS (SELECT run, alpha, n, sx, sy, sxx, sxy, syy, unnest(CASE WHEN fa BETWEEN 1e-6 AND 1e6 AND ff BETWEEN 0.5 AND top THEN [(ff, fa)] ELSE [(0.5, least(greatest((sxy - 0.5 * sx) / sxx, 1e-6), 1e6)), (top, least(greatest((sxy - top * sx) / sxx, 1e-6), 1e6)),
+(least(greatest((sy - 1e-6 * sx) / n, 0.5), top), 1e-6::DOUBLE), (least(greatest((sy - 1e6 * sx) / n, 0.5), top), 1e6::DOUBLE)] END) AS p FROM f),
+e AS (SELECT run, alpha, p[1] AS floor, p[2] AS a, greatest(0, syy - 2 * p[1] * sy - 2 * p[2] * sxy + n * p[1] * p[1] + 2 * p[1] * p[2] * sx + p[2] * p[2] * sxx) AS sse FROM o)
+SELECT run, alpha, round(arg_min(floor, sse), 4) AS floor, round(arg_min(a, sse), 3) AS a, round(min(sse), 3) AS sse FROM e GROUP BY run, alpha""")
+def fit_curve_grid(spark, sf):
+    c = _curves(spark, sf)
+    alphas = c.select("run").distinct().withColumn("alpha", F.explode(F.array(*[F.lit(a) for a in _GRID])))
+    return logs.fit_grid(c, "run", "step", "loss", alphas).select("run", "alpha", F.round("floor", 4).alias("floor"), F.round("a", 3).alias("a"), F.round("sse", 3).alias("sse"))
+
+
 @query()  # an iterative fit: tested against planted curves
 def fit_curve(spark, sf):
-    return logs.fit_power_law(_log(spark, sf).withColumn("loss", F.abs("loss")), "run", "step", "loss")
+    return logs.fit_power_law(_curves(spark, sf), "run", "step", "loss")
 
 
 @query("SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n FROM events GROUP BY 1, 2")
