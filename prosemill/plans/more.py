@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import text as T
-from ..operators import answers, corpus, evaluation, logs, pairs, sampling, tokens, vectors
+from ..operators import answers, corpus, evaluation, logs, pairs, sampling, tokens, vectors, vocabulary
 from .registry import _BLACK, _BLOCKS, _PAIRS, _REC, _black, _blocks, _q, _records, _text, query, table
 
 # text functions
@@ -288,6 +288,13 @@ def max_steps(spark, sf):
     return table(spark, sf, "documents").select("doc_id", sampling.max_steps(F.lit(3.5), F.col("n_chars"), F.lit(24576.0)).cast("long").alias("steps"))
 
 
+@query()  # an iterative training: tested against one merge after the other
+def bpe_merges(spark, sf):
+    tokens_by_id, merges = vocabulary.train_bpe(table(spark, sf, "documents"), 600)
+    rows = [(i, a, b, new, tokens_by_id[new], n) for i, (a, b, new, n) in enumerate(merges)]
+    return spark.createDataFrame(rows, "place int, left_id int, right_id int, id int, token string, n bigint")
+
+
 # tokens and sampling; ids are the code points of the words' first letters, so that SQL has the same
 
 _IDS = "list_transform(string_split(text, ' '), lambda x: CASE WHEN x = '' THEN 0 ELSE unicode(x) END)"
