@@ -32,3 +32,4 @@ MAX_EXAMPLE_TOKENS, MAX_PASSAGE_TOKENS = 900, 400
 TAIL_SHARE = 0.8
 #: Words of a byte-level vocabulary, for the regex module.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+PAUSE = r"[.!?,;:]+(\s+)"

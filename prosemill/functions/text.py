@@ -85,7 +85,7 @@ def distinct_values(c: Column, pattern: str, least: int = P.MIN_VALUES) -> Colum
 
 def clean_reply(c: Column) -> Column:
     """TXT20."""
-    for pattern, to in ((P.CONTROL, ""), (P.BREAKS, " "), (P.BLANKS, " "), ("�", "")):
+    for pattern, to in ((P.CONTROL, ""), (P.BREAKS, " "), (P.BLANKS, " "), ("�", ""), (P.BLANKS, " ")):
         c = F.regexp_replace(c, pattern, to)
     return c
 

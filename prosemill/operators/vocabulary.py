@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
-from ..sources.staging import staged
+from ..sources.staging import ship, staged
 
 #: Pairs that a round looks at, and merges after which the pre-tokens are written anew.
 LOOK, REWRITE = 512, 256
@@ -159,6 +159,7 @@ def train_bpe(docs: DataFrame, vocab_size: int = 50_257, min_frequency: int = 2,
     ``vocab_size`` tokens or where no pair is found ``min_frequency`` times. Driver and tasks hold the merge table, never more than the vocabulary's size;
     pre-tokens stay in the shared folder. No text gives the bytes alone.
     """
+    ship(docs.sparkSession)
     stand_in = byte_symbols()
     tokens = [*special, *sorted(stand_in)]
     known = {t: i for i, t in enumerate(tokens)}

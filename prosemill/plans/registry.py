@@ -107,7 +107,7 @@ _text(
     lambda x: T.strip_boilerplate(F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("head\n" + _MARKED), x, F.lit("END OF THIS PROJECT GUTENBERG EBOOK tail\n" + _MARKED), F.col("lang"), F.lit("END OF THE PROJECT GUTENBERG EBOOK"))).when(F.col("doc_id") % 3 == 1, F.concat(x, F.lit(_MARKED))).otherwise(x)),
     f"CASE doc_id % 3 WHEN 0 THEN text || chr(10) || chr(10) || lang WHEN 1 THEN text || {_q(_MARKED)} ELSE text END",
 )
-_text("reply_cleanup", lambda x: T.clean_reply(x), f"replace(regexp_replace(regexp_replace(regexp_replace(text, {_q(P.CONTROL)}, '', 'g'), {_q(P.BREAKS)}, ' ', 'g'), {_q(P.BLANKS)}, ' ', 'g'), chr(65533), '')")
+_text("reply_cleanup", lambda x: T.clean_reply(x), f"regexp_replace(replace(regexp_replace(regexp_replace(regexp_replace(text, {_q(P.CONTROL)}, '', 'g'), {_q(P.BREAKS)}, ' ', 'g'), {_q(P.BLANKS)}, ' ', 'g'), chr(65533), ''), {_q(P.BLANKS)}, ' ', 'g')")
 _text(
     "stop_marker_cut",
     lambda x: T.cut_at_markers(F.concat(x, F.lit("\nQuestion: more"))),

@@ -94,4 +94,4 @@ def test_ends(spark):
 
 def test_documents(spark):
     texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
-    assert train(spark, texts, 2257) == sequential(texts, 2257)
+    assert train(spark, texts, 900) == sequential(texts, 900)
