@@ -12,7 +12,7 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -23,13 +23,15 @@ from .common import small_batches
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
 ATTR = re.compile(r"""([a-zA-Z_:-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))|\b(hidden)\b""")
 RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "math", "object", "canvas", "audio", "video", "select", "datalist"}
+#: Of these, what runs to the end of a page if nothing closes it; the others end at once.
+TO_THE_END = {"script", "style", "textarea", "title", "iframe"}
 RAW_END = {t: re.compile(rf"</{t}\b[^>]*>?", re.I) for t in RAW}
 BLOCKS = set("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead tr ul".split())
 VOID = {"hr", "br", "img", "input", "meta", "link", "wbr", "area", "base", "col", "embed", "source", "track"}
 #: A start tag of the key closes an open one of the values, up to the nearest of the fences.
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 FENCES = {"li": {"ul", "ol", "menu"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "dt": {"dl"}, "dd": {"dl"}}
-NOT_CONTENT = {"nav", "footer", "aside", "form", "button", "menu", "dialog", "search", "fieldset", "head"}
+NOT_CONTENT = {"nav", "footer", "aside", "button", "menu", "dialog", "search", "fieldset", "head"}
 BAD_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar"}
 BAD_WORDS = set("ad ads adv advert adverts advertisement advertising advertorial banner breadcrumb breadcrumbs byline comment comments commentlist consent cookie cookies copyright cta disclaimer disqus footer footnav gdpr header hidden legal login masthead menu menus modal nav navbar navigation newsletter notice notices overlay pager pagination paywall popup promo promos promoted promotion recommended related replies respond rss search share sharing sidebar sidenav signup skip social sponsor sponsored subscribe subscription tagcloud tags teaser teasers toolbar topbar widget widgets".split())
 GOOD_WORDS = set("article articlebody body content entry main maincontent post postbody story storybody text".split())
@@ -40,15 +42,37 @@ SENTENCE = re.compile(r"[.!?…。！？](?:\W|$)")
 NOTE = re.compile(r"^\s*(?:©|\(c\)\s|copyright\b|all rights reserved)", re.I)
 #: Log odds of a place: inside tags that never hold content, of a name of boilerplate, of an article or a name of content.
 NEVER, BAD, GOOD = -12.0, -5.0, 1.5
+#: Those of a form, unless it holds half of the page's text or more: then it wraps the page and says nothing.
+FORM = -4.5
+#: Parts of names that say what an element is made of, not what it is about.
+NEUTRAL = set("area bar block box btn button buttons col column container group holder inner item items link links list outer page panel row section site top bottom left right wrap wrapper".split())
 #: Capacity of an edge between neighbours of one parent; others get less with the distance.
 EDGE = 2.0
 
 
+class Node:
+    """An element: its parent and its depth."""
+
+    __slots__ = ("up", "depth")
+
+    def __init__(self, up=None):
+        self.up, self.depth = up, up.depth + 1 if up else 0
+
+
+def apart(a: Node, b: Node) -> int:
+    """Steps between two elements by their nearest common one. Over a page's blocks in order these add up to its tags at most."""
+    n = 0
+    while a is not b:
+        down = a.depth - b.depth
+        a, b, n = (a.up if down >= 0 else a), (b.up if down <= 0 else b), n + (2 if down == 0 else 1)
+    return n
+
+
 class Block:
-    __slots__ = ("text", "linked", "mark", "path", "tag")
+    __slots__ = ("text", "linked", "mark", "node", "tag")
 
-    def __init__(self, text, linked, mark, path, tag):
-        self.text, self.linked, self.mark, self.path, self.tag = text, linked, mark, path, tag
+    def __init__(self, text, linked, mark, node, tag):
+        self.text, self.linked, self.mark, self.node, self.tag = text, linked, mark, node, tag
 
 
 def _mark(tag: str, attrs: str, inherited: float, in_article: bool) -> float:
@@ -65,25 +89,42 @@ def _mark(tag: str, attrs: str, inherited: float, in_article: bool) -> float:
         found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTR.finditer(attrs) if m[1]}
         if found.get("role", "").lower() in BAD_ROLES or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "") or re.search(r"(?:^|\s)hidden(?:\s|=|$)", attrs):
             return NEVER
-        words = {w.lower() for k in ("class", "id", "itemprop") for w in WORDS.findall(found.get(k, ""))}
-        if bad := words & BAD_WORDS:
+        names = [[w.lower() for w in WORDS.findall(name)] for k in ("class", "id", "itemprop") for name in found.get(k, "").split()]
+        bad = 0.0
+        for words in names if tag not in ("article", "main") else ():
             # "post-header" names a part of the content, "content-sidebar" does not
-            if not (bad <= {"header", "byline"} and in_article):
-                return BAD
-        if words & GOOD_WORDS or found.get("role") == "main":
-            return GOOD if inherited >= 0 or found.get("itemprop") else inherited
+            odd = [w for w in words if w in BAD_WORDS and not (in_article and w in ("header", "byline"))]
+            told = [w for w in words if w not in NEUTRAL or w in odd]
+            # a name that is about something else as well, as "related-work", says as much less
+            if odd:
+                bad = min(bad, BAD * len(odd) / len([w for w in told if w not in GOOD_WORDS] or odd))
+        good = found.get("role") == "main" or any(w in GOOD_WORDS for words in names for w in words)
+        if bad and good and any(words and all(w in GOOD_WORDS for w in words) for words in names):
+            # "post widget": one name against the other
+            return min(inherited, max(bad, -GOOD))
+        if bad:
+            return min(inherited, bad) if bad <= BAD or inherited <= 0 else inherited + bad
+        if good:
+            return GOOD if inherited >= 0 or inherited == FORM or found.get("itemprop") else inherited
     if tag in ("article", "main"):
         # an article among comments or teasers is one of them
-        return GOOD if inherited >= 0 else inherited
-    return inherited
+        return GOOD if inherited >= 0 or inherited == FORM else inherited
+    return FORM if tag == "form" and inherited > FORM else inherited
 
 
 def blocks(page: str) -> list[Block]:
     """The text blocks of a page in order, white space collapsed, references decoded."""
     out: list[Block] = []
-    stack: list[tuple[str, float, int, bool]] = [("", 0.0, 0, False)]
+    stack: list[tuple[str, float, Node, bool]] = [("", 0.0, Node(), False)]
+    opened: Counter = Counter()
+    endless: set[str] = set()
     parts: list[str] = []
-    linked, in_link, serial, pos = 0, False, 0, 0
+    linked, in_link, pos = 0, False, 0
+
+    def pop() -> str:
+        tag = stack.pop()[0]
+        opened[tag] -= 1
+        return tag
 
     def text(raw: str) -> None:
         nonlocal linked
@@ -98,7 +139,7 @@ def blocks(page: str) -> list[Block]:
         if parts:
             t = " ".join("".join(parts).split())
             if t:
-                out.append(Block(t, min(1.0, linked / len(t)), stack[-1][1], tuple(s[2] for s in stack), stack[-1][0]))
+                out.append(Block(t, min(1.0, linked / len(t)), stack[-1][1], stack[-1][2], stack[-1][0]))
             parts.clear()
         linked = 0
 
@@ -118,8 +159,14 @@ def blocks(page: str) -> list[Block]:
         closing, attrs = (m[1] or m[4]) == "/", m[3] or m[6] or ""
         if tag in RAW:
             if not closing and not attrs.endswith("/"):
-                end = RAW_END[tag].search(page, pos)
-                pos = end.end() if end else n
+                # no end tag is looked for twice
+                end = RAW_END[tag].search(page, pos) if tag not in endless else None
+                if end:
+                    pos = end.end()
+                elif tag in TO_THE_END:
+                    pos = n
+                else:
+                    endless.add(tag)
             parts.append(" ")
         elif tag == "a":
             in_link = not closing
@@ -129,10 +176,9 @@ def blocks(page: str) -> list[Block]:
             flush()
             in_link = False
             if closing:
-                if any(s[0] == tag for s in stack):
-                    while stack[-1][0] != tag:
-                        stack.pop()
-                    stack.pop()
+                if opened[tag]:
+                    while pop() != tag:
+                        pass
                 continue
             if tag in CLOSES:
                 fence = FENCES.get(tag, BLOCKS - CLOSES[tag])
@@ -140,15 +186,21 @@ def blocks(page: str) -> list[Block]:
                 while k > 0 and stack[k][0] not in fence and stack[k][0] not in CLOSES[tag]:
                     k -= 1
                 if k > 0 and stack[k][0] in CLOSES[tag]:
-                    del stack[k:]
+                    while len(stack) > k:
+                        pop()
             elif stack[-1][0] == "p":
-                stack.pop()
+                pop()
             if tag not in VOID and not attrs.endswith("/"):
-                serial += 1
                 top = stack[-1]
                 mark = _mark(tag, attrs, top[1], top[3])
-                stack.append((tag, mark, serial, top[3] or tag in ("article", "main")))
+                opened[tag] += 1
+                stack.append((tag, mark, Node(top[2]), top[3] or tag in ("article", "main")))
     flush()
+    inside = sum(len(b.text) for b in out if b.mark == FORM)
+    if 2 * inside >= sum(len(b.text) for b in out):
+        for b in out:
+            if b.mark == FORM:
+                b.mark = 0.0
     return out
 
 
@@ -175,8 +227,8 @@ def odds(bs: list[Block]) -> list[float]:
     lists: dict[tuple, int] = {}
     for b, n in zip(bs, own, strict=True):
         if b.tag in ITEMS:
-            lists[b.path[:-1]] = lists.get(b.path[:-1], 0) + n
-    return [b.mark + text_odds(b, lists[b.path[:-1]] if b.tag in ITEMS else n) for b, n in zip(bs, own, strict=True)]
+            lists[b.node.up] = lists.get(b.node.up, 0) + n
+    return [b.mark + text_odds(b, lists[b.node.up] if b.tag in ITEMS else n) for b, n in zip(bs, own, strict=True)]
 
 
 def edges(bs: list[Block]) -> list[tuple[int, int, float]]:
@@ -184,11 +236,9 @@ def edges(bs: list[Block]) -> list[tuple[int, int, float]]:
     out, last = [], {}
     for i, b in enumerate(bs):
         if i:
-            a = bs[i - 1].path
-            same = next((k for k, (x, y) in enumerate(zip(a, b.path, strict=False)) if x != y), min(len(a), len(b.path)))
-            apart = max(0, len(a) + len(b.path) - 2 * same - 2)
-            out.append((i - 1, i, EDGE * math.exp(-abs(bs[i - 1].mark - b.mark)) / (1 + apart)))
-        parent = b.path[:-1]
+            far = max(0, apart(bs[i - 1].node, b.node) - 2)
+            out.append((i - 1, i, EDGE * math.exp(-abs(bs[i - 1].mark - b.mark)) / (1 + far)))
+        parent = b.node.up
         if (k := last.get(parent)) is not None and k != i - 1:
             out.append((k, i, EDGE * math.exp(-abs(bs[k].mark - b.mark)) / 2))
         last[parent] = i
