@@ -3,8 +3,8 @@
 The root layer is the text. A layer is unwrapped in three ways: all URL and Unicode escapes
 in it are decoded in place, which gives one further layer of the whole text; each URL-escaped run
 of compressed bytes gives a layer of its content; and each base64 run that decodes to
-(possibly compressed) bytes gives a layer for each of its four alignments, as other characters may be glued to its front. Every
-layer keeps, for each character, the range of the root text that it came from.
+(possibly compressed) bytes gives a layer for each of its four alignments, as other characters may be glued to its front; lines
+of base64 are one run, too. Every layer keeps, for each character, the range of the root text that it came from.
 """
 
 from __future__ import annotations
@@ -30,6 +30,10 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 ESCAPE = re.compile(r"((?:%[0-9A-Fa-f]{2})+)|\\u([dD][89abAB][0-9A-Fa-f]{2})\\u([dD][c-fC-F][0-9A-Fa-f]{2})|\\u([0-9A-Fa-f]{4})|\\u\{([0-9A-Fa-f]{1,6})\}|\\x([0-9A-Fa-f]{2})")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+_LINE_END = r"[ \t]*(?:\r?\n|(?:\\r)?\\n)[ \t>]*"
+#: A run that is broken over lines (also by escaped ends): all but the last have 16 characters or more. A run is tried at its start only.
+LINES64 = re.compile(rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{16,}}+(?:{_LINE_END}[A-Za-z0-9+/_-]{{16,}}+)*+(?:{_LINE_END}[A-Za-z0-9+/_-]++)?+={{0,2}}")
+LINE_END = re.compile(_LINE_END)
 #: URL-escaped bytes that begin as gzip or zlib data do.
 PACKED_URL = re.compile(r"(?:%1[fF]%8[bB]|(?:x|%78)(?:%(?:9[cC]|01|[dD][aA]|5[eE])|\^))(?:%[0-9A-Fa-f]{2}|[A-Za-z0-9._~/+-])+")
 #: Where gzip or zlib data may begin inside a base64 run.
@@ -192,6 +196,23 @@ def _packed_layers(layer: Layer) -> Iterator[Layer]:
         yield from _whole(layer, m.start(), m.end(), unquote_to_bytes(m[0]))
 
 
+def _lines_joined(layer: Layer) -> Iterator[Layer]:
+    """Each run of base64 over several lines as one line. These texts are decoded, never scanned: lines that only look like base64 stay apart."""
+    if "\n" not in layer.text and "\\n" not in layer.text:
+        return
+    for m in LINES64.finditer(layer.text):
+        ends = [(e.start(), e.end()) for e in LINE_END.finditer(layer.text, m.start(), m.end())]
+        if not ends:
+            continue
+        parts, pieces, size = [], [], 0
+        for a, b in zip([m.start(), *(e for _, e in ends)], [*(a for a, _ in ends), m.end()], strict=True):
+            if b > a:
+                parts.append(layer.text[a:b])
+                pieces.append(layer.cut(a, b, size))
+                size += b - a
+        yield Layer("".join(parts), *(np.concatenate(x) for x in zip(*pieces, strict=True)))
+
+
 def _base64_layers(layer: Layer) -> Iterator[Layer]:
     for m in BASE64.finditer(layer.text):
         run = m[0].rstrip("=").replace("-", "+").replace("_", "/")
@@ -239,7 +260,7 @@ def find_secrets(text: str | None) -> tuple[list[tuple[int, int, int]], list[tup
         if ("%" in layer.text or "\\" in layer.text) and (inner := _unescaped(layer)):
             todo.append(iter([inner]))
             todo.append(_packed_layers(layer))
-        todo.append(_base64_layers(layer))
+        todo.append(chain(_base64_layers(layer), chain.from_iterable(map(_base64_layers, _lines_joined(layer)))))
     return base, sorted(spans)
 
 
