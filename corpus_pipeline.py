@@ -7,7 +7,7 @@ reads it again.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prosemill.llm import language_id, minhash, mixing, packing, secrets
@@ -31,13 +31,11 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near duplicates; of repeated rows with its id, the least text."""
-    kept = minhash.near_duplicates(docs, shingle_words=SHINGLE_WORDS, percent=PERCENT).where("kept").select("doc_id").distinct()
-    stay = docs.select(*COLUMNS).join(kept.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    # rows of one id are no hot group: this deals each id's rows, mostly one, together
-    key = F.when(F.col("doc_id").isNull(), F.concat(F.lit("t"), F.md5(F.coalesce("text", F.lit(""))))).otherwise(F.col("doc_id").cast("string"))
-    one = F.row_number().over(Window.partitionBy(key).orderBy("text", "source"))
-    return stay.withColumn("_n", one).where("_n = 1").drop("_n")
+    """Keeps one row of each group of near duplicates. Rows are told apart by a number of their own, so null and repeated ids neither save nor lose a row."""
+    # the number is fixed once the rows are written
+    rows = staged(docs.select(*COLUMNS).withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    found = minhash.near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"), shingle_words=SHINGLE_WORDS, percent=PERCENT)
+    return rows.join(found.where("kept").select(F.col("doc_id").alias("_row")), "_row").select(*COLUMNS)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
