@@ -10,10 +10,11 @@ from ..functions import text as T
 from ..sources.staging import lookup, staged
 
 
-def split_records(docs: DataFrame, separator: str = P.SHARD_SEPARATOR, key: str = "doc_id", value: str = "text") -> DataFrame:
-    """SRC2/SRC3/SRC8: one row for each record between separators, with its place."""
+def split_records(docs: DataFrame, separator: str = P.SHARD_SEPARATOR, key: str = "doc_id", value: str = "text", strip: bool = False) -> DataFrame:
+    """SRC2/SRC8: one row for each record between separators, with its place; with ``strip`` (SRC3) without white space around it."""
     quoted = "\\Q" + separator + "\\E"
-    return docs.select(key, F.posexplode(F.split(value, quoted, -1)).alias("pos", "record"))
+    out = docs.select(key, F.posexplode(F.split(value, quoted, -1)).alias("pos", "record"))
+    return out.withColumn("record", T.strip(F.col("record"))) if strip else out
 
 
 def rejoin_records(records: DataFrame, key: str = "doc_id", separator: str = P.SHARD_SEPARATOR) -> DataFrame:

@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import text as T
-from .corpus import Ordered
+from ..sources.io import counted
+from .corpus import Ordered, loss_mask
+from .pairs import block_status
 
 
 def encode(df: DataFrame, vocabulary: str, column: str = "text") -> DataFrame:
@@ -51,10 +53,29 @@ def fit_budget(df: DataFrame, vocabulary: str, column: str = "text", most: int =
     return cut.withColumn("passage", T.clip_sentence(F.coalesce("_d", "_t"))).drop("_t", "_cut", "_d", "ids")
 
 
-def within_limit(examples: DataFrame, ids: str = "ids", most: int = P.MAX_EXAMPLE_TOKENS) -> tuple[DataFrame, DataFrame]:
-    """FLT4: the examples of at most ``most`` ids, and a row with the number of the others."""
+def within_limit(examples: DataFrame, ids: str = "ids", most: int = P.MAX_EXAMPLE_TOKENS) -> tuple[DataFrame, Observation]:
+    """FLT4: the examples of at most ``most`` ids; the number of all rows and of the ``oversized`` ones is told by the pass that reads them."""
     fine = F.size(ids) <= most
-    return examples.where(fine), examples.agg(F.count_if(~fine).alias("oversized"))
+    rows, seen = counted(examples, oversized=~fine)
+    return rows.where(fine), seen
+
+
+def shape_examples(blocks: DataFrame, vocabulary: str, end: int, most: int = P.MAX_EXAMPLE_TOKENS) -> tuple[DataFrame, Observation]:
+    """S6: blocks(block) -> prompt, key, ids (with the end id), mask; other columns stay.
+
+    Blocks without an answer mark, and examples of more than ``most`` ids, go. The counts of the pass: rows, blank, no_answer, oversized, mismatched
+    (the prompt's ids are no prefix, so all ids bear loss). Null blocks are blank.
+    """
+    status = block_status(F.col("block"))
+    ok = blocks.withColumn("_s", status).withColumn("_rest", T.after(F.col("block"), "\nAnswer:"))
+    ok = ok.withColumn("prompt", F.when(F.col("_s") == "ok", F.expr("substring(block, 1, length(block) - length(_rest))"))).withColumn("_all", F.when(F.col("_s") == "ok", F.col("block")))
+    kept = [c for c in blocks.columns if c not in ("prompt", "key", "ids", "mask")]
+    heads = encode(ok, vocabulary, "prompt").withColumnRenamed("ids", "_head")
+    full = encode(heads, vocabulary, "_all").withColumn("ids", with_end(F.col("ids"), end))
+    fits, fine = F.slice("ids", F.lit(1), F.size("_head")) == F.col("_head"), F.col("_s") == "ok"
+    rows, seen = counted(full, blank=F.col("_s") == "blank", no_answer=F.col("_s") == "no answer", oversized=fine & (F.size("ids") > most), mismatched=fine & (F.size("ids") <= most) & ~fits)
+    rows = rows.where(fine & (F.size("ids") <= most)).withColumn("mask", loss_mask(F.col("ids"), F.col("_head"))).withColumn("key", T.group_key(F.col("prompt")))
+    return rows.select(*kept, "prompt", "key", "ids", "mask"), seen
 
 
 def with_end(ids: Column, end: int) -> Column:

@@ -9,8 +9,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.staging import staged
+
 #: Query rows that are multiplied with a batch of vectors at once.
 QUERY_BLOCK = 1024
+#: Bytes of queries that driver and tasks hold at once.
+SENT_BYTES = 64 << 20
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -56,19 +60,27 @@ def _best(sent, k: int, exclude_self: bool):
 def top_k(queries: DataFrame, vectors: DataFrame, k: int, exclude_self: bool = True) -> DataFrame:
     """JN3 + WIN1: queries(query_id, qvec) against vectors(id, vec) -> query_id, rank, id, score; integer ids, vectors of one length.
 
-    The query set is stated by the caller, some thousands of rows, which go to all tasks; the vectors are scanned once. Batches
-    of vectors are multiplied with blocks of queries; each task carries the best k of every query from batch to batch, so k rows a query and task are shuffled. Scores are summed in the order of the
-    components; ties go to the smaller id. Null and empty vectors, and rows with null ids, take no part.
+    Queries go to the tasks in blocks of at most some SENT_BYTES, one block at a time: a pass over the vectors each, whose results are
+    written before the next block is sent. Batches of vectors are multiplied with blocks of queries; each task carries the best k of every
+    query from batch to batch, so k rows a query and task are shuffled. Scores are summed in the order of the components; ties go to the
+    smaller id. Null and empty vectors, and rows with null ids, take no part.
     """
-    rows = queries.where("query_id is not null and size(qvec) > 0").select(F.col("query_id").cast("bigint"), F.col("qvec").cast("array<double>"))
-    asked = rows.count()
-    if not asked:
-        return vectors.sparkSession.createDataFrame([], "query_id bigint, id bigint, score double, rank int")
-    # the queries as files of packed rows would serve a set beyond the driver's memory; a stated set is some thousands of rows
-    got = rows.collect()
-    sent = vectors.sparkSession.sparkContext.broadcast((np.array([r[0] for r in got], np.int64), np.array([r[1] for r in got], np.float64)))
+    rows = queries.where("query_id is not null and size(qvec) > 0").select(F.col("query_id").cast("bigint"), F.col("qvec").cast("array<double>").alias("qvec"))
+    asked, length = rows.agg(F.count("*"), F.coalesce(F.max(F.size("qvec")), F.lit(0))).first()
+    spark = vectors.sparkSession
     blocks = vectors.where("id is not null and size(vec) > 0").select(F.col("id").cast("bigint").alias("id"), "vec")
-    found = blocks.mapInArrow(_best(sent, k, exclude_self), "query_id bigint, id bigint, score double")
+    many = asked * length * 8 // SENT_BYTES + 1
+    found = spark.createDataFrame([], "query_id bigint, id bigint, score double")
+    for i in range(many if asked else 0):
+        got = rows.where(F.pmod(F.xxhash64("query_id"), F.lit(many)) == i).collect()
+        if not got:
+            continue
+        sent = spark.sparkContext.broadcast((np.array([r[0] for r in got], np.int64), np.array([r[1] for r in got], np.float64)))
+        part = blocks.mapInArrow(_best(sent, k, exclude_self), "query_id bigint, id bigint, score double")
+        if many > 1:
+            part = staged(part, "hits")
+            sent.unpersist()
+        found = part if i == 0 else found.unionByName(part)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "id", "score", "rank")
 

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import blocks as table_blocks
 from ..functions import patterns as P
 from ..functions import text as T
 from ..operators import answers, corpus, evaluation, logs, pairs, sampling, tokens, vectors, vocabulary
-from .registry import _BLACK, _BLOCKS, _PAIRS, _REC, _black, _blocks, _q, _records, _text, query, table
+from ..sources import binary
+from ..sources.staging import shared_folder
+from .registry import _BLACK, _BLOCKS, _PAIRS, _REC, WS_STRIP, _black, _blocks, _q, _records, _text, query, table
 
 # text functions
 
@@ -19,14 +24,12 @@ _text(
 )
 _text(
     "clean_book",
-    lambda x: T.clean_book(F.concat(F.regexp_replace(x, P.NOT_ASCII_TEXT + "|[\n-]", ""), F.lit("-\r\nNext\r\nlower"))),
-    f"regexp_replace(text, {_q(P.NOT_ASCII_TEXT)} || '|[\\n-]', '', 'g') || 'Next lower'",
-)
-_text(
-    "list_fallback",
-    lambda x: F.array_join(T.quoted_lines(F.concat(F.lit(' "'), F.regexp_replace(x, "[\n\"]", " "), F.lit('",,\nno quotes\n"'), F.col("lang"), F.lit('" \n"'))), "|"),
-    f"regexp_replace(text, '[\\n\"]', ' ', 'g') || '|' || lang",
+    lambda x: T.clean_book(x),
+    f"""(SELECT regexp_replace(a[1] || coalesce(array_to_string(list_transform(a[2:], lambda c: CASE WHEN regexp_matches(regexp_replace(c, '^[ \\t]+|[ \\t]+$', '', 'g'), '^\\p{{Ll}}') THEN ' ' ELSE chr(10) || chr(10) END || regexp_replace(c, '^[ \\t]+|[ \\t]+$', '', 'g')), ''), ''), {_q(P.NOT_ASCII_TEXT)}, '', 'g')
+    FROM (SELECT regexp_split_to_array(regexp_replace(regexp_replace(text, '\\r\\n?', chr(10), 'g'), '-\\n+', '', 'g'), '\\n+') AS a))""",
 )
+# each line of a text as an item of a list
+_text("list_fallback", lambda x: F.array_join(T.quoted_lines(F.concat(F.lit('"'), F.replace(x, F.lit("\n"), F.lit('",\n "')), F.lit('",,\nno quotes'))), "|"), "replace(text, chr(10), '|')")
 _text(
     "tail_cut",
     lambda x: answers.cut_tail(F.split(x, " "), F.size(F.split(x, " "))),
@@ -140,6 +143,14 @@ def category_table(spark, sf):
     return spark.createDataFrame(list(enumerate(P.CATEGORY_WEIGHTS)), "cat int, w int")
 
 
+@query(f"""SELECT conv_id, turn, CASE WHEN conv_id % 3 = 0 THEN NULL ELSE 'c' || CAST(floor(conv_id / 4) AS BIGINT) END AS context, question, {WS_STRIP.format('answer')} AS answer,
+len(list_distinct(regexp_extract_all(CASE WHEN conv_id % 3 = 0 THEN question ELSE 'c' || CAST(floor(conv_id / 4) AS BIGINT) END, {_q(P.YEAR)})))::INTEGER AS n_values FROM {_PAIRS}""")
+def parsed_blocks(spark, sf):
+    table_blocks.register(spark)
+    _blocks(spark, sf).createOrReplaceTempView("question_blocks")
+    return spark.sql("SELECT b.conv_id, b.turn, p.context, p.question, p.answer, size(p.values) AS n_values FROM question_blocks b, LATERAL parse_blocks(b.block, 'years') p WHERE p.status = 'ok'")
+
+
 # evaluation, runs and JSON
 
 
@@ -324,9 +335,20 @@ def stream_split(spark, sf):
     return s.select("doc_id", "offset", F.size("train").cast("long").alias("n_train"), F.size("val").cast("long").alias("n_val"))
 
 
-@query(f"""SELECT doc_id, array_to_string(ids[s + 1:s + 8], ' ') AS x, array_to_string(ids[s + 2:s + 9], ' ') AS y FROM (SELECT doc_id, {_IDS} AS ids, doc_id % 5 AS s FROM documents) WHERE len(ids) > 14""")
+@query(f"""WITH f AS (SELECT row_number() OVER (ORDER BY doc_id, i) - 1 AS pos, id FROM (SELECT doc_id, unnest(ids) AS id, unnest(range(len(ids))) AS i FROM (SELECT doc_id, {_IDS} AS ids FROM documents))),
+t AS (SELECT count(*) - CAST(floor(count(*) * 0.1::DOUBLE) AS BIGINT) AS n FROM f)
+SELECT pos // 64 * 64 AS start, CAST(sum(id) AS BIGINT) AS x_sum, CAST(sum(next) AS BIGINT) AS y_sum FROM (SELECT pos, id, lead(id) OVER (ORDER BY pos) AS next FROM f) CROSS JOIN t WHERE pos // 64 * 64 + 64 < n GROUP BY pos // 64""")
+def ids_windows(spark, sf):
+    folder = f"{shared_folder(spark)}/prosemill-ids-{uuid.uuid4().hex}"
+    binary.write_ids(_ids(spark, sf), folder, "ids", "doc_id", 0.1, 65_536)
+    d = binary.read_ids(spark, f"{folder}/train_ids.bin", "<u4", window=64)
+    total = lambda c: F.aggregate(c, F.lit(0).cast("bigint"), lambda a, x: a + x)
+    return d.select("start", total("x").alias("x_sum"), total("y").alias("y_sum"))
+
+
+@query(f"""SELECT doc_id, array_to_string(ids[s + 1:s + 8], ' ') AS x, array_to_string(ids[s + 2:s + 9], ' ') AS y FROM (SELECT doc_id, {_IDS} AS ids, doc_id % 5 AS s FROM documents) WHERE len(ids) > s + 8""")
 def shifted_windows(spark, sf):
-    d = _ids(spark, sf).where(F.size("ids") > 14)
+    d = _ids(spark, sf).where(F.size("ids") > F.col("doc_id") % 5 + 8)
     x, y = tokens.shifted_window(F.col("ids"), (F.col("doc_id") % 5).cast("int"), 8)
     text = lambda c: F.array_join(F.transform(c, lambda i: i.cast("string")), " ")
     return d.select("doc_id", text(x).alias("x"), text(y).alias("y"))
@@ -349,12 +371,12 @@ def unit_vectors(spark, sf):
     return table(spark, sf, "embeddings").select("vec_id", F.round(F.aggregate(weighed, F.lit(0.0), lambda s, x: s + x), 5).alias("projected"))
 
 
-_LOGITS = "(SELECT vec_id AS k, i AS token, round(CAST(embedding[i] AS DOUBLE), 1) AS logit FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings WHERE vec_id % 5 = 0))"
+_LOGITS = "(SELECT vec_id AS k, i AS token, round(CAST(embedding[i] AS DOUBLE), 1) + 0::DOUBLE AS logit FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings))"
 
 
 def _logits(spark, sf):
-    e = table(spark, sf, "embeddings").where("vec_id % 5 = 0").select(F.col("vec_id").alias("k"), F.posexplode("embedding").alias("p", "v"))
-    return e.select("k", (F.col("p") + 1).cast("long").alias("token"), F.round(F.col("v").cast("double"), 1).alias("logit"))
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("k"), F.posexplode("embedding").alias("p", "v"))
+    return e.select("k", (F.col("p") + 1).cast("long").alias("token"), (F.round(F.col("v").cast("double"), 1) + F.lit(0.0)).alias("logit"))
 
 
 @query(f"""WITH r AS (SELECT *, rank() OVER (PARTITION BY k ORDER BY logit DESC) AS r FROM {_LOGITS}) SELECT k, token, round(exp(logit / 0.8) / sum(exp(logit / 0.8)) OVER (PARTITION BY k), 6) AS p FROM r WHERE r <= 10""")
@@ -362,10 +384,9 @@ def top_k_softmax(spark, sf):
     return sampling.top_k_softmax(_logits(spark, sf), "k", 10, 0.8).select("k", "token", F.round("p", 6).alias("p"))
 
 
-@query(f"SELECT k, token, round(CASE WHEN token % 3 <> 0 THEN logit WHEN logit > 0 THEN logit / 1.3 ELSE logit * 1.3 END, 6) AS logit FROM {_LOGITS} WHERE logit <> 0")
+@query(f"SELECT k, token, round(CASE WHEN token % 3 <> 0 THEN logit WHEN logit > 0 THEN logit / 1.3 ELSE logit * 1.3 END, 6) + 0::DOUBLE AS logit FROM {_LOGITS}")
 def repetition_penalty(spark, sf):
-    x = _logits(spark, sf).where("logit <> 0")
-    return x.select("k", "token", F.round(sampling.penalize(F.col("logit"), F.col("token") % 3 == 0, 1.3), 6).alias("logit"))
+    return _logits(spark, sf).select("k", "token", (F.round(sampling.penalize(F.col("logit"), F.col("token") % 3 == 0, 1.3), 6) + F.lit(0.0)).alias("logit"))
 
 
 @query("SELECT round(avg(m), 6) AS loss FROM (SELECT avg(value) AS m FROM events GROUP BY event_id % 37)")

@@ -113,7 +113,7 @@ _text(
     lambda x: T.cut_at_markers(F.concat(x, F.lit("\nQuestion: more"))),
     WS_STRIP.format("string_split(string_split(string_split(text || chr(10) || 'Question: more', chr(10) || chr(10))[1], chr(10) || 'Question:')[1], chr(10) || 'Context:')[1]"),
 )
-_text("distinct_numbers", lambda x: F.array_join(F.array_sort(T.distinct_values(x, P.NUMBER, 1)), "|"), f"CASE WHEN len(regexp_extract_all(text, {_q(P.NUMBER)})) > 0 THEN array_to_string(list_sort(list_distinct(regexp_extract_all(text, {_q(P.NUMBER)}))), '|') END")
+_text("distinct_numbers", lambda x: F.array_join(F.array_sort(T.distinct_values(x, P.NUMBER)), "|"), f"CASE WHEN len(list_distinct(regexp_extract_all(text, {_q(P.NUMBER)}))) >= 3 THEN array_to_string(list_sort(list_distinct(regexp_extract_all(text, {_q(P.NUMBER)}))), '|') END")
 _text("dedup_key", lambda x: T.dedup_key(x), f"regexp_replace(lower(text), {_q(P.NOT_WORD)}, '', 'g')")
 _text(
     "clip_sentence",
@@ -136,6 +136,12 @@ def split_articles(spark, sf):
     return corpus.split_records(d).withColumn("pos", F.col("pos").cast("long"))
 
 
+@query(f"SELECT doc_id, p AS pos, {WS_STRIP.format('string_split(text, chr(10))[p + 1]')} AS record FROM (SELECT *, unnest(range(len(string_split(text, chr(10))))) AS p FROM documents)")
+def loose_records(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", F.replace("text", F.lit("\n"), F.lit(P.END_OF_TEXT)).alias("text"))
+    return corpus.split_records(d, P.END_OF_TEXT, strip=True).withColumn("pos", F.col("pos").cast("long"))
+
+
 @query(f"SELECT doc_id, replace(text, chr(10), {_q(P.SHARD_SEPARATOR)}) AS text FROM documents")
 def rejoin_articles(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", "text")
@@ -173,10 +179,10 @@ _COLLAPSED = WS_STRIP.format(f"regexp_replace(html, {_q(f'[{P.WS}]+')}, ' ', 'g'
 
 @query(f"""
 SELECT status, count(*) AS n FROM (SELECT CASE WHEN page_id % 11 = 0 THEN 'error' WHEN page_id % 7 = 0 THEN 'missing'
-WHEN length({_COLLAPSED}) < 1500 THEN 'short' ELSE 'ok' END AS status FROM pages) GROUP BY status""")
+WHEN length({_COLLAPSED}) < 500 THEN 'short' ELSE 'ok' END AS status FROM pages) GROUP BY status""")
 def passage_status(spark, sf):
     p = table(spark, sf, "pages").withColumn("raw", F.when(F.col("page_id") % 7 != 0, F.col("html")))
-    return p.groupBy(evaluation.fetch_status(F.col("raw"), F.col("page_id") % 11 == 0, T.collapse(F.col("raw")), 1500).alias("status")).agg(F.count("*").alias("n"))
+    return p.groupBy(evaluation.fetch_status(F.col("raw"), F.col("page_id") % 11 == 0, T.collapse(F.col("raw")), P.MIN_ARTICLE_CHARS).alias("status")).agg(F.count("*").alias("n"))
 
 
 @query("SELECT min(doc_id) AS doc_id, md5(text) AS h FROM documents GROUP BY md5(text)")

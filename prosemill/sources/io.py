@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
@@ -20,6 +20,32 @@ def read_files(spark: SparkSession, *folders: str) -> DataFrame:
     return found
 
 
+def file_index(spark: SparkSession, *folders: str) -> DataFrame:
+    """SRC4: the files of the folders in order (folder as given, then name by code point), from metadata alone: place, folder, name, path, bytes, before (bytes of all files in front)."""
+    from ..operators.corpus import Ordered
+
+    found = None
+    for i, folder in enumerate(folders):
+        # the content is never selected, so no file is opened
+        d = spark.read.format("binaryFile").load(folder).select(F.lit(i).alias("folder"), F.element_at(F.split("path", "/"), -1).alias("name"), "path", F.col("length").alias("bytes"))
+        found = d if found is None else found.unionByName(d)
+    ordered = Ordered(found.withColumn("_o", F.struct("folder", "name")), F.col("bytes"), "_o").offsets().withColumnRenamed("offset", "before")
+    return Ordered(ordered, F.lit(1), "_o").offsets().withColumnRenamed("offset", "place").select("place", "folder", "name", "path", "bytes", "before")
+
+
+def read_first(spark: SparkSession, n: int, *folders: str) -> DataFrame:
+    """FLT5, SRC4: place, path, text of the first n files in order. The order is known before a byte is read, so the scan has those files only; n is a few thousand at most."""
+    first = file_index(spark, *folders).where(F.col("place") < n).orderBy("place").collect()
+    if not first:
+        return spark.createDataFrame([], "place bigint, path string, text string")
+    # the scan shows a path as a URI, with its blanks escaped, and may show the scheme in another way
+    as_uri = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    places = spark.createDataFrame([(r.place, r.path, as_uri(r.path).toUri().toString()) for r in first], "place bigint, path string, _uri string")
+    short = lambda c: F.regexp_replace(c, "^file:/+", "/")
+    texts = spark.read.text([r.path for r in first], wholetext=True).select(F.col("_metadata.file_path").alias("_p"), T.newlines(F.col("value")).alias("text"))
+    return texts.join(F.broadcast(places), short(F.col("_p")) == short(F.col("_uri"))).select("place", "path", "text")
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """SRC5: the lines that are not blank."""
     return spark.read.text(path).where(F.col("value").rlike(f"[^{P.WS}]"))
@@ -56,22 +82,39 @@ def read_token_file(spark: SparkSession, path: str, dtype: str = "<u2", window:
 
 
 def append_new(df: DataFrame, path: str, key: str) -> int:
-    """SNK1, SNK3: appends the rows whose key is not written yet; returns how many."""
+    """SNK1, SNK3: appends the rows whose key is not written yet; returns how many were appended, as counted by the write itself."""
     spark = df.sparkSession
     try:
         df = df.join(spark.read.parquet(path).select(key).distinct(), key, "left_anti")
     except Exception as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
-    df.write.mode("append").parquet(path)
-    return spark.read.parquet(path).count()
+    seen = Observation()
+    df.observe(seen, F.count("*").alias("rows")).write.mode("append").parquet(path)
+    return seen.get["rows"]
 
 
-def write_split(df: DataFrame, path: str, is_val: str = "is_val") -> None:
-    """SNK4, SNK5: one folder for each split, with one row of counts beside."""
-    df.withColumn("split", F.when(F.col(is_val), "val").otherwise("train")).drop(is_val).write.partitionBy("split").mode("overwrite").parquet(f"{path}/rows")
-    written = df.sparkSession.read.parquet(f"{path}/rows")
-    written.groupBy("split").agg(F.count("*").alias("rows")).coalesce(1).write.mode("overwrite").json(f"{path}/meta")
+def counted(df: DataFrame, **conditions: Column) -> tuple[DataFrame, Observation]:
+    """AGG6, FLT13, SNK6: ``df`` and, once an action has run over it, the number of its rows for which each condition holds, of that very pass.
+
+    A stream takes ``df.observe(name, ...)`` in the same way and shows the counts in each progress (see count_columns()).
+    """
+    seen = Observation()
+    return df.observe(seen, *count_columns(**conditions)), seen
+
+
+def count_columns(**conditions: Column) -> list[Column]:
+    return [F.count("*").alias("rows"), *[F.count_if(F.coalesce(c, F.lit(False))).alias(name) for name, c in conditions.items()]]
+
+
+def write_split(df: DataFrame, path: str, is_val: str = "is_val", **conditions: Column) -> dict:
+    """SNK4, SNK5, SNK6: one folder for each split and one row of counts beside: rows of each split, and those for which a further condition holds. The table is passed over once; returns the counts."""
+    val = F.coalesce(F.col(is_val), F.lit(False))
+    rows, seen = counted(df, val=val, train=~val, **conditions)
+    rows.withColumn("split", F.when(val, "val").otherwise("train")).drop(is_val).write.partitionBy("split").mode("overwrite").parquet(f"{path}/rows")
+    found = {k: v for k, v in seen.get.items() if k != "rows"}
+    df.sparkSession.createDataFrame([tuple(found.values())], [*found]).coalesce(1).write.mode("overwrite").json(f"{path}/meta")
+    return found
 
 
 def _store(spark: SparkSession, path: str):

@@ -203,7 +203,7 @@ def test_sources(spark, tmp_path):
     np.arange(5, dtype="<u2").tofile(tmp_path / "t.bin")
     assert io.read_token_file(spark, str(tmp_path / "t.bin"), window=3).orderBy("start").first().ids == [0, 1, 2]
     d, out = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string"), str(tmp_path / "out")
-    assert io.append_new(d.where("k = 1"), out, "k") == 1 and io.append_new(d, out, "k") == 2
+    assert io.append_new(d.where("k = 1"), out, "k") == 1 and io.append_new(d, out, "k") == 1
     io.swap(spark.read.parquet(out).where("k = 2"), out)
     assert [r.k for r in spark.read.parquet(out).collect()] == [2]
     with pytest.raises(ValueError):
@@ -289,7 +289,7 @@ def test_token_files(spark, tmp_path):
     got = {r.doc_id: r.passage for r in tokens.fit_budget(d, path, most=50).collect()}
     assert got[1].endswith("here.") and len(got[1]) < len(text) and got[2] == "Short one." and got[3] is None and got[4] == ""
     fine, told = tokens.within_limit(e, most=100)
-    assert fine.count() == 3 and told.first()[0] == 1
+    assert fine.count() == 3 and told.get == {"rows": 4, "oversized": 1}
     ids = [i for r in e.orderBy("doc_id").collect() for i in r.ids]
     s = tokens.stream_split(e, "ids", "doc_id", 0.3).orderBy("doc_id").collect()
     train, val = [i for r in s for i in r.train], [i for r in s for i in r.val]
@@ -298,6 +298,49 @@ def test_token_files(spark, tmp_path):
     assert 0 < tokens.undecodable(path, spark).count() < 2000
 
 
+def test_examples_in_one_pass(spark, tmp_path):
+    public = pytest.importorskip("public_tokenizers")
+    path = str(public.path("byte_bpe_50k.json"))
+    rows = [(1, "Context: c\nQuestion: q?\nAnswer: yes"), (2, " \n"), (3, None), (4, "no mark"), (5, "Context: N/A\nQuestion: q?\nAnswer:" + " long" * 2000), (6, "Context: N/A\nQuestion: z\nAnswer: no")]
+    d = spark.createDataFrame([(i, b, "old") for i, b in rows], "o long, block string, key string").repartition(2)
+    shaped, seen = tokens.shape_examples(d, path, 50256)
+    got = {r.o: r for r in shaped.collect()}
+    assert sorted(got) == [1, 6] and seen.get == {"rows": 6, "blank": 2, "no_answer": 1, "oversized": 1, "mismatched": 0}
+    assert got[1].key == "Context: c" and got[6].key == got[6].prompt and got[1].ids[-1] == 50256
+    assert got[1].mask == sorted(got[1].mask) and sum(got[1].mask) == 2 and got[1].prompt.endswith("\nAnswer:")
+    counts = io.write_split(spark.range(10).withColumn("is_val", F.col("id") >= 7), str(tmp_path / "s"), odd=F.col("id") % 2 == 1)
+    assert counts == {"val": 3, "train": 7, "odd": 5} and spark.read.parquet(str(tmp_path / "s" / "rows")).where("split = 'val'").count() == 3
+    stream = spark.readStream.schema("id long").parquet(str(tmp_path / "s" / "rows" / "split=train"))
+    q = stream.observe("seen", *io.count_columns(odd=F.col("id") % 2 == 1)).writeStream.format("noop").trigger(availableNow=True).start()
+    q.awaitTermination(60)
+    assert q.lastProgress["observedMetrics"]["seen"]["rows"] == 7 and q.lastProgress["observedMetrics"]["seen"]["odd"] == 3
+
+
+def test_files_in_order(spark, tmp_path):
+    for folder, names in (("x", ("10.txt", "2.txt", "1.txt")), ("w", ("b.txt", "a b.txt"))):
+        (tmp_path / folder).mkdir()
+        for n in names:
+            (tmp_path / folder / n).write_text(f"{folder}/{n}")
+    folders = str(tmp_path / "x"), str(tmp_path / "w")
+    index = io.file_index(spark, *folders).orderBy("place").collect()
+    assert [(r.folder, r.name) for r in index] == [(0, "1.txt"), (0, "10.txt"), (0, "2.txt"), (1, "a b.txt"), (1, "b.txt")]
+    assert [r.before for r in index] == [0, 7, 15, 22, 31]
+    first = io.read_first(spark, 4, *folders)
+    assert [r.text for r in first.orderBy("place").collect()] == ["x/1.txt", "x/10.txt", "x/2.txt", "w/a b.txt"]
+    assert len(first.inputFiles()) == 4 and io.read_first(spark, 0, *folders).count() == 0
+
+
+def test_search_in_blocks(spark, monkeypatch):
+    import random
+
+    rng = random.Random(1)
+    d = spark.createDataFrame([(i, [rng.random() for _ in range(4)]) for i in range(200)], "id long, vec array<double>").repartition(3)
+    asked = d.where("id % 5 = 0").selectExpr("id query_id", "vec qvec")
+    whole = sorted(map(tuple, vectors.top_k(asked, d, 3).collect()))
+    monkeypatch.setattr(vectors, "SENT_BYTES", 300)
+    assert sorted(map(tuple, vectors.top_k(asked, d, 3).collect())) == whole and len(whole) == 120
+
+
 def test_resume_promote_and_swap(spark, tmp_path):
     path, calls = str(tmp_path / "stage"), []
 
