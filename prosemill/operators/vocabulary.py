@@ -20,6 +20,8 @@ from ..sources.staging import ship, staged
 
 #: Pairs that a round looks at, and merges after which the pre-tokens are written anew.
 LOOK, REWRITE = 512, 256
+#: Pre-tokens of a task.
+TASK_WORDS = 100_000
 
 
 def byte_symbols() -> list[str]:
@@ -169,6 +171,8 @@ def train_bpe(docs: DataFrame, vocab_size: int = 50_257, min_frequency: int = 2,
     codes = F.transform(F.sequence(F.lit(0), F.length("word") - 1), lambda i: F.conv(F.substring(hexed, 2 * i + 1, F.lit(2)), 16, 10).cast("int"))
     words = pretoken_counts(docs, column).select(F.transform(codes, lambda b: F.element_at(of_byte, b + 1)).alias("symbols"), "n")
     state, pending, since, merges = staged(words, "pre-tokens"), [], 0, []
+    # a pass is short: as few tasks as the pre-tokens ask for
+    state = staged(state.repartition(state.count() // TASK_WORDS + 1), "pre-tokens")
 
     def counted(batch=None):
         return state.mapInPandas(_counted(pending, batch), "l long, r long, place long, n long")

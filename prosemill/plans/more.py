@@ -301,7 +301,7 @@ def max_steps(spark, sf):
 
 @query()  # an iterative training: tested against one merge after the other
 def bpe_merges(spark, sf):
-    tokens_by_id, merges = vocabulary.train_bpe(table(spark, sf, "documents"), 600)
+    tokens_by_id, merges = vocabulary.train_bpe(table(spark, sf, "documents"), 512)
     rows = [(i, a, b, new, tokens_by_id[new], n) for i, (a, b, new, n) in enumerate(merges)]
     return spark.createDataFrame(rows, "place int, left_id int, right_id int, id int, token string, n bigint")
 
