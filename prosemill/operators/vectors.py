@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -94,3 +95,18 @@ def rerank(candidates: DataFrame) -> DataFrame:
     """SRT2: by ce_score, ties in the first order; both scores stay apart."""
     order = Window.partitionBy("query_id").orderBy(F.desc("ce_score"), "rank")
     return candidates.withColumn("new_rank", F.row_number().over(order))
+
+
+def score_pairs(candidates: DataFrame, scorer: Callable[[list[tuple[str, str]]], list[float]], question: str = "question", passage: str = "passage", batch: int = 64) -> DataFrame:
+    """MDL6: adds ce_score, what the scorer says of each (question, passage), ``batch`` pairs a call. Null texts are scored as empty ones.
+
+    The score of the first search stays in its own column: the two have different scales.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            two = list(zip(f[question].fillna(""), f[passage].fillna(""), strict=True))
+            yield f.assign(ce_score=[float(s) for at in range(0, len(two), batch) for s in scorer(two[at : at + batch])])
+
+    fields = ", ".join(f"`{n}` {t}" for n, t in candidates.dtypes)
+    return candidates.mapInPandas(run, f"{fields}, ce_score double")

@@ -484,4 +484,4 @@ def hourly_counts(spark, sf):
     return table(spark, sf, "events").groupBy(F.date_trunc("hour", "ts").alias("hour"), "event_type").agg(F.count("*").alias("n"))
 
 
-from . import more  # noqa: E402, F401  registers its queries here
+from . import generation, more  # noqa: E402, F401  register their queries here
