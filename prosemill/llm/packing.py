@@ -26,6 +26,8 @@ MAX_TOKENS, MAX_SEGMENTS = 1024, 1024
 POOL = 512
 END_ID = 0
 SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
+#: Of a piece of a turn besides: which turn, and how many of its ids bear loss.
+TURN_SCHEMA = SCHEMA + ", turn bigint, loss bigint"
 
 
 class Encoder:
@@ -121,8 +123,8 @@ class Packer:
 
     def _write(self, pieces: list) -> None:
         at = 0
-        for doc_id, start, ids, total, _ in pieces:
-            self.rows.append((doc_id, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), total, self.next, at))
+        for doc_id, start, ids, total, loss in pieces:
+            self.rows.append((doc_id, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), total, self.next, at, loss))
             at += len(ids)
         if pieces:
             self.next += 1
@@ -141,24 +143,30 @@ class Packer:
             while left:
                 doc_id, start, ids, total, loss = tail.pop(0)
                 n = min(left, len(ids))
-                head.append((doc_id, start, ids[:n], total, 0))
+                mine = -(-loss * n // len(ids))
+                head.append((doc_id, start, ids[:n], total, mine))
                 if n < len(ids):
-                    tail.insert(0, (doc_id, start + n, ids[n:], total, 0))
+                    tail.insert(0, (doc_id, start + n, ids[n:], total, loss - mine))
                 left -= n
             self._write(head)
 
 
-def _packed(encoder, limits: tuple[int, int, int]):
+def _packed(encoder, limits: tuple[int, int, int], turns: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, packer = Encoder(*encoder), Packer(TaskContext.get().partitionId(), *limits)
 
         def out() -> pa.RecordBatch:
             rows, packer.rows = packer.rows, []
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 7
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=[x.split()[0] for x in SCHEMA.split(", ")])
+            rows = [(r[0][0], *r[1:7], r[0][1], r[7]) if turns else r[:7] for r in rows]
+            names = [x.split()[0] for x in (TURN_SCHEMA if turns else SCHEMA).split(", ")]
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * len(names)
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=names)
 
         for batch in batches:
-            for doc_id, text, loss in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+            keys = batch.column(0).to_pylist()
+            if turns:
+                keys = list(zip(keys, batch.column(3).to_pylist(), strict=True))
+            for doc_id, text, loss in zip(keys, batch.column(1), batch.column(2).to_pylist(), strict=True):
                 ids = np.append(enc.ids(text.as_py() or ""), np.uint32(END_ID))
                 step = limits[0] if not loss else min(limits[0], limits[2])
                 for at in range(0, len(ids), step):
@@ -179,29 +187,37 @@ def public_encoder(name: str = "byte_bpe_50k") -> tuple[str, str, str]:
     return str(public_tokenizers.path(f"{name}.json")), str(public_tokenizers.path(f"{name}.tiktoken")), public_tokenizers.PATTERN
 
 
-def pack(docs: DataFrame, encoder: tuple[str, str | None, str | None] | None = None, max_tokens: int = MAX_TOKENS, max_segments: int = MAX_SEGMENTS, max_loss: int | None = None, bears_loss: str | None = None) -> DataFrame:
+def pack(docs: DataFrame, encoder: tuple[str, str | None, str | None] | None = None, max_tokens: int = MAX_TOKENS, max_segments: int = MAX_SEGMENTS, max_loss: int | None = None, bears_loss: str | None = None, turn: str | None = None) -> DataFrame:
     """docs(doc_id, text) -> a row for each piece: its document's range, its sequence and offset there.
 
     A document is the ids of its text and a closing id 0; a null or empty text is that id alone. Pieces
     of one sequence are gapless from offset 0. ``bears_loss`` names a boolean column: all ids
-    of such a row bear loss, those of others (and of a null) none; without it every id bears loss. Null
+    of such a row bear loss, those of others (and of a null) none; without it every id bears loss. ``turn`` names a whole
+    number that tells a document's rows apart: pieces then have it, and the ids that bear loss, as turn and loss. Null
     and repeated ids are documents like others; no rows give no pieces. Other columns
     are not read. A retried task gives the same sequences: they follow from its partition.
     """
     small_batches(docs.sparkSession)
-    run = _packed(encoder or public_encoder(), (max_tokens, max_segments, max_loss or max_tokens))
+    run = _packed(encoder or public_encoder(), (max_tokens, max_segments, max_loss or max_tokens), turn is not None)
     loss = F.coalesce(F.col(bears_loss), F.lit(False)) if bears_loss else F.lit(True)
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", loss.alias("loss")).mapInArrow(run, SCHEMA)
+    more = [F.col(turn).cast("bigint").alias("turn")] if turn else []
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", loss.alias("loss"), *more)
+    return rows.mapInArrow(run, TURN_SCHEMA if turn else SCHEMA)
 
 
-def pack_turns(conversations: DataFrame, max_tokens: int = MAX_TOKENS, max_segments: int = 32, max_loss: int = 640, **options) -> DataFrame:
-    """conversations(conv_id, role, text) -> the pieces of all turns, doc_id being the conversation.
+def pack_turns(conversations: DataFrame, max_tokens: int = MAX_TOKENS, max_segments: int = 8, max_loss: int = 640, **options) -> DataFrame:
+    """conversations(conv_id, turn, role, text) -> the pieces of all turns, doc_id being the conversation; with turn and loss.
 
     Only an assistant's turns bear loss; a sequence has at most ``max_loss`` such ids, so that prompts and
-    answers are mixed. A turn is a row for itself: no conversation is gathered. A null role bears no loss.
+    answers are mixed. A turn is a row for itself: no conversation is gathered. A null role bears no loss, a null turn stays null.
     """
-    turns = conversations.select(F.col("conv_id").alias("doc_id"), "text", (F.col("role") == "assistant").alias("loss"))
-    return pack(turns, max_tokens=max_tokens, max_segments=max_segments, max_loss=max_loss, bears_loss="loss", **options)
+    turns = conversations.select(F.col("conv_id").alias("doc_id"), "turn", "text", (F.col("role") == "assistant").alias("loss"))
+    return pack(turns, max_tokens=max_tokens, max_segments=max_segments, max_loss=max_loss, bears_loss="loss", turn="turn", **options)
+
+
+def packed_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All turns of conversations under the three limits; see pack() and pack_turns()."""
+    return pack_turns(spark.read.parquet(f"{sf_dir}/conversations.parquet")).withColumnRenamed("doc_id", "conv_id")
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

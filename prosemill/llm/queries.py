@@ -15,6 +15,7 @@ QUERIES = {
     "op8_secret_scan": secrets.op8_secret_scan,
     "op9_html_text": html_text.op9_html_text,
     "op10_packing": packing.op10_packing,
+    "packed_conversations": packing.packed_conversations,
     "op11_prefix_trie": trie.op11_prefix_trie,
     "op12_lexical_search": lexical.op12_lexical_search,
     "op13_sentencepiece": pieces.op13_sentencepiece,

@@ -3,7 +3,9 @@
 import base64
 import gzip
 import math
-from collections import Counter
+import zlib
+from collections import Counter, defaultdict
+from fractions import Fraction
 from urllib.parse import quote
 
 import duckdb
@@ -129,20 +131,116 @@ def test_short_documents_pack_densely(spark):
 
 
 def test_turns_mix_answers_and_prompts(spark):
-    rows = [(i // 2, "assistant" if i % 2 else "user", prose(i, 40 + i % 50)) for i in range(600)] + [(900, None, None)]
-    d = spark.createDataFrame(rows, "conv_id long, role string, text string").coalesce(2)
-    loss, size, parts = Counter(), Counter(), Counter()
-    roles = {}
+    rows = [(i // 2, i % 2, "assistant" if i % 2 else "user", prose(i, 40 + i % 50)) for i in range(600)] + [(900, None, None, None)]
+    d = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").coalesce(2)
+    loss, size, parts, whole = Counter(), Counter(), Counter(), Counter()
     for r in packing.pack_turns(d, max_tokens=512, max_segments=16, max_loss=300).collect():
         size[r.sequence_id] += r.length
         parts[r.sequence_id] += 1
-        roles.setdefault(r.sequence_id, []).append(r)
-    turns = packing.pack(d.where("role = 'assistant'").selectExpr("conv_id doc_id", "text")).collect()
-    answers = {(t.doc_id, t.doc_tokens) for t in turns}
-    for s, ps in roles.items():
-        loss[s] = sum(p.length for p in ps if (p.doc_id, p.doc_tokens) in answers)
-    assert max(size.values()) <= 512 and max(parts.values()) <= 16
-    assert sum(1 for v in loss.values() if v > 300) <= 0.1 * len(loss)  # a prompt may have as many tokens as its answer
+        loss[r.sequence_id] += r.loss
+        whole[r.doc_id, r.turn, r.doc_tokens] += r.length
+        assert 0 <= r.loss <= r.length and (r.turn == 1 or r.loss == 0)
+    assert max(size.values()) <= 512 and max(parts.values()) <= 16 and max(loss.values()) <= 300
+    assert len(whole) == len(rows) and all(n == total for (_, _, total), n in whole.items())
+
+
+class PlainPacker:
+    """The heuristic by fractions and lists: of the pooled items that fit the one of the largest dot product; else a cut, else a new sequence."""
+
+    def __init__(self, limits, pool):
+        self.limits, self.pool, self.items, self.bin, self.done = limits, pool, [], [], []
+
+    def room(self):
+        used = [sum(len(x[2]) for x in self.bin), len(self.bin), sum(x[3] for x in self.bin)]
+        return [a - b for a, b in zip(self.limits, used, strict=True)]
+
+    def close(self):
+        if self.bin:
+            self.done.append(self.bin)
+        self.bin = []
+
+    def place(self):
+        room, best = self.room(), None
+        for k, (_, _, ids, loss) in enumerate(self.items):
+            need = (len(ids), 1, loss)
+            if all(n <= r for n, r in zip(need, room, strict=True)):
+                score = sum(Fraction(n * r, m * m) for n, r, m in zip(need, room, self.limits, strict=True))
+                if best is None or score > best[0]:
+                    best = score, k
+        if best:
+            self.bin.append(self.take(best[1]))
+        elif room[1] < 1 or not self.cut(room):
+            self.close()
+        if self.room()[0] < 1:
+            self.close()
+
+    def take(self, k):
+        item, last = self.items[k], self.items.pop()
+        if k < len(self.items):
+            self.items[k] = last
+        return item
+
+    def cut(self, room):
+        share = min(Fraction(room[2], room[0]), 1)
+        k = min(range(len(self.items)), key=lambda i: abs(Fraction(self.items[i][3], len(self.items[i][2])) - share))
+        name, start, ids, loss = self.items[k]
+        n = min(room[0], len(ids) - 1, room[2] * len(ids) // loss if loss else len(ids))
+        if n < 1:
+            return False
+        mine = min(-(-loss * n // len(ids)), room[2])
+        self.take(k)
+        self.bin.append((name, start, ids[:n], mine))
+        self.items.append((name, start + n, ids[n:], loss - mine))
+        return True
+
+
+@pytest.mark.parametrize("limits", [(64, 4, 32), (64, 64, 64), (128, 3, 20)])
+def test_packing_places_what_the_dot_product_says(limits):
+    rng = np.random.default_rng(sum(limits))
+    fast, plain = packing.Packer(0, *limits, pool=16), PlainPacker(limits, 16)
+    for i in range(400):
+        n = int(rng.integers(1, 60))
+        loss = int(rng.integers(0, min(n, limits[2]) + 1)) if limits[2] < limits[0] else n
+        ids = np.arange(n, dtype=np.uint32)
+        fast.add(i, 0, ids, n, loss)
+        plain.items.append((i, 0, ids, loss))
+        while len(plain.items) > 16:
+            plain.place()
+    while plain.items:
+        plain.place()
+    fast.finish()
+    got = defaultdict(list)
+    for name, start, n, _, _, sequence, _, loss in fast.rows:
+        got[sequence].append((name, start, n, loss))
+    want = [[(name, start, len(ids), loss) for name, start, ids, loss in b] for b in plain.done]
+    assert [got[k] for k in sorted(got)][: len(want)] == want and len(want) > 30
+    full = Counter(any((len(b) == limits[1], sum(x[3] for x in b) == limits[2], sum(x[2] for x in b) == limits[0])) for b in want)
+    assert full[True] > 0.9 * len(want)
+
+
+def test_conversations_fill_under_three_limits(spark):
+    rows = packing.packed_conversations(spark, "/root/testdata/sf0.01").collect()
+    given = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet").collect()
+    enc = packing.Encoder(packing.public_encoder()[0])
+    texts = defaultdict(list)
+    for t in given:
+        texts[t.conv_id, t.turn].append(np.append(enc.ids(t.text or ""), 0).astype("<u4"))
+    bins, whole = defaultdict(lambda: np.zeros(3, int)), defaultdict(list)
+    for r in rows:
+        bins[r.sequence_id] += (r.length, 1, r.loss)
+        whole[r.conv_id, r.turn].append((r.start, r.length, r.ids_crc32))
+    limits = np.array([1024, 8, 640])
+    assert (np.array(list(bins.values())) <= limits).all()
+    held = (np.array(list(bins.values())) == limits).any(axis=0)
+    assert held[0] and held[1]
+    assert set(whole) == set(texts)
+    for key, pieces in whole.items():
+        if len(texts[key]) == 1:
+            ids, at = texts[key][0], 0
+            for start, n, crc in sorted(pieces):
+                assert start == at and crc == zlib.crc32(ids[at : at + n].tobytes())
+                at += n
+            assert at == len(ids)
 
 
 SECRET = "password=abcdefgh12345xyz"
