@@ -31,11 +31,13 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one row of each group of near duplicates. Rows are told apart by a number of their own, so null and repeated ids neither save nor lose a row."""
+    """Keeps one row of each group of near duplicates, that of the smallest id (null last). Rows are told apart by a number of their own, so null and repeated ids neither save nor lose a row."""
     # the number is fixed once the rows are written
     rows = staged(docs.select(*COLUMNS).withColumn("_row", F.monotonically_increasing_id()), "numbered")
     found = minhash.near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"), shingle_words=SHINGLE_WORDS, percent=PERCENT)
-    return rows.join(found.where("kept").select(F.col("doc_id").alias("_row")), "_row").select(*COLUMNS)
+    groups = rows.select("_row", "doc_id").join(found.select(F.col("doc_id").alias("_row"), "component_id"), "_row")
+    kept = groups.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("_first"))
+    return rows.join(kept.select("_first._row"), "_row").select(*COLUMNS)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
