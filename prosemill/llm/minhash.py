@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, small_batches, staged
+from .common import BROADCAST_ROWS, components, small_batches, staged
 from .shingles import WordHash, hash_family, min_hashes, shingles, words
 
 SHINGLE_WORDS = 3
@@ -36,8 +36,9 @@ def least_matches(percent: int) -> int:
     return max(1, int(COORDINATES * s - 4.75 * (COORDINATES * s * (1 - s)) ** 0.5))
 
 
-#: Ids that are broadcast to pick texts (8 bytes each); more are joined by shuffle.
-BROADCAST_IDS = 500_000
+#: Ids that are broadcast to pick texts; more are joined by shuffle. What grows with the input is never broadcast: files of numbers
+#: pack so well that Spark's own limit, on their size, lets hundreds of MB of rows through to the driver.
+BROADCAST_IDS = BROADCAST_ROWS
 #: Nodes of a list or cluster that are compared with as many others at once.
 BLOCK = 1024
 EDGES = "a bigint, b bigint"
@@ -84,7 +85,7 @@ def in_blocks(members: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
     counts = (members if sizes is None else sizes).groupBy("g").agg(F.count("*").alias("_n")).where("_n > 1")
     blocks = F.ceil(F.col("_n") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("nid"), blocks).cast("int")
-    rows = members.join(counts, "g").withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    rows = members.join(counts.hint("shuffle_merge"), "g").withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     rows = rows.withColumn("part", F.struct("g", F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j")))
     return rows.drop("g", "_n", "_own", "_other").repartition("part").sortWithinPartitions("part")
 
@@ -207,20 +208,20 @@ class NearDuplicates:
 
     def sets(self, wanted: DataFrame) -> DataFrame:
         """wanted(nid, rep, node) -> nid, items: the sets of these nodes, from the texts of their representatives."""
-        ids = wanted.select(F.col("rep").alias("doc_id")).distinct()
-        if wanted.count() <= BROADCAST_IDS:
-            ids = F.broadcast(ids)
+        small = wanted.count() <= BROADCAST_IDS
+        sent = F.broadcast if small else lambda x: x.hint("shuffle_merge")
+        ids = sent(wanted.select(F.col("rep").alias("doc_id")).distinct())
         texts = self.docs.alias("d").join(ids.alias("i"), F.col("d.doc_id").eqNullSafe(F.col("i.doc_id")), "left_semi")
-        return texts.mapInArrow(_sets(self.n), "node binary, items array<bigint>").join(wanted.select("nid", "node"), "node").select("nid", "items")
+        return texts.mapInArrow(_sets(self.n), "node binary, items array<bigint>").join(sent(wanted.select("nid", "node")), "node").select("nid", "items")
 
     def active(self, nodes: DataFrame) -> DataFrame:
         """Nodes that share enough coordinate-value pairs with others, with these pairs, rarest first."""
         key = F.shiftleft(F.col("pos").cast("long"), 32).bitwiseOR(F.col("value").cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
         posted = nodes.select("nid", F.posexplode("sig").alias("pos", "value")).select("nid", key.alias("key"))
         shared = posted.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-        mine = posted.join(shared, "key").groupBy("nid").agg(F.array_sort(F.collect_list(F.struct("n", "key"))).alias("k"))
+        mine = posted.join(shared.hint("shuffle_merge"), "key").groupBy("nid").agg(F.array_sort(F.collect_list(F.struct("n", "key"))).alias("k"))
         mine = mine.where(F.size("k") >= self.matches).select("nid", F.transform("k", lambda x: x["key"]).alias("keys"))
-        return staged(mine.join(nodes.select("nid", "rep", "node", "short"), "nid"), "active")
+        return staged(mine.join(nodes.select("nid", "rep", "node", "short").hint("shuffle_merge"), "nid"), "active")
 
     def clusters(self, active: DataFrame) -> DataFrame:
         """(nid, cluster) of the nodes that have a candidate."""
@@ -230,9 +231,9 @@ class NearDuplicates:
     def confirmed(self, clusters: DataFrame, active: DataFrame) -> DataFrame:
         """(nid, root) of the nodes that links join to others."""
         clusters = staged(clusters, "clusters")
-        sets = self.sets(active.select("nid", "rep", "node").join(clusters.select("nid"), "nid", "left_semi"))
+        sets = self.sets(active.select("nid", "rep", "node").join(clusters.select("nid").hint("shuffle_merge"), "nid", "left_semi"))
         # a document's repeated rows bring its set more than once
-        found = in_blocks(clusters.join(sets.dropDuplicates(["nid"]), "nid"), clusters).mapInArrow(_hang_together("items", _alike(self.percent)), EDGES)
+        found = in_blocks(clusters.join(sets.dropDuplicates(["nid"]).hint("shuffle_merge"), "nid"), clusters).mapInArrow(_hang_together("items", _alike(self.percent)), EDGES)
         return components(found)
 
     def run(self) -> DataFrame:
@@ -242,10 +243,10 @@ class NearDuplicates:
         nodes = staged(nodes.withColumn("nid", F.monotonically_increasing_id()), "nodes")
         active = self.active(nodes)
         roots = self.confirmed(self.clusters(active), active)
-        grouped = nodes.select("nid", "node", "rep").join(roots.withColumnRenamed("node", "nid"), "nid", "left").withColumn("root", F.coalesce("root", "nid"))
+        grouped = nodes.select("nid", "node", "rep").join(roots.withColumnRenamed("node", "nid").hint("shuffle_merge"), "nid", "left").withColumn("root", F.coalesce("root", "nid"))
         least = grouped.groupBy("root").agg(F.min("rep").alias("component_id"))
-        ids = staged(grouped.join(least, "root").select("node", "component_id"), "classes")
-        out = found.select("doc_id", "n_shingles", "node").join(ids, "node", "left")
+        ids = staged(grouped.join(least.hint("shuffle_merge"), "root").select("node", "component_id"), "classes")
+        out = found.select("doc_id", "n_shingles", "node").join(ids.hint("shuffle_merge"), "node", "left")
         return out.select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")).withColumn(
             "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull())
         )
