@@ -35,9 +35,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     # the number is fixed once the rows are written
     rows = staged(docs.select(*COLUMNS).withColumn("_row", F.monotonically_increasing_id()), "numbered")
     found = minhash.near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"), shingle_words=SHINGLE_WORDS, percent=PERCENT)
-    groups = rows.select("_row", "doc_id").join(found.select(F.col("doc_id").alias("_row"), "component_id"), "_row")
+    groups = rows.select("_row", "doc_id").join(found.select(F.col("doc_id").alias("_row"), "component_id").hint("shuffle_merge"), "_row")
     kept = groups.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("_first"))
-    return rows.join(kept.select("_first._row"), "_row").select(*COLUMNS)
+    return rows.join(kept.select("_first._row").hint("shuffle_merge"), "_row").select(*COLUMNS)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
