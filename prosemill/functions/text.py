@@ -34,10 +34,16 @@ def unwrap_hyphens(c: Column) -> Column:
 
 def dewrap(c: Column) -> Column:
     """TXT3: a line that starts in lower case goes on with the one before, others start a paragraph."""
-    lines = F.transform(F.split(c, "\\n+", -1), lambda x: F.regexp_replace(x, "^[ \\t]+|[ \\t]+$", ""))
-    first = F.element_at(F.split(c, "\\n+", -1), 1)
-    rest = F.transform(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))), lambda x: F.concat(F.when(x.rlike("^\\p{IsLowercase}"), " ").otherwise("\n\n"), x))
-    return F.concat(first, F.array_join(rest, ""))
+    def joined(lines: Column) -> Column:
+        rest = F.transform(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))), line)
+        return F.concat(F.element_at(lines, 1), F.array_join(rest, ""))
+
+    def line(x: Column) -> Column:
+        x = F.trim(x, F.lit(" \t"))
+        return F.concat(F.when(x.rlike("^\\p{IsLowercase}"), " ").otherwise("\n\n"), x)
+
+    # as the variable of a function the lines are split once, however often they are named
+    return F.element_at(F.transform(F.array(F.split(c, "\\n+", -1)), joined), 1)
 
 
 def ascii_only(c: Column) -> Column:
