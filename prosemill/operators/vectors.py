@@ -13,9 +13,11 @@ from pyspark.sql import functions as F
 from ..sources.staging import staged
 
 #: Query rows that are multiplied with a batch of vectors at once.
-QUERY_BLOCK = 1024
+QUERY_BLOCK = 256
+#: Queries whose results are given out at once.
+OUT_ROWS = 4096
 #: Bytes of queries that driver and tasks hold at once.
-SENT_BYTES = 64 << 20
+SENT_BYTES = 16 << 20
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -32,7 +34,8 @@ def unit(v: Column) -> Column:
 def _best(sent, k: int, exclude_self: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qids, q = sent.value
-        best: list[list] = [[] for _ in qids]
+        # the best so far as numbers, not objects: 16 bytes for each of k rows of a query
+        scores, found, n = np.zeros((len(qids), k)), np.zeros((len(qids), k), np.int64), np.zeros(len(qids), np.int64)
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -46,14 +49,23 @@ def _best(sent, k: int, exclude_self: bool):
                 # the product rounds as it likes: what is as near as the k-th but for that is summed again in order
                 least = np.partition(near, len(ids) - m, axis=1)[:, len(ids) - m]
                 least -= 1e-9 * (1 + np.abs(least))
-                for i in range(len(near)):
+                # so does what is as near as the k-th of the batches before
+                full = n[at : at + QUERY_BLOCK] == k
+                last = scores[at : at + QUERY_BLOCK, -1]
+                least = np.where(full, np.maximum(least, last - 1e-9 * (1 + np.abs(last))), least)
+                for i in np.flatnonzero((near >= least[:, None]).any(axis=1)).tolist():
                     some = np.flatnonzero((near[i] >= least[i]) & (near[i] > -np.inf))
-                    score = (x[some] * q[at + i]).cumsum(axis=1)[:, -1]
-                    own = best[at + i] + list(zip((-score).tolist(), ids[some].tolist(), strict=True))
-                    best[at + i] = sorted(own)[:k]
-        rows = [(int(i), v, -s) for i, b in zip(qids, best, strict=True) for s, v in b]
-        cols = list(zip(*rows, strict=True)) if rows else [[]] * 3
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query_id", "id", "score"])
+                    r = at + i
+                    s = np.append(scores[r, : n[r]], (x[some] * q[r]).cumsum(axis=1)[:, -1])
+                    v = np.append(found[r, : n[r]], ids[some])
+                    order = np.lexsort((v, -s))[:k]
+                    n[r] = len(order)
+                    scores[r, : n[r]], found[r, : n[r]] = s[order], v[order]
+        for at in range(0, max(1, len(qids)), OUT_ROWS):
+            some = slice(at, at + OUT_ROWS)
+            fine = np.arange(k) < n[some, None]
+            cols = (np.repeat(qids[some], n[some]), found[some][fine], scores[some][fine])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query_id", "id", "score"])
 
     return run
 
