@@ -106,7 +106,8 @@ def permutation_search(vectors: DataFrame, is_query, k: int = 5, id_col: str = "
     index = staged(good.select("*", block(blocks(0, BLOCK_ROWS))).groupBy("dim", "block").applyInArrow(_pack, packed), "index")
     asked = good.where(is_query).select("*", block(blocks(1, QUERY_ROWS))).groupBy("dim", "block").applyInArrow(_pack, packed).toDF("dim", "qblock", "qids", "qvecs")
     meetings = sum(max(1, -(-n // BLOCK_ROWS)) * max(1, -(-q // QUERY_ROWS)) for n, q in counts.values())
-    pairs = asked.withColumn("block", F.explode(F.sequence(F.lit(0), blocks(0, BLOCK_ROWS) - 1))).repartition(max(2, min(meetings, 2000)), "dim", "block", "qblock").join(index, ["dim", "block"])
+    # shuffled: Spark takes the queries for small, but here they stand once for each block of the index, which the driver could not hold
+    pairs = asked.withColumn("block", F.explode(F.sequence(F.lit(0), blocks(0, BLOCK_ROWS) - 1))).repartition(max(2, min(meetings, 2000)), "dim", "block", "qblock").join(index.hint("shuffle_merge"), ["dim", "block"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

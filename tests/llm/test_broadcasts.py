@@ -1,9 +1,10 @@
 """What grows with the input is joined by shuffle: the driver holds none of it."""
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from prosemill.llm import common, minhash
+from prosemill.llm import ann, common, minhash
 
 
 @pytest.fixture
@@ -33,3 +34,10 @@ def test_near_duplicates_broadcast_nothing_that_grows(spark, plans, monkeypatch)
     plans.append(kept._jdf.queryExecution().executedPlan().toString())
     assert sorted((r.doc_id for r in kept.collect()), key=str) == [1, 3, 6, None]
     assert plans and not any("Broadcast" in p for p in plans)
+
+
+def test_queries_in_blocks_are_not_broadcast(spark):
+    d = spark.createDataFrame([(i, [float(i % 7 + 1), float(i % 5), 1.0]) for i in range(60)], "vec_id long, embedding array<double>")
+    found = ann.permutation_search(d, F.col("id") % 20 == 0)
+    assert found.count() == 15
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
