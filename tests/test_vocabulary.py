@@ -95,3 +95,19 @@ def test_ends(spark):
 def test_documents(spark):
     texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
     assert train(spark, texts, 900) == sequential(texts, 900)
+
+
+def test_lines_of_a_text_at_once():
+    rng = random.Random(3)
+    for _ in range(3000):
+        text = "".join(rng.choice("ab1 .'s  \t\r\n\n\x0b\x1c\x85\xa0é") for _ in range(rng.randint(0, 14)))
+        assert regex.findall(vocabulary.LINE_PRE_TOKEN, text) == [w for line in regex.findall("[^\n]*\n|[^\n]+", text) for w in regex.findall(P.PRE_TOKEN, line)]
+
+
+def test_a_pass_does_not_repeat_all_merges(spark, monkeypatch):
+    """What a pass over the pre-tokens merges again is bounded: the merges before have been written."""
+    pending, counted = [], vocabulary._counted
+    monkeypatch.setattr(vocabulary, "_counted", lambda steps, *more: pending.append(len(steps)) or counted(steps, *more))
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").limit(40).collect()]
+    assert train(spark, texts, 330) == sequential(texts, 330)
+    assert len(pending) > 20 and max(pending) <= 4
