@@ -77,8 +77,10 @@ def perplexity(loss: Column) -> Column:
 
 
 def scaling_floor(params: Column, tokens: Column) -> Column:
-    """MTH3."""
-    return 1.69 + 406.4 / F.pow(params, F.lit(0.34)) + 410.7 / F.pow(tokens, F.lit(0.28))
+    """MTH3; without parameters or tokens it is infinite."""
+    # Spark refuses to divide by zero
+    part = lambda top, x: F.when(x == 0, F.lit(float("inf"))).otherwise(top / x)
+    return 1.69 + part(406.4, F.pow(params, F.lit(0.34))) + part(410.7, F.pow(tokens, F.lit(0.28)))
 
 
 def throughput(df: DataFrame, run: str, step: str, seconds: str, tokens_per_step: int) -> DataFrame:
